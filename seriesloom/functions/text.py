@@ -43,9 +43,12 @@ def split_pieces(text: Column, size: int, separators: Sequence[str] = SEPARATORS
     """Pieces of at most ``size`` characters: anything longer is split by the next mark of the
     cascade, and what no mark shortens is cut hard."""
     pieces = F.array(text)
+
+    def split_long(mark: str):
+        return lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(F.split(p, "\\Q" + mark + "\\E"))
+
     for mark in separators:
-        quoted = "\\Q" + mark + "\\E"
-        pieces = F.flatten(F.transform(pieces, lambda p, q=quoted: F.when(F.length(p) <= size, F.array(p)).otherwise(F.split(p, q))))
+        pieces = F.flatten(F.transform(pieces, split_long(mark)))
     hard = F.transform(
         pieces,
         lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(

@@ -33,9 +33,10 @@ def forward_fill(panel: DataFrame, value: str = "value", out: str = "value", key
 
 
 def backward_fill(panel: DataFrame, value: str = "value", out: str = "value", keys=("series_id",)) -> DataFrame:
-    """Fills from the future: leaks, so nothing here calls it unless asked to."""
-    w = by_day(*keys).rowsBetween(0, Window.unboundedFollowing)
-    return panel.withColumn(out, F.first(value, ignorenulls=True).over(w))
+    """Fills from the future: leaks, so nothing here calls it unless asked to. Ordered backwards:
+    a frame that grows is updated per row, one that shrinks would be recomputed per row."""
+    w = Window.partitionBy(*keys).orderBy(F.col("d").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return panel.withColumn(out, F.last(value, ignorenulls=True).over(w))
 
 
 def align_asof(panel: DataFrame, lo: str, hi: str, catalog: DataFrame | None = None) -> DataFrame:

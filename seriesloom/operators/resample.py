@@ -66,19 +66,20 @@ def interpolate(panel: DataFrame, fill_zero: bool = True) -> DataFrame:
     """Linear by row position between known values; a trailing gap keeps the last value and a
     leading gap becomes zero."""
     w = by_day()
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col("value").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("value").alias("v")))
+    # both frames grow with the row (backwards in time for the next value), so both are linear
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("series_id").orderBy(F.col("d").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    at = F.when(F.col("value").isNotNull(), F.col("_i"))
     out = (
         panel.withColumn("_i", F.row_number().over(w))
-        .withColumn("_k", known)
-        .withColumns({"_p": F.last("_k", ignorenulls=True).over(back), "_n": F.first("_k", ignorenulls=True).over(ahead)})
+        .withColumns({"_pi": F.last(at, True).over(back), "_pv": F.last("value", True).over(back)})
+        .withColumns({"_ni": F.last(at, True).over(ahead), "_nv": F.last("value", True).over(ahead)})
     )
-    p, n = F.col("_p"), F.col("_n")
-    slope = safe_ratio(n["v"] - p["v"], (n["i"] - p["i"]).cast("double"))
-    filled = F.coalesce(F.col("value"), p["v"] + slope * (F.col("_i") - p["i"]), p["v"])
+    slope = safe_ratio(F.col("_nv") - F.col("_pv"), (F.col("_ni") - F.col("_pi")).cast("double"))
+    filled = F.coalesce(F.col("value"), F.col("_pv") + slope * (F.col("_i") - F.col("_pi")), F.col("_pv"))
     if fill_zero:
         filled = F.coalesce(filled, F.lit(0.0))
-    return out.withColumn("value", filled).drop("_i", "_k", "_p", "_n")
+    return out.withColumn("value", filled).drop("_i", "_pi", "_pv", "_ni", "_nv")
 
 
 def point_budget(panel: DataFrame, budget: int = 1000) -> DataFrame:

@@ -122,19 +122,12 @@ def correlated_pairs(vectors: DataFrame, group: str, threshold: float = 0.98) ->
     right = placed.select(
         group, F.floor(F.col("angle") / width).alias("cell"), F.col("feature_id").alias("other"), F.col("var").alias("var_o"), F.col("u").alias("u_o")
     )
-    near = F.explode(
-        F.flatten(
-            F.array(
-                *[
-                    F.transform(
-                        F.sequence(F.floor(a / width) - 1, F.floor(a / width) + 1),
-                        lambda c, s=s: F.struct(F.lit(s).alias("sign"), c.alias("cell")),
-                    )
-                    for s, a in ((1, F.col("angle")), (-1, F.lit(math.pi) - F.col("angle")))
-                ]
-            )
-        )
-    )
+
+    def cells(sign: int, a: Column) -> Column:
+        at = F.floor(a / width)
+        return F.transform(F.sequence(at - 1, at + 1), lambda c: F.struct(F.lit(sign).alias("sign"), c.alias("cell")))
+
+    near = F.explode(F.concat(cells(1, F.col("angle")), cells(-1, F.lit(math.pi) - F.col("angle"))))
     left = placed.select(group, near.alias("n"), "feature_id", "var", "u").select(group, "n.cell", "n.sign", "feature_id", "var", "u")
     ahead = (F.col("var") > F.col("var_o")) | ((F.col("var") == F.col("var_o")) & (F.col("feature_id") < F.col("other")))
     joined = left.join(right, [group, "cell"]).filter(ahead)
