@@ -54,7 +54,8 @@ def fit(train: DataFrame, params: dict[str, float] | None = None) -> GBTRegressi
 
 def fit_early_stopping(rows: DataFrame, params: dict[str, float] | None = None, tolerance: float = 0.01) -> GBTRegressionModel:
     """Stops adding trees when the rows with ``is_holdout`` no longer improve."""
-    return regressor(params).setValidationIndicatorCol("is_holdout").setValidationTol(tolerance).fit(rows)
+    trees = regressor(params)
+    return trees.fit(rows, {trees.validationIndicatorCol: "is_holdout", trees.validationTol: tolerance})
 
 
 def predictions(model: GBTRegressionModel, rows: DataFrame, keys: Sequence[str] = ("target_id",)) -> DataFrame:

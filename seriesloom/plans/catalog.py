@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import catalog as rules
 from ..functions.guarded import safe_ratio
 from ..operators import business, profile, rolling, select, technical
+from ..session import cut_lineage
 from ..sources.tables import table
 from .base import ORD, ORDD, SUP, W, mean_sql, orders_daily, ratio_sql, rounded, std_sql, supplier_panel, with_
 
@@ -132,8 +133,9 @@ def merged_families(spark, sf):
 
 
 def _filled(spark, sf):
+    """The filled feature table, written to the shared folder once: several passes read it."""
     kept = select.drop_low_information(feature_blocks(spark, sf), ["series_id"])
-    return select.fill_features(kept, ["series_id"], allow_future=True)
+    return cut_lineage(select.fill_features(kept, ["series_id"], allow_future=True))
 
 
 def feature_variances(spark, sf):
@@ -144,7 +146,8 @@ def feature_variances(spark, sf):
 
 def correlated_features(spark, sf):
     """Pairs within a series correlated beyond 0.9."""
-    pairs = select.correlated_pairs(select.unit_vectors(_filled(spark, sf), "series_id"), "series_id", 0.9)
+    vectors = cut_lineage(select.unit_vectors(_filled(spark, sf), "series_id"))
+    pairs = select.correlated_pairs(vectors, "series_id", 0.9)
     return pairs.select("series_id", "keep_first", "other")
 
 
