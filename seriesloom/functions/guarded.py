@@ -18,6 +18,11 @@ def tolerant_date(text: Column, formats=("yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd")
     return F.coalesce(*[F.try_to_date(trimmed, fmt) for fmt in formats])
 
 
+def fixed(value: Column, decimals: int) -> Column:
+    """Number with a fixed count of decimals; NULL stays NULL (``format_string`` would spell it)."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{decimals}f", value))
+
+
 def safe_ratio(num: Column, den: Column, eps: float = 1e-10) -> Column:
     return F.when(F.abs(den) > eps, num / den)
 

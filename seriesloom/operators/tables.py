@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.guarded import fixed
 from .scan import joined_text
 
 MISSING = "-"
 
 
 def shown(value: Column, decimals: int = 2) -> Column:
-    return F.coalesce(F.format_string(f"%.{decimals}f", value), F.lit(MISSING))
+    return F.coalesce(fixed(value, decimals), F.lit(MISSING))
 
 
 def table_line(cells: Sequence[Column]) -> Column:

@@ -1 +1,95 @@
-QUERIES, ORACLES = {}, {}
+"""Streams of message chunks: messages of ``conversations`` cut into lines, the last line of a
+message carrying the finish marker. The streams read what Spark wrote to the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+from ..sources.tables import table
+from ..streaming import threads
+
+CHUNK_SCHEMA = "thread_id string, seq long, message string, finish_reason string, agent string"
+
+
+def chunk_rows(spark, sf):
+    """(thread_id, seq, message, finish_reason, agent); odd turns end in an interrupt, system
+    turns never finish."""
+    m = table(spark, sf, "conversations")
+    lines = m.select("conv_id", "turn", "role", F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    end = F.when((F.col("i") == F.col("n") - 1) & (F.col("role") != "system"), F.when(F.col("turn") % 2 == 1, "interrupt").otherwise("stop"))
+    agent = F.when(F.col("role") == "assistant", "reporter").otherwise("coordinator")
+    return lines.select(F.col("conv_id").cast("string").alias("thread_id"), (F.col("turn") * 10_000 + F.col("i")).alias("seq"), F.col("line").alias("message"), end.alias("finish_reason"), agent.alias("agent"))
+
+
+def _stream(spark, sf):
+    path = scratch_path(spark, "chunk-files")
+    chunk_rows(spark, sf).repartition(4, "thread_id").sortWithinPartitions("thread_id", "seq").write.parquet(path)
+    return spark.readStream.schema(CHUNK_SCHEMA).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+def assembled_messages(spark, sf):
+    """Structured Streaming with keyed state, drained into Parquet."""
+    out, mark = scratch_path(spark, "messages"), scratch_path(spark, "mark")
+    threads.write_finished(threads.assemble_stream(_stream(spark, sf)), out, mark).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def assembled_messages_batch(spark, sf):
+    return threads.assemble_batch(chunk_rows(spark, sf))
+
+
+def reports_per_thread(spark, sf):
+    return threads.report_text(chunk_rows(spark, sf))
+
+
+def finished_conversations(spark, sf):
+    """Stream into a table that keeps the newest finished message of a thread."""
+    folder, mark = scratch_path(spark, "conversations"), scratch_path(spark, "mark")
+    query = threads.upsert_conversations(threads.assemble_stream(_stream(spark, sf)), folder, mark)
+    query.awaitTermination()
+    return threads.latest_version(spark, folder, query).select("thread_id", "last_seq", "text", "finish_reason")
+
+
+def _fragments(spark, sf):
+    """Tool-call fragments: the lines of a message are the argument pieces of one call; name and
+    id come late and in several spellings; system lines have no index."""
+    c = chunk_rows(spark, sf)
+    line, turn = F.col("seq") % 10_000, F.floor(F.col("seq") / 10_000)
+    system = F.col("finish_reason").isNull() & (turn == 0)
+    return c.select(
+        "thread_id", "seq", F.when(~(system & (F.length("message") < 40)), turn.cast("int")).alias("index"),
+        F.when(line == 0, "").otherwise(F.concat(F.lit("call_"), line.cast("string"))).alias("id"),
+        F.when(line >= 1, F.concat(F.lit("tool_"), F.length("message").cast("string"))).otherwise("").alias("name"),
+        F.col("message").alias("args"),
+    )
+
+
+def merged_tool_calls(spark, sf):
+    return threads.merge_fragments(_fragments(spark, sf))
+
+
+QUERIES = {
+    "assembled_messages": assembled_messages,
+    "assembled_messages_batch": assembled_messages_batch,
+    "reports_per_thread": reports_per_thread,
+    "finished_conversations": finished_conversations,
+    "merged_tool_calls": merged_tool_calls,
+}
+_CHUNKS = """WITH ln AS (SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS message, unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n FROM conversations),
+ch AS (SELECT CAST(conv_id AS VARCHAR) AS thread_id, turn * 10000 + i AS seq, message, CASE WHEN i = n - 1 AND role <> 'system' THEN CASE WHEN turn % 2 = 1 THEN 'interrupt' ELSE 'stop' END END AS finish_reason,
+  CASE WHEN role = 'assistant' THEN 'reporter' ELSE 'coordinator' END AS agent FROM ln),
+ok AS (SELECT * FROM ch WHERE message <> ''),
+no AS (SELECT *, coalesce(sum(CASE WHEN finish_reason IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY thread_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM ok),
+ms AS (SELECT thread_id, no, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_chunks, string_agg(message, '' ORDER BY seq) AS text, max(finish_reason) AS finish_reason FROM no GROUP BY 1, 2 HAVING max(finish_reason) IS NOT NULL)
+"""
+ORACLES = {
+    "assembled_messages": _CHUNKS + "SELECT thread_id, first_seq, last_seq, n_chunks, text, finish_reason FROM ms",
+    "assembled_messages_batch": _CHUNKS + "SELECT thread_id, first_seq, last_seq, n_chunks, text, finish_reason, CAST(0 AS BIGINT) AS part FROM ms",
+    "reports_per_thread": _CHUNKS + "SELECT thread_id, CAST(0 AS BIGINT) AS part, string_agg(message, '' ORDER BY seq) AS text FROM ok WHERE agent = 'reporter' OR thread_id NOT IN (SELECT thread_id FROM ok WHERE agent = 'reporter') GROUP BY 1",
+    "finished_conversations": _CHUNKS + "SELECT thread_id, max(last_seq) AS last_seq, max_by(text, last_seq) AS text, max_by(finish_reason, last_seq) AS finish_reason FROM ms GROUP BY 1",
+    "merged_tool_calls": _CHUNKS + """, fr AS (SELECT thread_id, seq, CASE WHEN NOT (finish_reason IS NULL AND seq // 10000 = 0 AND length(message) < 40) THEN CAST(seq // 10000 AS INTEGER) END AS index,
+  CASE WHEN seq % 10000 = 0 THEN '' ELSE 'call_' || (seq % 10000) END AS id, CASE WHEN seq % 10000 >= 1 THEN 'tool_' || length(message) ELSE '' END AS name, message AS args FROM ch)
+SELECT thread_id, index, coalesce(arg_min(name, seq) FILTER (name <> ''), '') AS name, coalesce(arg_min(id, seq) FILTER (id <> ''), '') AS id, CAST(0 AS BIGINT) AS part, string_agg(args, '' ORDER BY seq) AS args FROM fr WHERE index IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT thread_id, 0, name, id, 0, args FROM fr WHERE index IS NULL""",
+}

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.guarded import clean_number, tolerant_date
+from ..functions.guarded import clean_number, fixed, tolerant_date
 from ..operators.align import first_source_wins
 
 MAX_COLUMNS = 10_000
@@ -60,7 +60,7 @@ def write_panel_csv(panel: DataFrame, names: dict[str, str], path: str, decimals
     """Dual-header export. Days are range-partitioned, so each task writes its stretch of the
     calendar; every part file repeats the id header, and the name line is a row of its own."""
     wide = to_wide(panel, list(names))
-    cells = [F.coalesce(F.format_string(f"%.{decimals}f", F.col(f"`{i}`")), F.lit("")).alias(i) for i in names]
+    cells = [F.coalesce(fixed(F.col(f"`{i}`"), decimals), F.lit("")).alias(i) for i in names]
     body = wide.select(F.col("d").cast("string").alias("data_date"), *cells)
     head = panel.sparkSession.createDataFrame([("data_date", *names.values())], body.schema)
     head.unionByName(body).repartitionByRange("data_date").sortWithinPartitions("data_date").write.mode("overwrite").csv(

@@ -32,7 +32,7 @@ def producer_chunks(chunks: DataFrame, agent: str = "reporter") -> DataFrame:
     return chunks.filter(F.col("agent") == agent)
 
 
-def _glue(timeout_ms: int):
+def _glue(timeout_ms: int | None):
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         first, last, n, text = state.get if state.exists else (None, None, 0, "")
         done = []
@@ -55,7 +55,8 @@ def _glue(timeout_ms: int):
             text = "".join(pieces)
         if n:
             state.update((first, last, n, text))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(done, columns=MESSAGE_COLUMNS)
@@ -66,15 +67,18 @@ def _glue(timeout_ms: int):
 MESSAGE_COLUMNS = [part.split()[0] for part in MESSAGE_SCHEMA.split(", ")]
 
 
-def assemble_stream(chunks: DataFrame, timeout_minutes: int = 60) -> DataFrame:
+def assemble_stream(chunks: DataFrame, timeout_minutes: int | None = None) -> DataFrame:
     """Finished messages of a stream of chunks. What a key can bring into one task is a
-    micro-batch's share of it (bound it with maxFilesPerTrigger or maxBytesPerTrigger); a thread
-    silent for longer than the timeout gives up its open message, marked as such."""
+    micro-batch's share of it (bound it with maxFilesPerTrigger or maxBytesPerTrigger). With a
+    timeout, a thread silent for longer gives up its open message, marked as such; that is for
+    queries that keep running (a drained query with a clock-based timeout would never end)."""
+    timeout = GroupStateTimeout.NoTimeout if timeout_minutes is None else GroupStateTimeout.ProcessingTimeTimeout
+    timeout_ms = None if timeout_minutes is None else timeout_minutes * 60_000
     return (
         valid_chunks(chunks)
         .select("thread_id", "seq", "message", "finish_reason")
         .groupBy("thread_id")
-        .applyInPandasWithState(_glue(timeout_minutes * 60_000), MESSAGE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(_glue(timeout_ms), MESSAGE_SCHEMA, STATE_SCHEMA, "append", timeout)
     )
 
 
