@@ -85,7 +85,7 @@ def assemble_stream(chunks: DataFrame, timeout_minutes: int | None = None) -> Da
 def assemble_batch(chunks: DataFrame) -> DataFrame:
     """The same over a finished table: (thread_id, first_seq, last_seq, n_chunks, finish_reason,
     part, text). Open messages at the end of a thread are left out."""
-    ended = F.col("finish_reason").isin(*FINISHED)
+    ended = F.coalesce(F.col("finish_reason").isin(*FINISHED), F.lit(False))
     numbered = running_sums(valid_chunks(chunks), ["thread_id"], "seq", {"_done": ended.cast("int")})
     numbered = numbered.withColumn("message_no", F.col("_done") - ended.cast("int"))
     meta = numbered.groupBy("thread_id", "message_no").agg(
