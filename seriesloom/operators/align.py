@@ -41,17 +41,15 @@ def backward_fill(panel: DataFrame, value: str = "value", out: str = "value", ke
 
 def align_asof(panel: DataFrame, lo: str, hi: str, catalog: DataFrame | None = None) -> DataFrame:
     """Latest non-null value at or before each spine day, however old; values from before
-    ``lo`` carry in. Union and one sorted window: linear, no range join."""
+    ``lo`` carry in. Union and one sorted window: one shuffle, linear, no range join."""
     catalog = panel.select("series_id").distinct() if catalog is None else catalog
-    grid = spine(catalog, lo, hi).select("series_id", "d", F.lit(None).cast("double").alias("value"))
+    grid = spine(catalog, lo, hi).select("series_id", "d", F.lit(None).cast("double").alias("value"), F.lit(True).alias("_grid"))
     seen = panel.filter(F.col("value").isNotNull() & (F.col("d") <= F.lit(hi).cast("date")))
-    both = (
-        seen.select("series_id", "d", "value")
-        .unionByName(grid)
-        .groupBy("series_id", "d")
-        .agg(F.max("value").alias("value"))
-    )
-    return forward_fill(both).filter(F.col("d") >= F.lit(lo).cast("date"))
+    both = seen.select("series_id", "d", "value", F.lit(False).alias("_grid")).unionByName(grid)
+    # on one day the observation sorts before the spine row (False before True)
+    w = Window.partitionBy("series_id").orderBy("d", "_grid").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("value", F.last("value", ignorenulls=True).over(w))
+    return filled.filter("_grid").drop("_grid")
 
 
 def align_exact(panel: DataFrame, lo: str, hi: str, catalog: DataFrame | None = None) -> DataFrame:

@@ -25,11 +25,14 @@ def weekly_days(days: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFr
 
 
 def weekly_sample(panel: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
-    """Rows of the weekly days, whole: the row rides along in the struct of the maximum."""
-    rest = [c for c in panel.columns if c not in (*keys, "d")]
-    pick = F.max_by(F.struct("d", *rest), F.struct((F.weekday("d") == 4).alias("friday"), F.col("d").alias("day")))
-    grouped = panel.withColumns(iso_week_keys(F.col("d"))).groupBy(*keys, "iso_year", "iso_week")
-    return grouped.agg(pick.alias("r")).select(*keys, "r.*")
+    """Rows of the weekly days, whole. A Friday is in; another last day of its week is in unless
+    the Friday, at most two rows back, is there. Only neighbours in the day order are looked at,
+    so after other per-series windows this needs neither a shuffle nor a sort of its own."""
+    w, d = by_day(*keys), F.col("d")
+    friday = F.date_add(d, 4 - F.weekday(d))
+    last_of_week = F.coalesce(F.lead("d").over(w) > F.date_add(d, 6 - F.weekday(d)), F.lit(True))
+    friday_before = F.coalesce(F.lag("d", 1).over(w) == friday, F.lit(False)) | F.coalesce(F.lag("d", 2).over(w) == friday, F.lit(False))
+    return panel.withColumn("_in", (d == friday) | (last_of_week & ~friday_before)).filter("_in").drop("_in")
 
 
 def rebuild_calendar(weekly: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -11,10 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import tokens
+from ..session import cut_lineage
 from .scan import top_per_group
 
 K1, B = 1.5, 0.75
@@ -22,6 +26,11 @@ RRF_K = 60
 SCORE_DIGITS = 6
 # query vectors held by a task at once: 4,096 x 1,024 doubles are 32 MB
 QUERY_BLOCK = 4_096
+# word queries scored in one scan, the scans taken before the relational way is cheaper, and the
+# query terms of a block: 256 queries x 20,000 terms are 41 MB of weights in a task at most
+WORD_BLOCK, MAX_SCANS, MAX_BLOCK_PAIRS = 256, 64, 20_000
+# cells of a count or score table inside a task: 16 MB of doubles
+SCORE_CELLS = 2_000_000
 
 
 def term_postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -71,8 +80,91 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
     return top_per_group(scores, ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
 
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 10, **kw) -> DataFrame:
-    return ranked(bm25_scores(chunks, queries, **kw), k)
+def token_index(chunks: DataFrame) -> DataFrame:
+    """(id, t): the tokens of every chunk. Write it next to the chunk table and hand it to
+    ``bm25_search`` to search an unchanged corpus again."""
+    return chunks.select("id", tokens(F.col("content")).alias("t"))
+
+
+def _score_block(names: list, terms: list[str], weights: np.ndarray, avg_len: float, k: int, k1: float, b: float, schema: pa.Schema):
+    """Scores a partition of tokens against one block of queries: occurrence counts of the asked
+    terms per chunk, saturated, times the query weights; k chunks per query stay."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, width = pa.array(terms, pa.string()), len(terms)
+        step = max(1, SCORE_CELLS // max(width, len(names)))
+        best = _no_hits()
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                ids, lists = batch.column(0).slice(start, step), batch.column(1).slice(start, step)
+                at = pc.index_in(lists.flatten(), value_set=vocabulary)
+                known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+                rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[known]
+                cols = pc.drop_null(at).to_numpy(zero_copy_only=False)
+                tf = np.bincount(rows.astype("int64") * width + cols, minlength=len(ids) * width).reshape(len(ids), width)
+                length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                shared = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len)[:, None])
+                scores = np.round(weights @ shared.T, SCORE_DIGITS)
+                best = _keep_best(best, scores, np.array(ids.to_pylist()), k, positive=True)
+        if len(best):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[i] for i in best["q"]], schema.field(0).type), pa.array(best["id"].to_list(), schema.field(1).type), pa.array(best["score"])],
+                schema=schema,
+            )
+
+    return scan
+
+
+def bm25_search(
+    chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, index: DataFrame | None = None, block: int = WORD_BLOCK
+) -> DataFrame:
+    """Best k chunks per query. The tokens are scanned where they lie and never shuffled: a first
+    pass counts lengths and document frequencies of the asked terms, then each block of queries
+    is scored in one scan that keeps k chunks per query and task. Very many or very long queries
+    take the relational way (``bm25_scores``), which ships postings instead of queries."""
+    index = cut_lineage(token_index(chunks)) if index is None else index
+    asked = cut_lineage(query_terms(queries))
+    n_blocks = max(1, math.ceil(asked.select("query_id").distinct().count() / (block * 0.8)))
+    in_block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    largest = asked.groupBy(in_block.alias("b")).count().agg(F.max("count")).first()[0] or 0
+    if n_blocks > MAX_SCANS or largest > MAX_BLOCK_PAIRS:
+        return ranked(bm25_scores(chunks, queries, k1, b), k)
+    corpus = index.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avg_len")).first()
+    vocabulary = asked.select("term").distinct()
+    df = index.select(F.explode(F.array_distinct("t")).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighted = cut_lineage(asked.join(df, "term").withColumn("w", F.col("qtf") * F.log1p((corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))))
+    id_type, query_type = dict(index.dtypes)["id"], dict(asked.dtypes)["query_id"]
+    ddl = f"query_id {query_type}, id {id_type}, score double"
+    found = None
+    for part in range(n_blocks):
+        mine = weighted.filter(in_block == part).select("query_id", "term", "w").toPandas()
+        if not len(mine):
+            continue
+        q, names = pd.factorize(mine["query_id"])
+        t, terms = pd.factorize(mine["term"], sort=True)
+        weights = np.zeros((len(names), len(terms)))
+        weights[q, t] = mine["w"]
+        schema = to_arrow_schema(index.sparkSession.createDataFrame([], ddl).schema)
+        scan = _score_block(names.tolist(), terms.tolist(), weights, float(corpus["avg_len"]), k, k1, b, schema)
+        hits = index.mapInArrow(scan, ddl)
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        found = index.sparkSession.createDataFrame([], ddl)
+    return ranked(found, k)
+
+
+def _no_hits() -> pd.DataFrame:
+    return pd.DataFrame({"q": pd.Series(dtype="int64"), "id": pd.Series(dtype="object"), "score": pd.Series(dtype="float64")})
+
+
+def _keep_best(best: pd.DataFrame, scores: np.ndarray, ids: np.ndarray, k: int, positive: bool = False) -> pd.DataFrame:
+    """The k best per query of what was kept and a new (queries x chunks) score table, ties by id."""
+    take = scores > 0 if positive else np.ones_like(scores, dtype=bool)
+    if scores.shape[1] > k:
+        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        take &= scores >= floor[:, None]
+    q, c = np.nonzero(take)
+    return _best(pd.concat([best, pd.DataFrame({"q": q, "id": ids[c], "score": scores[q, c]})]), k)
 
 
 def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -85,7 +177,7 @@ def _scan_block(names: list, matrix: np.ndarray, k: int) -> Callable[[Iterator[p
     is queries x k rows, whatever the partition's size."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = pd.DataFrame({"q": pd.Series(dtype="int64"), "id": pd.Series(dtype="object"), "score": pd.Series(dtype="float64")})
+        best = _no_hits()
         for pdf in batches:
             for start in range(0, len(pdf), 1_000):
                 piece = pdf.iloc[start : start + 1_000]
@@ -95,12 +187,7 @@ def _scan_block(names: list, matrix: np.ndarray, k: int) -> Callable[[Iterator[p
                 if not len(ids):
                     continue
                 scores = np.round(np.maximum(matrix @ (vectors / size[:, None]).T, 0.0), SCORE_DIGITS)
-                if scores.shape[1] > k:
-                    floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                    q, c = np.nonzero(scores >= floor[:, None])
-                else:
-                    q, c = np.nonzero(np.ones_like(scores, dtype=bool))
-                best = _best(pd.concat([best, pd.DataFrame({"q": q, "id": ids[c], "score": scores[q, c]})]), k)
+                best = _keep_best(best, scores, ids, k)
         if len(best):
             yield pd.DataFrame({"query_id": [names[i] for i in best["q"]], "id": best["id"].to_numpy(), "score": best["score"].to_numpy()})
 

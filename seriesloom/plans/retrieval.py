@@ -11,14 +11,14 @@ from ..functions import text as tx
 from ..functions.vectors import cosine, l2_normalise
 from ..operators import retrieval as rt
 from ..operators.scan import top_per_group
-from ..session import cut_lineage, scratch_path
+from ..session import cut_lineage, scratch_path, spread
 from ..sources import corpus
 from ..sources.tables import table
 from .base import rounded
 
 
 def page_texts(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+    return spread(table(spark, sf, "pages")).select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
 
 def corpus_scan(spark, sf):
@@ -30,7 +30,7 @@ def corpus_scan(spark, sf):
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("file_"), "source", F.lit("_"), "lang").alias("file_name"), "source", F.col("text").alias("content"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.concat(F.lit("file_"), "source", F.lit("_"), "lang").alias("file_name"), "source", F.col("text").alias("content"))
 
 
 def _vectors(spark, sf):
