@@ -55,8 +55,7 @@ def align_asof(panel: DataFrame, lo: str, hi: str, catalog: DataFrame | None = N
 def align_exact(panel: DataFrame, lo: str, hi: str, catalog: DataFrame | None = None) -> DataFrame:
     """Only observations on spine days count; then forward fill. History before ``lo`` is lost."""
     catalog = panel.select("series_id").distinct() if catalog is None else catalog
-    joined = spine(catalog, lo, hi).join(panel.select("series_id", "d", "value"), ["series_id", "d"], "left")
-    return forward_fill(joined)
+    return align_asof(panel.filter(F.col("d") >= F.lit(lo).cast("date")), lo, hi, catalog)
 
 
 def expand_intervals(intervals: DataFrame, label: str) -> DataFrame:

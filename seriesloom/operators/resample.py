@@ -47,22 +47,16 @@ def bucket_day(d: Column, frequency: str) -> Column:
 
 
 def resample_mean(panel: DataFrame, frequency: str) -> DataFrame:
-    """Mean per bucket on a gap-free axis from the first to the last bucket of the whole input
-    (the axis ends travel as a one-row aggregate)."""
-    means = panel.groupBy("series_id", bucket_day(F.col("d"), frequency).alias("d")).agg(F.avg("value").alias("value"))
+    """Mean per bucket on a gap-free axis from the first to the last bucket of the whole input.
+    The axis cells join the values as rows without a value, so one aggregate does both; the
+    ends of the axis are scalar subqueries."""
+    bucket = bucket_day(F.col("d"), frequency)
     step = {"week": "interval 7 days", "month": "interval 1 month", "day": "interval 1 day"}[frequency]
-    bounds = panel.agg(
-        F.min(bucket_day(F.col("d"), frequency)).alias("lo"), F.max(bucket_day(F.col("d"), frequency)).alias("hi")
-    )
-    # both sides carry a constant key: an equi-join whose right side is exactly one row
-    series = panel.select("series_id").distinct().withColumn("_k", F.lit(1))
-    first = F.trunc("lo", "MM") if frequency == "month" else F.col("lo")
-    axis = (
-        series.join(F.broadcast(bounds.withColumn("_k", F.lit(1))), "_k")
-        .select("series_id", F.explode(F.sequence(first, F.col("hi"), F.expr(step))).alias("d"))
-        .select("series_id", bucket_day(F.col("d"), frequency).alias("d"))
-    )
-    return axis.join(means, ["series_id", "d"], "left")
+    lo, hi = panel.agg(F.min(bucket)).scalar(), panel.agg(F.max(bucket)).scalar()
+    first = F.trunc(lo, "MM") if frequency == "month" else lo
+    axis = panel.select("series_id").distinct().select("series_id", F.explode(F.sequence(first, hi, F.expr(step))).alias("d"))
+    cells = axis.withColumn("value", F.lit(None).cast("double"))
+    return panel.select("series_id", "d", "value").unionByName(cells).groupBy("series_id", bucket.alias("d")).agg(F.avg("value").alias("value"))
 
 
 def interpolate(panel: DataFrame, fill_zero: bool = True) -> DataFrame:
@@ -89,10 +83,8 @@ def point_budget(panel: DataFrame, budget: int = 1000) -> DataFrame:
     """The latest ``budget // number of series`` dates of a scenario set, whole dates only.
 
     Ranks are taken over the distinct dates (one row per calendar day), never over the rows."""
-    n = panel.agg(F.count_distinct("series_id").alias("n")).select(
-        F.lit(1).alias("_k"), F.when(F.col("n") > 0, F.floor(F.lit(budget) / F.col("n"))).otherwise(0).alias("n_dates")
-    )
-    dates = panel.groupBy("d").agg(F.lit(1).alias("_k"))
-    ranked = dates.withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy(F.col("d").desc())))
-    keep = ranked.join(F.broadcast(n), "_k").filter((F.col("n_dates") == 0) | (F.col("_r") <= F.col("n_dates")))
+    n_dates = panel.agg(F.floor(F.lit(budget) / F.count_distinct("series_id"))).scalar()
+    dates = panel.select("d").distinct()
+    ranked = dates.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("d").desc())))
+    keep = ranked.withColumn("_n", n_dates).filter((F.col("_n") == 0) | (F.col("_r") <= F.col("_n")))
     return panel.join(keep.select("d"), "d", "left_semi")

@@ -66,9 +66,8 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float
     asked = query_terms(queries)
     postings = term_postings(chunks, asked)
     df = document_frequencies(postings)
-    # exactly one row, so the broadcast cannot grow
-    size = F.broadcast(corpus_size(chunks).withColumn("one", F.lit(1)))
-    weighted = asked.join(df, "term").withColumn("one", F.lit(1)).join(size, "one").drop("one")
+    size = corpus_size(chunks)
+    weighted = asked.join(df, "term").withColumns({"n_chunks": size.select("n_chunks").scalar(), "avg_len": size.select("avg_len").scalar()})
     idf = F.log1p((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avg_len")
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * length)

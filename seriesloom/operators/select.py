@@ -214,10 +214,7 @@ def cap_keeping_protected(features: DataFrame, importance: DataFrame, cap: int =
     joined = features.join(importance, "feature_id", "left")
     order = [F.coalesce("importance", F.lit(0.0)).desc(), F.col("feature_id")]
     factors = top_per_group(joined.filter(F.col("ftype") == "factor"), ["ftype"], order, cap + slack, "place")
-    kept = (
-        factors.withColumn("one", F.lit(1))
-        .join(F.broadcast(sizes.withColumn("one", F.lit(1))), "one")
-        .filter((F.col("n") <= cap + slack) | (F.col("place") <= cap - F.col("n_protected")))
-    )
+    n, n_protected = sizes.select("n").scalar(), sizes.select("n_protected").scalar()
+    kept = factors.filter((n <= cap + slack) | (F.col("place") <= F.lit(cap) - n_protected))
     protected = features.filter(F.col("ftype") != "factor").select("feature_id", "ftype")
     return protected.unionByName(kept.select("feature_id", "ftype"))
