@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.scan import joined_text
 from ..session import scratch_path
 from ..sources.tables import table
 from ..streaming import threads
+from ..streaming.events import parse_events
 
 CHUNK_SCHEMA = "thread_id string, seq long, message string, finish_reason string, agent string"
 
@@ -69,7 +71,21 @@ def merged_tool_calls(spark, sf):
     return threads.merge_fragments(_fragments(spark, sf))
 
 
+def parsed_events(spark, sf):
+    """Conversations as event-stream texts (with a broken event and a closing mark each), parsed
+    back to agent and content."""
+    c = chunk_rows(spark, sf)
+    data = F.to_json(F.struct("agent", F.col("message").alias("content")))
+    event = F.concat(F.lit("event: message_chunk\ndata: "), data, F.lit("\n\n"))
+    whole = joined_text(c.select("thread_id", "seq", event.alias("e")), ["thread_id"], "seq", "e")
+    text = F.concat(F.col("text"), F.lit("event: broken\ndata: {no\n\ndata: [DONE]\n\n"))
+    out = parse_events(whole.select("thread_id", text.alias("text")), "thread_id", "text")
+    fields = F.from_json("data", "agent string, content string")
+    return out.select("thread_id", "event_no", "type", fields["agent"].alias("agent"), fields["content"].alias("content"))
+
+
 QUERIES = {
+    "parsed_events": parsed_events,
     "assembled_messages": assembled_messages,
     "assembled_messages_batch": assembled_messages_batch,
     "reports_per_thread": reports_per_thread,
@@ -84,6 +100,8 @@ no AS (SELECT *, coalesce(sum(CASE WHEN finish_reason IS NOT NULL THEN 1 ELSE 0
 ms AS (SELECT thread_id, no, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_chunks, string_agg(message, '' ORDER BY seq) AS text, max(finish_reason) AS finish_reason FROM no GROUP BY 1, 2 HAVING max(finish_reason) IS NOT NULL)
 """
 ORACLES = {
+    "parsed_events": _CHUNKS + """, ev AS (SELECT thread_id, CAST(row_number() OVER (PARTITION BY thread_id ORDER BY seq) - 1 AS INTEGER) AS event_no, agent, message FROM ch)
+SELECT thread_id, event_no, 'message_chunk' AS type, agent, message AS content FROM ev UNION ALL SELECT thread_id, CAST(count(*) + 1 AS INTEGER), 'done', NULL, NULL FROM ev GROUP BY 1""",
     "assembled_messages": _CHUNKS + "SELECT thread_id, first_seq, last_seq, n_chunks, text, finish_reason FROM ms",
     "assembled_messages_batch": _CHUNKS + "SELECT thread_id, first_seq, last_seq, n_chunks, text, finish_reason, CAST(0 AS BIGINT) AS part FROM ms",
     "reports_per_thread": _CHUNKS + "SELECT thread_id, CAST(0 AS BIGINT) AS part, string_agg(message, '' ORDER BY seq) AS text FROM ok WHERE agent = 'reporter' OR thread_id NOT IN (SELECT thread_id FROM ok WHERE agent = 'reporter') GROUP BY 1",

@@ -3,6 +3,7 @@
 from conftest import rows
 
 from seriesloom.streaming import threads
+from seriesloom.streaming.events import parse_events
 
 SCHEMA = "thread_id string, seq long, message string, finish_reason string, agent string"
 BATCHES = [
@@ -64,3 +65,9 @@ def test_fragments(spark, tmp_path):
     query = threads.merge_fragments_stream(stream).writeStream.format("memory").queryName("merged").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert rows(spark.table("merged"), "thread_id", "index", "name", "id", "args") == [w for w in want if w[2] != "loose"]
+
+
+def test_event_texts(spark):
+    text = 'event: a\ndata: {"x": 1}\n\nevent: b\n\ndata: {"x": 2}\n\nevent: c\ndata: {bad\n\nevent: d\ndata: [DONE]\n\nevent: e\ndata: 7'
+    got = rows(parse_events(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t"), "event_no", "type", "data")
+    assert got == [(0, "a", '{"x": 1}'), (4, "done", None), (5, "e", "7")]
