@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.guarded import safe_ratio
 from .align import by_day
+from .scan import running_max
 
 
 def _steps(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -93,8 +94,9 @@ def error_histogram(predictions: DataFrame, width: float, keys: Sequence[str] =
 
 
 def best_so_far(trials: DataFrame, keys: Sequence[str] = ("study_id",)) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    return trials.withColumn("best_so_far", F.max("mda").over(w))
+    """Best score up to each trial. A study may have any number of trials, so the running maximum
+    is taken in blocks."""
+    return running_max(trials, keys, "number", F.col("mda"), "best_so_far")
 
 
 def latest_rows(predictions: DataFrame, n: int = 10, keys: Sequence[str] = ("target_id",)) -> DataFrame:

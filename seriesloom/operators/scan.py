@@ -36,6 +36,16 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str,
     return joined.withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in sums}).drop(*drop)
 
 
+def running_max(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, width: int = BLOCK) -> DataFrame:
+    """Largest value of its group up to each row."""
+    blocked = _blocked(df, order, width).withColumn("_v", value)
+    inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = blocked.groupBy(*keys, "_b").agg(F.max("_v").alias("_t")).select(*keys, "_b", F.max("_t").over(earlier).alias("_o"))
+    local = blocked.withColumn("_m", F.max("_v").over(inside))
+    return local.join(tops, [*keys, "_b"]).withColumn(out, F.greatest("_m", "_o")).drop("_b", "_v", "_m", "_o")
+
+
 def last_before(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, width: int = BLOCK) -> DataFrame:
     """The last non-null ``value`` strictly before each row of its group."""
     blocked = _blocked(df, order, width).withColumn("_v", value)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,65 +137,63 @@ def correlated_pairs(vectors: DataFrame, group: str, threshold: float = 0.98) ->
     )
 
 
-def _greedy_in_group(group: str):
+def _greedy(names: np.ndarray, variances: np.ndarray, vectors: np.ndarray, threshold: float) -> list:
+    """Names kept in order of falling variance (ties by id): a kept feature strikes out every
+    later one it correlates with, so the work is kept x all, never all pairs."""
+    order = np.lexsort((names, -variances))
+    names, vectors, alive, kept = names[order], vectors[order], np.ones(len(order), dtype=bool), []
+    for i in range(len(order)):
+        if alive[i]:
+            kept.append(names[i])
+            alive[i + 1 :] &= np.abs(vectors[i + 1 :] @ vectors[i]) <= threshold
+    return kept
+
+
+def _settle(vectors: DataFrame, group: str, threshold: float) -> DataFrame:
+    """The greedy choice inside groups that fit a task; gives (group, feature_id)."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order: dict[str, float] = {}
-        for name, var in zip(pdf["keep_first"], pdf["var"]):
-            order[name] = var
-        for name, var in zip(pdf["other"], pdf["var_o"]):
-            order[name] = var
-        rivals: dict[str, list[str]] = {}
-        for first, other in zip(pdf["keep_first"], pdf["other"]):
-            rivals.setdefault(other, []).append(first)
-        dropped: set[str] = set()
-        for name in sorted(order, key=lambda f: (-order[f], f)):
-            if any(first not in dropped for first in rivals.get(name, ())):
-                dropped.add(name)
-        return pd.DataFrame({group: pdf[group].iloc[0], "feature_id": sorted(dropped)})
-
-    return run
-
-
-def _dropped_in_rounds(pairs: DataFrame, group: str) -> DataFrame:
-    """The same greedy result for groups too large for one task: features nobody ranks ahead of
-    stay, their partners go, and the rest is looked at again."""
-    first, other = [group, F.col("keep_first").alias("feature_id")], [group, F.col("other").alias("feature_id")]
-    edges, gone = cut_lineage(pairs.select(group, "keep_first", "other")), None
-    while not edges.isEmpty():
-        roots = edges.select(*first).distinct().join(edges.select(*other).distinct(), [group, "feature_id"], "left_anti")
-        lost = cut_lineage(
-            edges.join(roots.withColumnRenamed("feature_id", "keep_first"), [group, "keep_first"], "left_semi").select(*other).distinct()
-        )
-        gone = lost if gone is None else gone.unionByName(lost)
-        edges = cut_lineage(
-            edges.join(roots.withColumnRenamed("feature_id", "keep_first"), [group, "keep_first"], "left_anti")
-            .join(lost.withColumnRenamed("feature_id", "keep_first"), [group, "keep_first"], "left_anti")
-            .join(lost.withColumnRenamed("feature_id", "other"), [group, "other"], "left_anti")
+        kept = _greedy(pdf["feature_id"].to_numpy(), pdf["var"].to_numpy(), np.stack(pdf["u"].to_numpy()), threshold)
+        return pd.DataFrame({group: pdf[group].iloc[0], "feature_id": kept})
+
+    return vectors.groupBy(group).applyInPandas(run, f"{group} {dict(vectors.dtypes)[group]}, feature_id string")
+
+
+def _settle_in_rounds(vectors: DataFrame, group: str, threshold: float, round_size: int) -> DataFrame:
+    """The same choice for groups of any size. A round settles the next ``round_size`` features of
+    a group among themselves (all earlier ones are decided, so what is kept is final) and strikes
+    out, row by row, whatever correlates with those kept."""
+    order = [F.col("var").desc(), F.col("feature_id")]
+    rest, kept = cut_lineage(vectors), None
+    while not rest.isEmpty():
+        head = cut_lineage(top_per_group(rest, [group], order, round_size).drop("rank"))
+        chosen = cut_lineage(_settle(head, group, threshold))
+        kept = chosen if kept is None else kept.unionByName(chosen)
+        leaders = head.join(chosen, [group, "feature_id"]).groupBy(group).agg(F.collect_list("u").alias("leaders"))
+        struck = F.exists("leaders", lambda v: F.abs(dot(F.col("u"), v)) > threshold)
+        rest = cut_lineage(
+            rest.join(head.select(group, "feature_id"), [group, "feature_id"], "left_anti").join(leaders, group).filter(~struck).drop("leaders")
         )
-    return pairs.select(*other).limit(0) if gone is None else gone
+    return vectors.select(group, "feature_id").limit(0) if kept is None else kept
 
 
 def remove_redundant(
     features: DataFrame, group: str = "series_id", threshold: float = 0.98, min_variance: float = 1e-8,
-    fit_until: str | None = None, task_pairs: int = 1_000_000,
+    fit_until: str | None = None, task_cells: int = 16_000_000, round_size: int = 256,
 ) -> DataFrame:
     """Features left after the variance filter and the greedy redundancy pass: in order of
     falling variance a feature stays unless one that stayed correlates beyond the threshold.
 
     Exact copies are folded into their first id beforehand (they share every correlation, so the
-    greedy pass drops them anyway). Groups with few pairs are settled in one task each, larger
-    ones in rounds of joins."""
+    greedy pass drops them anyway). Groups whose vectors fit a task (``task_cells`` doubles) are
+    settled in one, larger ones in rounds."""
     vectors = unit_vectors(features, group, fit_until, min_variance)
     single = cut_lineage(vectors.groupBy(group, "u", "var").agg(F.min("feature_id").alias("feature_id")))
-    pairs = cut_lineage(correlated_pairs(single, group, threshold))
-    sizes = pairs.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    big = sizes.filter(F.col("n") > task_pairs).select(group)
-    small_pairs = pairs.join(big, group, "left_anti")
-    id_type = dict(features.dtypes)[group]
-    gone = small_pairs.groupBy(group).applyInPandas(_greedy_in_group(group), f"{group} {id_type}, feature_id string")
+    big = single.groupBy(group).agg(F.sum(F.size("u")).alias("cells")).filter(F.col("cells") > task_cells).select(group)
+    kept = _settle(single.join(big, group, "left_anti"), group, threshold)
     if not big.isEmpty():
-        gone = gone.unionByName(_dropped_in_rounds(pairs.join(big, group, "left_semi"), group))
-    return single.select(group, "feature_id").join(gone, [group, "feature_id"], "left_anti")
+        kept = kept.unionByName(_settle_in_rounds(single.join(big, group, "left_semi"), group, threshold, round_size))
+    return kept
 
 
 # ---- importance caps

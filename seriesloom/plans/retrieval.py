@@ -90,12 +90,10 @@ def vector_norms(spark, sf):
 
 
 def pair_similarity(spark, sf):
-    """Similarity of each vector to the next one of its label."""
-    from pyspark.sql import Window
-
-    e = table(spark, sf, "embeddings")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return rounded(e.select("vec_id", "embedding", F.lead("embedding").over(w).alias("next")).filter(F.col("next").isNotNull()).select("vec_id", cosine(F.col("embedding"), F.col("next")).alias("similarity")), 6)
+    """Similarity of each vector to the one with the next id."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    following = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return rounded(e.join(following, "vec_id").select("vec_id", cosine(F.col("embedding"), F.col("next")).alias("similarity")), 6)
 
 
 def nearest_vectors(spark, sf):
@@ -255,8 +253,7 @@ ORACLES = {
     "bm25_top": _C + ", " + _bm25_sql(k=10) + " SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM bm",
     "vector_norms": """WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings)
 SELECT vec_id, round(e[1] / n, 6) AS first, round(e[64] / n, 6) AS last, round(list_sum(list_transform(e, lambda x: (x / n) * (x / n))), 6) AS size FROM u""",
-    "pair_similarity": """WITH l AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, lead(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)
-SELECT vec_id, round(greatest(0, list_cosine_similarity(a, b)), 6) AS similarity FROM l WHERE b IS NOT NULL""",
+    "pair_similarity": """SELECT a.vec_id, round(greatest(0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "nearest_vectors": """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(greatest(0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS score FROM embeddings a, embeddings b)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) WHERE rank <= 5""",
     "nearest_chunks": _C + ", " + _knn_sql(10) + " SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM kn",

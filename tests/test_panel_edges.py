@@ -195,13 +195,13 @@ def brute_redundant(cols, limit):
     return sorted(kept)
 
 
-@pytest.mark.parametrize("task_pairs", [1_000_000, 0])
-def test_greedy_redundancy(spark, task_pairs):
+@pytest.mark.parametrize("task_cells, round_size", [(1_000_000, 256), (0, 4)])
+def test_greedy_redundancy(spark, task_cells, round_size):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(3, 50)).cumsum(axis=1)
     cols = {f"f{i:02d}": (base[i % 3] * (-1) ** i * (1 + i / 50) + rng.normal(scale=0.05 * i, size=50)).round(6) for i in range(15)}
     cols |= {"copy": cols["f05"], "flat": np.ones(50)}
-    got = select.remove_redundant(long_features(spark, cols), "series_id", 0.95, task_pairs=task_pairs)
+    got = select.remove_redundant(long_features(spark, cols), "series_id", 0.95, task_cells=task_cells, round_size=round_size)
     assert [f for (_, f) in rows(got, "series_id", "feature_id")] == brute_redundant(cols, 0.95)
 
 
