@@ -171,16 +171,17 @@ def _rsi(p: int) -> str:
 _RECURSIVE = with_(ORDD) + f""", st AS (SELECT series_id, d, value, row_number() OVER {W} - 1 AS i, greatest(value - lag(value) OVER {W}, 0) AS gain, greatest(lag(value) OVER {W} - value, 0) AS loss FROM ordd),
 {_rsi(7)},
 {_rsi(14)},
+vs AS (SELECT series_id, d, value, row_number() OVER {W} - 1 AS i FROM ordd WHERE value IS NOT NULL),
 ema AS (SELECT * FROM (WITH RECURSIVE e AS (
-    SELECT series_id, i, value AS a, value AS b, CAST(0 AS DOUBLE) AS s FROM st WHERE i = 0
+    SELECT series_id, d, i, value AS a, value AS b, CAST(0 AS DOUBLE) AS s FROM vs WHERE i = 0
     UNION ALL
-    SELECT series_id, i, a, b, s + ((a - b) - s) * 2 / 10 FROM (SELECT e.series_id, t.i, e.a + (t.value - e.a) * 2 / 13 AS a, e.b + (t.value - e.b) * 2 / 27 AS b, e.s FROM e JOIN st t ON t.series_id = e.series_id AND t.i = e.i + 1))
+    SELECT series_id, d, i, a, b, s + ((a - b) - s) * 2 / 10 FROM (SELECT e.series_id, t.d, t.i, e.a + (t.value - e.a) * 2 / 13 AS a, e.b + (t.value - e.b) * 2 / 27 AS b, e.s FROM e JOIN vs t ON t.series_id = e.series_id AND t.i = e.i + 1))
   SELECT * FROM e))
 SELECT st.series_id, st.d, st.value,
   round(CASE WHEN st.i >= 7 THEN CASE WHEN r7.l < 1e-10 THEN 100.0 ELSE 100.0 - 100.0 / (1.0 + r7.g / r7.l) END END, 4) AS rsi7,
   round(CASE WHEN st.i >= 14 THEN CASE WHEN r14.l < 1e-10 THEN 100.0 ELSE 100.0 - 100.0 / (1.0 + r14.g / r14.l) END END, 4) AS rsi14,
   round(a - b, 4) AS macd, round(s, 4) AS macd_signal, round(a - b - s, 4) AS macd_hist
-FROM st LEFT JOIN rsi7 r7 USING (series_id, i) LEFT JOIN rsi14 r14 USING (series_id, i) JOIN ema USING (series_id, i)"""
+FROM st LEFT JOIN rsi7 r7 USING (series_id, i) LEFT JOIN rsi14 r14 USING (series_id, i) LEFT JOIN ema ON ema.series_id = st.series_id AND ema.d = st.d"""
 
 _CALENDAR = """year(d)::INTEGER AS year, month(d)::INTEGER AS month, day(d)::INTEGER AS day, quarter(d)::INTEGER AS quarter, (isodow(d) - 1)::INTEGER AS dayofweek, dayofyear(d)::INTEGER AS dayofyear, week(d)::INTEGER AS weekofyear, """ + ", ".join(
     [f"(month(d) = {m})::INTEGER AS month_{m}" for m in range(2, 13)] + [f"(quarter(d) = {q})::INTEGER AS quarter_{q}" for q in range(2, 5)]
