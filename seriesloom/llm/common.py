@@ -37,6 +37,19 @@ def text_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of a batch, closed once their texts reach ``chars``: what is built from
+    one range stays small whatever the batch holds (one long text is a range of its own)."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= chars:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def learns(doc_id: Column, held_out: int) -> Column:
     """Whether a document may be learned from: crc32 of its id as text, modulo 5, is not
     ``held_out``. A document without an id is learned from."""

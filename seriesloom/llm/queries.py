@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and the SQL they must agree with."""
 
-from . import mixing
+from . import mixing, pieces, token_counts
 
-MODULES = (mixing,)
+MODULES = (token_counts, pieces, mixing)
 
 
 def queries():
