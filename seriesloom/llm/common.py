@@ -80,7 +80,7 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
             .unionByName(small.filter("lo <> low").select(F.col("low").alias("lo"), F.col("lo").alias("hi")))
             .distinct()
         )
-        now = links.agg(F.count(F.lit(1)), F.sum("lo"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
+        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if before == tuple(now):
             return links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
         before = tuple(now)

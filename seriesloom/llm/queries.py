@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and the SQL they must agree with."""
 
-from . import mixing, pieces, token_counts
+from . import jaccard, mixing, pieces, token_counts
 
-MODULES = (token_counts, pieces, mixing)
+MODULES = (token_counts, jaccard, pieces, mixing)
 
 
 def queries():
