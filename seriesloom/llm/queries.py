@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and the SQL they must agree with."""
 
-from . import jaccard, mixing, pieces, token_counts
+from . import jaccard, mixing, near_vectors, pieces, token_counts, topk, warc
 
-MODULES = (token_counts, jaccard, pieces, mixing)
+MODULES = (topk, token_counts, jaccard, pieces, mixing, warc, near_vectors)
 
 
 def queries():
