@@ -172,6 +172,13 @@ def main_block(tree: Tree) -> int:
         path.append(i)
         i = tree.parent[i]
     threshold = min(dense[i] for i in path)
+    for i in range(best + 1, n):  # an article with most of what was found is the text without its surroundings
+        if tree.name[i] in WHOLE and 2 * chars[i] > chars[best]:
+            up = tree.parent[i]
+            while up > best:
+                up = tree.parent[up]
+            if up == best:
+                return i
     for i in path:  # the innermost article holds the text
         if tree.name[i] in WHOLE:
             return i

@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and the SQL they must agree with."""
 
-from . import jaccard, mixing, near_vectors, page_text, pieces, token_counts, topk, warc
+from . import jaccard, mixing, near_vectors, page_text, pieces, token_counts, topk, toxicity, warc
 
-MODULES = (topk, page_text, token_counts, jaccard, pieces, mixing, warc, near_vectors)
+MODULES = (topk, toxicity, page_text, token_counts, jaccard, pieces, mixing, warc, near_vectors)
 
 
 def queries():
