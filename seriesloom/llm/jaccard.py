@@ -315,8 +315,9 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id, with its own columns. Repeated
     rows of that id are one document; rows without an id are kept."""
     kept = components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    unnamed = docs.filter("doc_id is null")
-    return docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(unnamed)
+    named = docs.filter("doc_id is not null")
+    single = named.dropDuplicates(["doc_id"]) if _repeats(named) else named
+    return single.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def op5_jaccard_join(spark, sf):

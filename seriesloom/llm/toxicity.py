@@ -397,8 +397,8 @@ def parting(scored: list[tuple[float, bool]]) -> float:
     return float(middle[best[len(best) // 2]])
 
 
-def scores(docs: DataFrame, model: tuple[Network, float] | None) -> DataFrame:
-    """``docs`` with a column ``toxicity``: the score of every whole text."""
+def scores(docs: DataFrame, model: tuple[Network, float] | None, name: str = "toxicity") -> DataFrame:
+    """``docs`` with a new column ``name``: the score of every whole text."""
 
     def run(batches):
         scorer = Scorer(model[0]) if model else None
@@ -407,11 +407,17 @@ def scores(docs: DataFrame, model: tuple[Network, float] | None) -> DataFrame:
             found = np.array(list(scorer.logits(texts))) - model[1] if scorer is not None else np.full(len(texts), -np.inf)
             with np.errstate(over="ignore"):
                 value = 1 / (1 + np.exp(-found))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, pa.float64())], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, pa.float64())], [*batch.schema.names, name])
 
     text_at = docs.columns.index("text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "toxicity")
-    return map_text(docs.drop("toxicity"), run, f"{fields}, toxicity double")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return map_text(docs, run, f"{fields}, `{name}` double")
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not toxic, with their own columns."""
+    name = "_toxicity_score"
+    return scores(docs, train(docs, labels), name).filter(F.col(name) < 0.5).select(docs.columns)
 
 
 def op2_toxicity(spark, sf):
