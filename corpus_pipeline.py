@@ -5,11 +5,23 @@ Parquet below the shared folder and read again as the next one's ``docs``."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import mixing
+from seriesloom.llm import jaccard, mixing, pieces, toxicity
 from seriesloom.llm.common import documents
 from seriesloom.session import scratch_path
+from seriesloom.sources.tables import table
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained on those of the stage's input with labels, does not reject."""
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group linked by near-equal shingle sets."""
+    return jaccard.without_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,14 +29,20 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("mixing", mixed)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document of the mixture: number of ids, and digests of the ids and of the decoded text."""
+    return pieces.encode_digests(docs, public_tokenizers.path(pieces.MODEL))
+
+
+STAGES = [("toxicity", without_toxic), ("near copies", without_copies), ("mixing", mixed), ("encoding", encoded)]
+#: no SQL trains the network or knows the pieces
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        path = scratch_path(spark, f"corpus-{name}")
+        path = scratch_path(spark, f"corpus-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
