@@ -108,7 +108,7 @@ class Model:
         names[own] = len(bands) + np.arange(own.sum())
         self.classes = len(bands) + int(own.sum()) + 1  # the last one: the tail and the unknown word
         self.of = names.astype(np.int32)
-        sums = np.bincount(names, self.c + 0.5, self.classes)
+        sums = np.bincount(names, self.c + 0.5, self.classes).astype(np.float64)
         sums[-1] = (total - self.c.sum()) + 0.5 * (distinct - len(self.h)) + 0.5
         self.sums = sums
         self.bias = np.log(sums / sums.sum()).astype(np.float32)

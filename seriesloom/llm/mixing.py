@@ -79,7 +79,7 @@ def _copies(docs: DataFrame, seed: str) -> DataFrame:
     goals = targets(sums.select("source", "source_size")).select(
         _key().alias("_mix_key"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target")
     )
-    units = F.coalesce(F.floor(F.col("_mix_target") / F.col("_mix_source_size") * F.lit(1 << UNIT_BITS)), F.lit(0))
+    units = F.coalesce(F.floor(F.try_divide("_mix_target", "_mix_source_size") * F.lit(1 << UNIT_BITS)), F.lit(0))
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "_mix_key")), 1, UNIT_BITS // 4), 16, 10).cast("long")
     earlier = Window.partitionBy("_mix_key").orderBy("_mix_block").rowsBetween(Window.unboundedPreceding, -1)
     steps = (
