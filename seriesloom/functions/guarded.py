@@ -12,9 +12,10 @@ def clean_number(text: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
-def tolerant_date(text: Column, formats=("yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd")) -> Column:
-    """First format that parses wins; NULL when none does. A midnight suffix is dropped."""
-    trimmed = F.replace(F.trim(text), F.lit(" 00:00:00"), F.lit(""))
+def tolerant_date(text: Column, formats=("yyyy-M-d", "yyyy/M/d", "yyyyMMdd")) -> Column:
+    """First format that parses wins; NULL when none does. Months and days may be unpadded; a time
+    of day behind a blank or a T, with or without a zone, is dropped."""
+    trimmed = F.regexp_replace(F.trim(text), r"[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?$", "")
     return F.coalesce(*[F.try_to_date(trimmed, fmt) for fmt in formats])
 
 

@@ -1,42 +1,48 @@
-"""Text columns: HTML to text, chunks, tokens, hygiene, JSON salvage. All JVM-side expressions."""
+"""Text columns: HTML to text, chunks, tokens, hygiene, JSON salvage. JVM-side expressions, but for
+character references."""
 
 from __future__ import annotations
 
+import html
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Tags whose end starts a new line.
 BLOCK_TAGS = ("p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4")
-# Entities that are resolved; the ampersand last, so nothing is resolved twice.
-ENTITIES = (
-    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&copy;", "\u00a9"), ("&mdash;", "\u2014"), ("&ndash;", "\u2013"), ("&hellip;", "\u2026"),
-    ("&eacute;", "\u00e9"), ("&egrave;", "\u00e8"), ("&uuml;", "\u00fc"), ("&ouml;", "\u00f6"), ("&auml;", "\u00e4"),
-    ("&amp;", "&"),
-)
-# Split marks from paragraph to blank.
-SEPARATORS = ("\n\n", "\n", "\u3002", "!", "?", ";", "\uff01", "\uff1f", "\uff1b", ",", "\uff0c", " ")
-
-
-def html_to_text(html: Column, entities: Sequence[tuple[str, str]] = ENTITIES) -> Column:
-    """Scripts, styles, comments and tags go, closing block tags become line ends, entities are
-    resolved, runs of blanks and of empty lines are squeezed."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?(</\1\s*>|\z)", "")
+# Split marks from paragraph to blank (the marks of a sentence stand there twice).
+SEPARATORS = ("\n\n", "\n", "。", "!", "?", ";", "!", "?", ";", ",", "，", " ")
+# The same with full-width marks, for texts that use them.
+WIDE_SEPARATORS = ("\n\n", "\n", "。", "!", "?", ";", "！", "？", "；", ",", "，", " ")
+BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
+@F.pandas_udf(StringType())
+def resolved(text: pd.Series) -> pd.Series:
+    """Character references, named and numeric, as their characters; Spark has no function for it."""
+    return text.map(html.unescape, na_action="ignore")
+
+
+def html_to_text(page: Column) -> Column:
+    """Scripts, styles, comments and tags go, closing block tags become line ends, character
+    references are resolved, runs of blanks and of empty lines are squeezed."""
+    text = F.regexp_replace(page, r"(?is)<(script|style)\b[^>]*>.*?(</\1\s*>|\z)", "")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
     names = "|".join(BLOCK_TAGS)
     text = F.regexp_replace(text, rf"(?i)</({names})\s*>|<({names})\b[^>]*/>", "\n")
     text = F.regexp_replace(text, r"(?s)<[!/a-zA-Z][^>]*>", "")
-    for entity, char in entities:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = resolved(text)
     text = F.regexp_replace(text, r"[ \t]+", " ")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     return strip(text)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without the white space around it, of any kind."""
+    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+\z", "")
 
 
 def split_pieces(text: Column, size: int, separators: Sequence[str] = SEPARATORS) -> Column:
@@ -58,7 +64,7 @@ def split_pieces(text: Column, size: int, separators: Sequence[str] = SEPARATORS
     return F.filter(F.transform(F.flatten(hard), strip), lambda p: p != "")
 
 
-def chunk_array(text: Column, size: int = 500, overlap: int = 50) -> Column:
+def chunk_array(text: Column, size: int = 500, overlap: int = 50, separators: Sequence[str] = SEPARATORS) -> Column:
     """Greedy packing of the pieces up to ``size``; a new chunk starts with the last ``overlap``
     characters of the one before (so it can be longer than ``size``)."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
@@ -75,7 +81,7 @@ def chunk_array(text: Column, size: int = 500, overlap: int = 50) -> Column:
     def finish(acc: Column) -> Column:
         return F.when(acc["cur"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["cur"]))
 
-    return F.aggregate(split_pieces(text, size), start, pack, finish)
+    return F.aggregate(split_pieces(text, size, separators), start, pack, finish)
 
 
 CJK = r"[\u3400-\u9fff]"

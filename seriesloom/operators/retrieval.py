@@ -26,47 +26,47 @@ RRF_K = 60
 SCORE_DIGITS = 6
 # query vectors held by a task at once: 4,096 x 1,024 doubles are 32 MB
 QUERY_BLOCK = 4_096
-# word queries scored in one scan, the scans taken before the relational way is cheaper, and the
-# query terms of a block: 256 queries x 20,000 terms are 41 MB of weights in a task at most
-WORD_BLOCK, MAX_SCANS, MAX_BLOCK_PAIRS = 256, 64, 20_000
+# word queries scored in one scan, and the query terms of a block: 256 queries x 20,000 terms are
+# about 41 MB of weights in a task
+WORD_BLOCK, BLOCK_PAIRS = 256, 20_000
 # cells of a count or score table inside a task: 16 MB of doubles
 SCORE_CELLS = 2_000_000
 
 
-def term_postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+def term_postings(chunks: DataFrame, terms: DataFrame | None = None, cjk: bool = False) -> DataFrame:
     """(term, id, tf, dl). With ``terms`` only those terms are kept, before the counts are
     shuffled; the join side is chosen by Spark from its measured size."""
-    base = chunks.select("id", tokens(F.col("content")).alias("t"))
+    base = token_index(chunks, cjk)
     exploded = base.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     if terms is not None:
         exploded = exploded.join(terms.select("term").distinct(), "term", "left_semi")
     return exploded.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus_size(chunks: DataFrame) -> DataFrame:
+def corpus_size(chunks: DataFrame, cjk: bool = False) -> DataFrame:
     """One row: number of chunks and mean length in tokens."""
-    return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(F.size(tokens(F.col("content")))).alias("avg_len"))
+    return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(F.size(tokens(F.col("content"), cjk))).alias("avg_len"))
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, cjk: bool = False) -> DataFrame:
     """(query_id, term, qtf): a term asked for twice counts twice."""
     return (
-        queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term"))
+        queries.select("query_id", F.explode(tokens(F.col("query_text"), cjk)).alias("term"))
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, cjk: bool = False) -> DataFrame:
     """(query_id, id, score) for every chunk sharing a term with a query."""
-    asked = query_terms(queries)
-    postings = term_postings(chunks, asked)
+    asked = query_terms(queries, cjk)
+    postings = term_postings(chunks, asked, cjk)
     df = document_frequencies(postings)
-    size = corpus_size(chunks)
+    size = corpus_size(chunks, cjk)
     weighted = asked.join(df, "term").withColumns({"n_chunks": size.select("n_chunks").scalar(), "avg_len": size.select("avg_len").scalar()})
     idf = F.log1p((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avg_len")
@@ -79,10 +79,10 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
     return top_per_group(scores, ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
 
-def token_index(chunks: DataFrame) -> DataFrame:
-    """(id, t): the tokens of every chunk. Write it next to the chunk table and hand it to
-    ``bm25_search`` to search an unchanged corpus again."""
-    return chunks.select("id", tokens(F.col("content")).alias("t"))
+def token_index(chunks: DataFrame, cjk: bool = False) -> DataFrame:
+    """(id, t): the tokens of every chunk, with pairs of Chinese characters if ``cjk``. Write it
+    next to the chunk table and hand it to ``search`` to search an unchanged corpus again."""
+    return chunks.select("id", tokens(F.col("content"), cjk).alias("t"))
 
 
 def _score_block(names: list, terms: list[str], weights: np.ndarray, avg_len: float, k: int, k1: float, b: float, schema: pa.Schema):
@@ -115,19 +115,18 @@ def _score_block(names: list, terms: list[str], weights: np.ndarray, avg_len: fl
 
 
 def bm25_search(
-    chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, index: DataFrame | None = None, block: int = WORD_BLOCK
+    chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, index: DataFrame | None = None,
+    block: int = WORD_BLOCK, cjk: bool = False,
 ) -> DataFrame:
     """Best k chunks per query. The tokens are scanned where they lie and never shuffled: a first
     pass counts lengths and document frequencies of the asked terms, then each block of queries
-    is scored in one scan that keeps k chunks per query and task. Very many or very long queries
-    take the relational way (``bm25_scores``), which ships postings instead of queries."""
-    index = cut_lineage(token_index(chunks)) if index is None else index
-    asked = cut_lineage(query_terms(queries))
-    n_blocks = max(1, math.ceil(asked.select("query_id").distinct().count() / (block * 0.8)))
+    is scored in one scan that keeps k chunks per query and task. A block has about ``block``
+    queries, fewer where they have many terms."""
+    index = cut_lineage(token_index(chunks, cjk)) if index is None else index
+    asked = cut_lineage(query_terms(queries, cjk))
+    sizes = asked.agg(F.count_distinct("query_id"), F.count(F.lit(1))).first()
+    n_blocks = max(1, math.ceil(sizes[0] / (block * 0.8)), math.ceil(sizes[1] / (BLOCK_PAIRS * 0.8)))
     in_block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    largest = asked.groupBy(in_block.alias("b")).count().agg(F.max("count")).first()[0] or 0
-    if n_blocks > MAX_SCANS or largest > MAX_BLOCK_PAIRS:
-        return ranked(bm25_scores(chunks, queries, k1, b), k)
     corpus = index.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avg_len")).first()
     vocabulary = asked.select("term").distinct()
     df = index.select(F.explode(F.array_distinct("t")).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -250,17 +249,20 @@ def rerank(pool: DataFrame, scorer: Callable[[Column, Column], Column]) -> DataF
 def search(
     chunks: DataFrame, queries: DataFrame, top_k: int = 10, mode: str = "mix", scorer: Callable[[Column, Column], Column] | None = None,
     start: str | None = None, end: str | None = None, source_type: int | None = None, prefilter: bool = False,
+    index: DataFrame | None = None, cjk: bool = False,
 ) -> DataFrame:
     """Recall max(3k, 30) per query by BM25, vectors or both fused; filter; cut to max(2k, 20);
     rerank; cut to k. A query without a vector gets its BM25 list. The filter comes after the
-    recall (so fewer than k hits can remain) unless ``prefilter`` is set."""
+    recall (so fewer than k hits can remain) unless ``prefilter`` is set. ``index``: the stored
+    ``token_index`` of the chunks; ``cjk``: Chinese texts are searched by character pairs."""
     if mode not in ("knn", "bm25", "mix"):
         raise ValueError("mode is knn, bm25 or mix")
     meta = chunks.drop("embedding")
     if prefilter:
         chunks = filter_hits(chunks, start, end, source_type)
+        index = None if index is None else index.join(chunks.select("id"), "id", "left_semi")
     pool_k, cut_k = max(3 * top_k, 30), max(2 * top_k, 20)
-    words = bm25_search(chunks, queries, pool_k)
+    words = bm25_search(chunks, queries, pool_k, index=index, cjk=cjk)
     if mode == "bm25" or "query_vector" not in queries.columns:
         merged = words
     else:

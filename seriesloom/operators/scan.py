@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 BLOCK = 100_000
-PART_CHARS = 1_000_000
 
 
 def _blocked(df: DataFrame, order: str, width: int) -> DataFrame:
@@ -57,19 +56,18 @@ def last_before(df: DataFrame, keys: Sequence[str], order: str, value: Column, o
     return local.join(carried, [*keys, "_b"]).withColumn(out, F.coalesce("_l", "_c")).drop("_b", "_v", "_l", "_c")
 
 
-def joined_text(
-    df: DataFrame, keys: Sequence[str], order: str, text: str, separator: str = "", part_chars: int = PART_CHARS, width: int = BLOCK
-) -> DataFrame:
-    """Texts of a group in order, glued to ``(keys, part, text)``. A group is one row (part 0)
-    until its text passes ``part_chars``; a longer one goes on in part 1, 2, ... and reading the
-    parts in order gives it whole, so no task ever holds more than one part and one piece."""
-    placed = running_sums(df, keys, order, {"_chars": F.length(text), "_rank": F.lit(1)}, width)
-    part = F.floor((F.col("_chars") - F.length(text)) / F.lit(part_chars))
-    glued = F.when(F.col("_rank") > 1, F.concat(F.lit(separator), F.col(text))).otherwise(F.col(text))
-    pieces = placed.select(*keys, part.alias("part"), F.struct(F.col(order).alias("o"), glued.alias("t")).alias("_p"))
-    return pieces.groupBy(*keys, "part").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["t"]), "").alias("text")
-    )
+def joined_text(df: DataFrame, keys: Sequence[str], order: str, text: str, separator: str = "", width: int = BLOCK) -> DataFrame:
+    """Texts of a group in order, glued to ``(keys, text)``: one row per group, whatever its length.
+    Blocks of a group are glued where they are and meet as one piece each, so a task's rows are a
+    block's texts or one group's pieces. Null texts are left out."""
+
+    def glue(place: str, piece: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(F.col(piece).isNotNull(), F.struct(F.col(place).alias("o"), F.col(piece).alias("t")))))
+        return F.array_join(F.transform(rows, lambda x: x["t"]), separator)
+
+    blocks = _blocked(df, order, width).groupBy(*keys, "_b").agg(glue(order, text).alias("_t"), F.count(text).alias("_c"))
+    pieces = blocks.withColumn("_t", F.when(F.col("_c") > 0, F.col("_t")))
+    return pieces.groupBy(*keys).agg(glue("_b", "_t").alias("text"))
 
 
 def global_rank(df: DataFrame, order: str, out: str) -> DataFrame:

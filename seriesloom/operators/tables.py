@@ -23,7 +23,7 @@ def table_line(cells: Sequence[Column]) -> Column:
 
 def markdown_tables(rows: DataFrame, keys: Sequence[str], order: str, columns: dict[str, Column]) -> DataFrame:
     """One markdown table per group: header, rule, a line per row in the order of an integer
-    column (from 1). Tables longer than a part go on in further parts."""
+    column (from 1)."""
     head = table_line([F.lit(h) for h in columns])
     rule = F.lit("|" + "|".join("-" for _ in columns) + "|")
     lines = rows.select(*keys, F.col(order).cast("long").alias("_o"), table_line(list(columns.values())).alias("_line"))

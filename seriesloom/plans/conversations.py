@@ -9,6 +9,7 @@ from ..operators import conversation as cv
 from ..sources.tables import table
 
 BUDGET, KEEP_FIRST = 300, 1
+LATER = 1 << 40  # behind any turn
 
 
 def _messages(spark, sf):
@@ -17,15 +18,15 @@ def _messages(spark, sf):
 
 def _with_repeats(spark, sf):
     """Every message, and every user message once more right after itself and once at the end."""
-    m = _messages(spark, sf).withColumn("turn", F.col("turn") * 4)
+    m = _messages(spark, sf).withColumn("turn", F.col("turn").cast("long") * 4)
     users = m.filter(F.col("role") == "user")
-    return m.unionByName(users.withColumn("turn", F.col("turn") + 1)).unionByName(users.withColumn("turn", F.col("turn") + 4000))
+    return m.unionByName(users.withColumn("turn", F.col("turn") + 1)).unionByName(users.withColumn("turn", F.col("turn") + LATER))
 
 
 def _with_tools(spark, sf):
     """Assistant turns of few words count as tool calls; events become tool results of a user."""
     m = _messages(spark, sf).withColumn("has_tool_calls", (F.col("role") == "assistant") & (F.length("text") < 150))
-    e = table(spark, sf, "events").select(F.col("user_id").alias("conv_id"), (F.col("event_id") + 1000).alias("turn"), F.lit("tool").alias("role"), F.col("props").alias("text"), F.lit(False).alias("has_tool_calls"))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("conv_id"), (F.col("event_id") + LATER).alias("turn"), F.lit("tool").alias("role"), F.col("props").alias("text"), F.lit(False).alias("has_tool_calls"))
     return m.unionByName(e)
 
 
@@ -69,8 +70,8 @@ def replayable_messages(spark, sf):
 
 
 REPEATS = """rep AS (SELECT conv_id, turn * 4 AS turn, role, text FROM conversations UNION ALL SELECT conv_id, turn * 4 + 1, role, text FROM conversations WHERE role = 'user'
-  UNION ALL SELECT conv_id, turn * 4 + 4000, role, text FROM conversations WHERE role = 'user')"""
-TOOLS = """tl AS (SELECT conv_id, turn, role, text, role = 'assistant' AND length(text) < 150 AS has_tool_calls FROM conversations UNION ALL SELECT user_id, event_id + 1000, 'tool', props, false FROM events)"""
+  UNION ALL SELECT conv_id, turn::BIGINT * 4 + 1099511627776, role, text FROM conversations WHERE role = 'user')"""
+TOOLS = """tl AS (SELECT conv_id, turn, role, text, role = 'assistant' AND length(text) < 150 AS has_tool_calls FROM conversations UNION ALL SELECT user_id, event_id + 1099511627776, 'tool', props, false FROM events)"""
 
 
 def _tokens_sql(source: str, name: str) -> str:
@@ -98,7 +99,7 @@ ORACLES = {
 SELECT * FROM col UNION ALL SELECT conv_id, turn, text FROM m WHERE role = 'system' AND conv_id NOT IN (SELECT conv_id FROM m WHERE role = 'user')""",
     "latest_user_messages": "SELECT conv_id, max(turn) AS turn, max_by(text, turn) AS text FROM conversations WHERE role = 'user' AND text <> '' GROUP BY 1",
     "topic_texts": "WITH " + REPEATS + ", " + _COLLAPSED.format(src="rep") + """, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM col)
-SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(CASE n WHEN 1 THEN '' WHEN 2 THEN ' - ' ELSE ', ' END || text, '' ORDER BY n) AS text FROM n GROUP BY 1""",
+SELECT conv_id, string_agg(CASE n WHEN 1 THEN '' WHEN 2 THEN ' - ' ELSE ', ' END || text, '' ORDER BY n) AS text FROM n GROUP BY 1""",
     "trimmed_conversations": "WITH " + _tokens_sql("conversations", "tk") + f""", s AS (SELECT *, row_number() OVER w AS r, sum(tokens) OVER w AS cum, sum(tokens) OVER (PARTITION BY conv_id) AS total FROM tk WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 h AS (SELECT *, coalesce(max(cum) FILTER (r <= {KEEP_FIRST}) OVER (PARTITION BY conv_id), 0) AS head FROM s),
 l AS (SELECT *, CASE WHEN r <= {KEEP_FIRST} THEN {BUDGET} - (cum - tokens) WHEN head <= {BUDGET} THEN {BUDGET} - head - (total - cum) ELSE 0 END AS room FROM h)

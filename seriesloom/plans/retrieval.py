@@ -167,23 +167,23 @@ def _html_sql() -> str:
     for tag in ("script", "style"):
         t = rf"regexp_replace({t}, '(?is)<{tag}\b[^>]*>.*?(</{tag}\s*>|\z)', '', 'g')"
     t = rf"regexp_replace({t}, '(?s)<!--.*?-->', '', 'g')"
-    names = "|".join(tx.BLOCK_TAGS)
+    names = "p|div|br|li|tr|h1|h2|h3|h4"
     t = rf"regexp_replace({t}, '(?i)</({names})\s*>|<({names})\b[^>]*/>', chr(10), 'g')"
     t = rf"regexp_replace({t}, '(?s)<[!/a-zA-Z][^>]*>', '', 'g')"
-    for entity, char in tx.ENTITIES:
-        t = f"replace({t}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    for entity, char in (("&nbsp;", "chr(160)"), ("&lt;?", "'<'"), ("&gt;?", "'>'"), ("&quot;?", "'\"'"), ("&#39;", "chr(39)"), ("&copy;?", "chr(169)"), ("&middot;?", "chr(183)"), ("&amp;?", "'&'")):
+        t = f"regexp_replace({t}, '{entity}', {char}, 'g')"
     t = rf"regexp_replace({t}, '[ \t]+', ' ', 'g')"
     t = rf"regexp_replace({t}, '\n{{3,}}', chr(10) || chr(10), 'g')"
-    return rf"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
+    return rf"regexp_replace({t}, '^[\s\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g')"
 
 
 def _chunk_sql() -> str:
     p = "[text]"
-    for mark in tx.SEPARATORS:
+    for mark in ("\n\n", "\n", "。", "!", "?", ";", ",", "，", " "):
         m = {"\n\n": "chr(10) || chr(10)", "\n": "chr(10)"}.get(mark, f"'{mark}'")
         p = f"flatten(list_transform({p}, lambda x: CASE WHEN length(x) <= 500 THEN [x] ELSE string_split(x, {m}) END))"
     p = f"flatten(list_transform({p}, lambda x: CASE WHEN length(x) <= 500 THEN [x] ELSE list_transform(range(0, (length(x) + 499) // 500), lambda i: substr(x, i * 500 + 1, 500)) END))"
-    p = rf"list_filter(list_transform({p}, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+    p = rf"list_filter(list_transform({p}, lambda x: regexp_replace(x, '^[\s\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g')), lambda x: x <> '')"
     return f"""pcs AS (SELECT doc_id, source, lang, n_chars, {p} AS p FROM documents),
 folded AS (SELECT doc_id, source, lang, n_chars, list_reduce(p, lambda a, x: CASE WHEN a.cur = '' OR length(a.cur) + length(x) <= 500 THEN {{'done': a.done, 'cur': a.cur || x}} ELSE {{'done': list_append(a.done, a.cur), 'cur': right(a.cur, 50) || x}} END, {{'done': []::VARCHAR[], 'cur': ''}}) AS f FROM pcs),
 whole AS (SELECT doc_id, source, lang, n_chars, CASE WHEN f.cur = '' THEN f.done ELSE list_append(f.done, f.cur) END AS c FROM folded),

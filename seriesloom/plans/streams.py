@@ -21,7 +21,7 @@ def chunk_rows(spark, sf):
     lines = m.select("conv_id", "turn", "role", F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
     end = F.when((F.col("i") == F.col("n") - 1) & (F.col("role") != "system"), F.when(F.col("turn") % 2 == 1, "interrupt").otherwise("stop"))
     agent = F.when(F.col("role") == "assistant", "reporter").otherwise("coordinator")
-    return lines.select(F.col("conv_id").cast("string").alias("thread_id"), (F.col("turn") * 10_000 + F.col("i")).alias("seq"), F.col("line").alias("message"), end.alias("finish_reason"), agent.alias("agent"))
+    return lines.select(F.col("conv_id").cast("string").alias("thread_id"), (F.shiftleft(F.col("turn").cast("long"), 32) + F.col("i")).alias("seq"), F.col("line").alias("message"), end.alias("finish_reason"), agent.alias("agent"))
 
 
 def _stream(spark, sf):
@@ -57,7 +57,7 @@ def _fragments(spark, sf):
     """Tool-call fragments: the lines of a message are the argument pieces of one call; name and
     id come late and in several spellings; system lines have no index."""
     c = chunk_rows(spark, sf)
-    line, turn = F.col("seq") % 10_000, F.floor(F.col("seq") / 10_000)
+    line, turn = F.col("seq") % (1 << 32), F.shiftright("seq", 32)
     system = F.col("finish_reason").isNull() & (turn == 0)
     return c.select(
         "thread_id", "seq", F.when(~(system & (F.length("message") < 40)), turn.cast("int")).alias("index"),
@@ -93,7 +93,7 @@ QUERIES = {
     "merged_tool_calls": merged_tool_calls,
 }
 _CHUNKS = """WITH ln AS (SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS message, unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n FROM conversations),
-ch AS (SELECT CAST(conv_id AS VARCHAR) AS thread_id, turn * 10000 + i AS seq, message, CASE WHEN i = n - 1 AND role <> 'system' THEN CASE WHEN turn % 2 = 1 THEN 'interrupt' ELSE 'stop' END END AS finish_reason,
+ch AS (SELECT CAST(conv_id AS VARCHAR) AS thread_id, turn::BIGINT * 4294967296 + i AS seq, message, CASE WHEN i = n - 1 AND role <> 'system' THEN CASE WHEN turn % 2 = 1 THEN 'interrupt' ELSE 'stop' END END AS finish_reason,
   CASE WHEN role = 'assistant' THEN 'reporter' ELSE 'coordinator' END AS agent FROM ln),
 ok AS (SELECT * FROM ch WHERE message <> ''),
 no AS (SELECT *, coalesce(sum(CASE WHEN finish_reason IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY thread_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM ok),
@@ -103,11 +103,11 @@ ORACLES = {
     "parsed_events": _CHUNKS + """, ev AS (SELECT thread_id, CAST(row_number() OVER (PARTITION BY thread_id ORDER BY seq) - 1 AS INTEGER) AS event_no, agent, message FROM ch)
 SELECT thread_id, event_no, 'message_chunk' AS type, agent, message AS content FROM ev UNION ALL SELECT thread_id, CAST(count(*) + 1 AS INTEGER), 'done', NULL, NULL FROM ev GROUP BY 1""",
     "assembled_messages": _CHUNKS + "SELECT thread_id, first_seq, last_seq, n_chunks, text, finish_reason FROM ms",
-    "assembled_messages_batch": _CHUNKS + "SELECT thread_id, first_seq, last_seq, n_chunks, text, finish_reason, CAST(0 AS BIGINT) AS part FROM ms",
-    "reports_per_thread": _CHUNKS + "SELECT thread_id, CAST(0 AS BIGINT) AS part, string_agg(message, '' ORDER BY seq) AS text FROM ok WHERE agent = 'reporter' OR thread_id NOT IN (SELECT thread_id FROM ok WHERE agent = 'reporter') GROUP BY 1",
+    "assembled_messages_batch": _CHUNKS + "SELECT thread_id, first_seq, last_seq, n_chunks, text, finish_reason FROM ms",
+    "reports_per_thread": _CHUNKS + "SELECT thread_id, string_agg(message, '' ORDER BY seq) AS text FROM ok WHERE agent = 'reporter' OR thread_id NOT IN (SELECT thread_id FROM ok WHERE agent = 'reporter') GROUP BY 1",
     "finished_conversations": _CHUNKS + "SELECT thread_id, max(last_seq) AS last_seq, max_by(text, last_seq) AS text, max_by(finish_reason, last_seq) AS finish_reason FROM ms GROUP BY 1",
-    "merged_tool_calls": _CHUNKS + """, fr AS (SELECT thread_id, seq, CASE WHEN NOT (finish_reason IS NULL AND seq // 10000 = 0 AND length(message) < 40) THEN CAST(seq // 10000 AS INTEGER) END AS index,
-  CASE WHEN seq % 10000 = 0 THEN '' ELSE 'call_' || (seq % 10000) END AS id, CASE WHEN seq % 10000 >= 1 THEN 'tool_' || length(message) ELSE '' END AS name, message AS args FROM ch)
-SELECT thread_id, index, coalesce(arg_min(name, seq) FILTER (name <> ''), '') AS name, coalesce(arg_min(id, seq) FILTER (id <> ''), '') AS id, CAST(0 AS BIGINT) AS part, string_agg(args, '' ORDER BY seq) AS args FROM fr WHERE index IS NOT NULL GROUP BY 1, 2
-UNION ALL SELECT thread_id, 0, name, id, 0, args FROM fr WHERE index IS NULL""",
+    "merged_tool_calls": _CHUNKS + """, fr AS (SELECT thread_id, seq, CASE WHEN NOT (finish_reason IS NULL AND seq // 4294967296 = 0 AND length(message) < 40) THEN CAST(seq // 4294967296 AS INTEGER) END AS index,
+  CASE WHEN seq % 4294967296 = 0 THEN '' ELSE 'call_' || (seq % 4294967296) END AS id, CASE WHEN seq % 4294967296 >= 1 THEN 'tool_' || length(message) ELSE '' END AS name, message AS args FROM ch)
+SELECT thread_id, index, coalesce(arg_min(name, seq) FILTER (name <> ''), '') AS name, coalesce(arg_min(id, seq) FILTER (id <> ''), '') AS id, string_agg(args, '' ORDER BY seq) AS args FROM fr WHERE index IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT thread_id, 0, name, id, args FROM fr WHERE index IS NULL""",
 }

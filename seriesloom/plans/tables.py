@@ -111,7 +111,7 @@ _MD = with_(SUP) + """, md AS (SELECT series_id, d, CAST(d AS VARCHAR) AS c1, CA
 _PT = with_(ORD) + """, pt AS (SELECT series_id AS chart_id, d, CASE WHEN d < DATE '2000-01-01' THEN value END AS his, CASE WHEN d > DATE '1999-06-30' AND day(d) <> 1 THEN round(value, -3) END AS ai FROM ord)
 """
 ORACLES = {
-    "markdown_tables": _MD + """SELECT series_id, CAST(0 AS BIGINT) AS part, '|date|quantity|kind|' || chr(10) || '|-|-|-|' || chr(10) || string_agg('|' || c1 || '|' || c2 || '|' || c3 || '|', chr(10) ORDER BY d) AS text FROM md GROUP BY 1""",
+    "markdown_tables": _MD + """SELECT series_id, '|date|quantity|kind|' || chr(10) || '|-|-|-|' || chr(10) || string_agg('|' || c1 || '|' || c2 || '|' || c3 || '|', chr(10) ORDER BY d) AS text FROM md GROUP BY 1""",
     "markdown_cells": _MD + """, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY series_id ORDER BY d) - 1 AS INTEGER) AS row_no FROM md)
 SELECT series_id, 0 AS table_no, row_no, 'data_date' AS field, c1 AS value FROM n UNION ALL SELECT series_id, 0, row_no, 'quantity', c2 FROM n UNION ALL SELECT series_id, 0, row_no, 'kind', c3 FROM n""",
     "column_store_rows": with_(ORD) + """, mt AS (SELECT CAST(year(d) AS INTEGER) AS y, series_id, month(d) AS m, CAST(CAST(sum(value) AS BIGINT) AS VARCHAR) AS v FROM ord GROUP BY 1, 2, 3 HAVING series_id < '4' OR month(d) <= 5),

@@ -1,6 +1,6 @@
 """Dual-header panel CSV: ids in the first line, display names in the second, then one row per date.
 
-The format is wide, so its column count is checked; the working form of a panel is long Parquet."""
+The working form of a panel is long Parquet; the wide file is for export."""
 
 from __future__ import annotations
 
@@ -12,18 +12,18 @@ from pyspark.sql import functions as F
 from ..functions.guarded import clean_number, fixed, tolerant_date
 from ..operators.align import first_source_wins
 
-MAX_COLUMNS = 10_000
-
 
 def read_panel_csv(spark: SparkSession, path: str, source: str = "file") -> tuple[DataFrame, DataFrame]:
-    """(catalog, panel). The name line is the one whose first cell repeats the header's; lines
-    without a date are skipped, bad cells become null."""
+    """(catalog, panel). The name line is the first one below the header, or one whose first cell
+    repeats the header's (a folder of part files has it anywhere); other lines without a date are
+    skipped, bad cells become null."""
     raw = spark.read.csv(path, header=True, inferSchema=False, encoding="UTF-8")
     first, *ids = raw.columns
+    raw = raw.withColumn("_line", F.monotonically_increasing_id())
     quoted = [f"`{c}`" for c in ids]
     dated = raw.withColumn("_d", tolerant_date(F.col(f"`{first}`")))
     names = (
-        dated.filter(F.col("_d").isNull() & (F.col(f"`{first}`") == first))
+        dated.filter(F.col("_d").isNull() & ((F.col("_line") == 0) | F.coalesce(F.col(f"`{first}`") == first, F.lit(False))))
         .select(F.posexplode(F.array(*[F.struct(F.lit(i).alias("series_id"), F.col(q).alias("series_name")) for i, q in zip(ids, quoted)])).alias("pos", "c"))
         .select("c.series_id", F.coalesce("c.series_name", "c.series_id").alias("series_name"), F.lit(source).alias("source"), (F.col("pos") + 1).alias("ordinal"))
     )
@@ -51,8 +51,6 @@ def read_panel_files(spark: SparkSession, files: Sequence[tuple[str, str]]) -> t
 
 def to_wide(panel: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Long to wide, one row per day, for a stated list of series."""
-    if len(ids) > MAX_COLUMNS:
-        raise ValueError(f"{len(ids)} columns: keep the panel long (Parquet)")
     return panel.groupBy("d").pivot("series_id", list(ids)).agg(F.first("value"))
 
 

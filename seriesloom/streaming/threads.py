@@ -84,7 +84,7 @@ def assemble_stream(chunks: DataFrame, timeout_minutes: int | None = None) -> Da
 
 def assemble_batch(chunks: DataFrame) -> DataFrame:
     """The same over a finished table: (thread_id, first_seq, last_seq, n_chunks, finish_reason,
-    part, text). Open messages at the end of a thread are left out."""
+    text). Open messages at the end of a thread are left out."""
     ended = F.coalesce(F.col("finish_reason").isin(*FINISHED), F.lit(False))
     numbered = running_sums(valid_chunks(chunks), ["thread_id"], "seq", {"_done": ended.cast("int")})
     numbered = numbered.withColumn("message_no", F.col("_done") - ended.cast("int"))
@@ -118,7 +118,7 @@ def merge_fragments(fragments: DataFrame) -> DataFrame:
     ).withColumnRenamed("text", "args")
     loose = fragments.filter(F.col("index").isNull()).select(
         "thread_id", F.lit(0).cast(dict(fragments.dtypes)["index"]).alias("index"), F.coalesce("name", F.lit("")).alias("name"),
-        F.coalesce("id", F.lit("")).alias("id"), F.lit(0).cast("long").alias("part"), F.coalesce("args", F.lit("")).alias("args"),
+        F.coalesce("id", F.lit("")).alias("id"), F.coalesce("args", F.lit("")).alias("args"),
     )
     return head.join(args, ["thread_id", "index"]).unionByName(loose)
 

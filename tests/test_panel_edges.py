@@ -283,3 +283,13 @@ def test_trees_beat_last_value(spark):
     assert best in trials
     skipped = model.train_targets(samples.unionByName(samples.limit(10).withColumn("target_id", F.lit("small"))), ["t", "small"], {"max_depth": 2, "max_iter": 2})
     assert rows(skipped.select("target_id").distinct()) == [("t",)]
+
+
+def test_name_line_by_position_and_loose_dates(spark, tmp_path):
+    path = tmp_path / "panel.csv"
+    path.write_text("date,A,B\nname,Iron,Coal\n2024-1-5 08:30:00,1,2\n2024/01/06T00:00:00Z,3,x\nnot a date,5,6\n20240107,7,8\n")
+    names, panel = panel_csv.read_panel_csv(spark, str(path))
+    assert rows(names, "series_id", "series_name") == [("A", "Iron"), ("B", "Coal")]
+    assert rows(panel.select(F.col("d").cast("string").alias("d"), "series_id", "value"), "d", "series_id", "value") == [
+        ("2024-01-05", "A", 1.0), ("2024-01-05", "B", 2.0), ("2024-01-06", "A", 3.0), ("2024-01-06", "B", None), ("2024-01-07", "A", 7.0), ("2024-01-07", "B", 8.0),
+    ]

@@ -93,14 +93,9 @@ def test_scans_equal_plain_windows(spark):
     assert rows(two, "k", "o", "s", "l") == rows(plain)
 
 
-def test_long_texts_go_on_in_parts(spark):
-    df = spark.createDataFrame([("a", i, f"{i:03d}") for i in range(50)] + [("b", 0, "x")], "k string, o long, t string")
-    got = scan.joined_text(df, ["k"], "o", "t", "-", part_chars=30, width=4)
-    whole = {}
-    for k, part, text in rows(got.orderBy("k", "part")):
-        whole.setdefault(k, []).append((part, text))
-    assert "".join(t for _, t in sorted(whole["a"])) == "-".join(f"{i:03d}" for i in range(50))
-    assert len(whole["a"]) == 5 and whole["b"] == [(0, "x")]
+def test_texts_of_a_group_are_one_row(spark):
+    df = spark.createDataFrame([("a", i, f"{i:03d}") for i in range(50)] + [("b", 0, "x"), ("c", 3, None), ("a", 99, None)], "k string, o long, t string")
+    assert rows(scan.joined_text(df, ["k"], "o", "t", "-", width=4), "k", "text") == [("a", "-".join(f"{i:03d}" for i in range(50))), ("b", "x"), ("c", "")]
 
 
 def test_global_rank_and_top(spark):
@@ -251,3 +246,25 @@ def test_column_store_pads_short_columns(spark):
     df = spark.createDataFrame([(1, [(2, "b", "", "t", ["9"]), (0, "x", None, None, ["d1", "d2"]), (1, "a", "Name", " ", ["1", "2", "3"])])], schema)
     got = rows(tables.column_store_rows(df, "k"), "row_no", "position", "header", "cell")
     assert got == [(0, 0, "date", "d1"), (0, 1, "Name", "1"), (0, 2, "b (t)", "9"), (1, 0, "date", "d2"), (1, 1, "Name", "2"), (1, 2, "b (t)", "-")]
+
+
+def test_chinese_search_with_a_stored_index(spark):
+    chunks = spark.createDataFrame([("a", "铁矿石价格上涨", None), ("b", "今天下雨", None), ("c", "iron ore 价格", None)], "id string, content string, embedding array<float>")
+    queries = spark.createDataFrame([(1, "铁矿石价格"), (2, "ore")], "query_id int, query_text string")
+    index = rt.token_index(chunks, cjk=True)
+    found = rt.search(chunks, queries, 3, mode="bm25", index=index, cjk=True)
+    assert rows(found, "query_id", "rank", "id") == [(1, 1, "a"), (1, 2, "c"), (2, 1, "c")]
+
+
+def test_character_references_and_blanks(spark):
+    df = spark.createDataFrame([("<p>It&rsquo;s &#8217;&#x27;&euro;&times; a &lt;b&gt;</p>　 ",), (None,)], "h string")
+    assert [r[0] for r in df.select(tx.html_to_text(F.col("h"))).collect()] == ["It’s ’'€× a <b>", None]
+
+
+def test_corpus_folder_with_odd_names(spark, tmp_path):
+    for name, text in (("a b/corpus/z.md", "one"), ("x y+1.TXT", "two"), ("p.HTML", "<p>three &amp; four</p>"), ("skip.csv", "no")):
+        path = tmp_path / "corpus" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    got = rows(corpus.scan_corpus(spark, str(tmp_path / "corpus")), "doc_id", "file_name", "source", "content")
+    assert got == [("doc_000", "z.md", "a b/corpus/z.md", "one"), ("doc_001", "p.HTML", "p.HTML", "three & four"), ("doc_002", "x y+1.TXT", "x y+1.TXT", "two")]
