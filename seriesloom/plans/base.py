@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..operators.align import align_asof, to_panel
 from ..sources.tables import table
 
-ORDERS_LO, ORDERS_HI = "1995-01-15", "2001-07-31"
-SUPPLY_LO, SUPPLY_HI = "1995-02-01", "2001-11-30"
+# calendars that hold all days of the tables
+ORDERS_LO, ORDERS_HI = "1995-01-01", "2001-12-31"
+SUPPLY_LO, SUPPLY_HI = "1995-01-01", "2001-12-31"
 
 
 def orders_panel(spark: SparkSession, sf: str) -> DataFrame:

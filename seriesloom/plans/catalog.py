@@ -83,7 +83,7 @@ def guarded_ratio(spark, sf):
 def common_feature_ids(spark, sf):
     """Products seen in both periods, and those only in the first."""
     o = supplier_panel(spark, sf).select(F.concat("series_id", F.lit("_"), F.month("d").cast("string")).alias("feature_id"), "d")
-    train, test = o.filter(F.col("d") < "1996-01-01"), o.filter(F.col("d") >= "2001-01-01")
+    train, test = o.filter(F.col("d") < "1998-01-01"), o.filter(F.col("d") >= "1998-01-01")
     both = select.common_features(train, test).withColumn("side", F.lit("both"))
     only = select.without(train.select("feature_id").distinct(), test, "feature_id").withColumn("side", F.lit("train only"))
     return both.unionByName(only)
@@ -255,7 +255,7 @@ UNION ALL SELECT 'either', min(series_id) FILTER (contains(series_name, 'gizmo')
     "feature_types": _IDS + "SELECT feature_id, family, base_id, ftype FROM typed",
     "model_columns": _IDS + "SELECT feature_id, NOT starts_with(feature_id, 'target_') AS single, NOT (starts_with(feature_id, 'target_diff_') OR starts_with(feature_id, 'target_pct_')) AS many FROM ids",
     "guarded_ratio": "SELECT l_suppkey, round(CASE WHEN abs(sum(l_quantity) FILTER (l_tax > 0.07)) > 1e-10 THEN sum(l_quantity) / sum(l_quantity) FILTER (l_tax > 0.07) END, 6) AS ratio FROM lineitem GROUP BY 1",
-    "common_feature_ids": with_(SUP) + """, t AS (SELECT DISTINCT series_id || '_' || month(d) AS feature_id FROM sup WHERE d < DATE '1996-01-01'), u AS (SELECT DISTINCT series_id || '_' || month(d) AS feature_id FROM sup WHERE d >= DATE '2001-01-01')
+    "common_feature_ids": with_(SUP) + """, t AS (SELECT DISTINCT series_id || '_' || month(d) AS feature_id FROM sup WHERE d < DATE '1998-01-01'), u AS (SELECT DISTINCT series_id || '_' || month(d) AS feature_id FROM sup WHERE d >= DATE '1998-01-01')
 SELECT feature_id, CASE WHEN feature_id IN (SELECT feature_id FROM u) THEN 'both' ELSE 'train only' END AS side FROM t""",
     "named_series_features": _biz_sql(),
     "merged_features": _BLOCKS + "SELECT series_id, d, feature_id, round(value, 3) AS value, family FROM fwd WHERE value IS NOT NULL",

@@ -41,9 +41,9 @@ def distinct_messages(spark, sf):
 
 def collapsed_repeats(spark, sf):
     m = _with_repeats(spark, sf)
-    # conversations that open with a system turn lose their user turns here and take the fallback
+    # conversations with a system turn come once more, under other ids and without user turns: those take the fallback
     head = m.filter(F.col("role") == "system").select("conv_id").distinct()
-    m = m.join(head, "conv_id", "left_anti").unionByName(m.join(head, "conv_id", "left_semi").filter(F.col("role") != "user"))
+    m = m.unionByName(m.join(head, "conv_id", "left_semi").filter(F.col("role") != "user").withColumn("conv_id", -F.col("conv_id") - 1))
     return cv.collapse_repeats(m, m.filter(F.col("role") == "system").select("conv_id", "turn", "text"))
 
 
@@ -95,7 +95,7 @@ QUERIES = {
 ORACLES = {
     "token_estimates": "WITH " + TOOLS + ", " + _tokens_sql("tl", "tk") + " SELECT conv_id, turn, role, tokens FROM tk",
     "distinct_messages": "WITH " + REPEATS + " SELECT conv_id, role, text, min(turn) AS turn FROM rep GROUP BY 1, 2, 3",
-    "collapsed_repeats": "WITH " + REPEATS + ", m AS (SELECT * FROM rep WHERE conv_id NOT IN (SELECT conv_id FROM rep WHERE role = 'system') OR role <> 'user'), " + _COLLAPSED.format(src="m") + """
+    "collapsed_repeats": "WITH " + REPEATS + ", m AS (SELECT * FROM rep UNION ALL SELECT -conv_id - 1, turn, role, text FROM rep WHERE conv_id IN (SELECT conv_id FROM rep WHERE role = 'system') AND role <> 'user'), " + _COLLAPSED.format(src="m") + """
 SELECT * FROM col UNION ALL SELECT conv_id, turn, text FROM m WHERE role = 'system' AND conv_id NOT IN (SELECT conv_id FROM m WHERE role = 'user')""",
     "latest_user_messages": "SELECT conv_id, max(turn) AS turn, max_by(text, turn) AS text FROM conversations WHERE role = 'user' AND text <> '' GROUP BY 1",
     "topic_texts": "WITH " + REPEATS + ", " + _COLLAPSED.format(src="rep") + """, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM col)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import calendar_columns, season_columns
 from ..operators import align, resample, rolling, split, technical
 from ..sources.tables import table
-from .base import ORD, ORDD, SUP, SUPD, W, frame, mean_sql, orders_daily, orders_panel, ratio_sql, rounded, std_sql, supplier_daily, supplier_panel, with_
+from .base import ORD, ORDD, SUP, SUPD, SUPPLY_HI, SUPPLY_LO, W, frame, mean_sql, orders_daily, orders_panel, ratio_sql, rounded, std_sql, supplier_daily, supplier_panel, with_
 
 CUTOFF = "1999-12-31"
 
@@ -43,8 +43,8 @@ def moving_averages(spark, sf):
 
 def moving_averages_with_gaps(spark, sf):
     """Minimum periods count values, not days: the panel on its spine without filling."""
-    p = orders_panel(spark, sf).filter(F.col("value") > 300_000)
-    grid = align.spine(p.select("series_id").distinct(), "1995-01-15", "2001-07-31").join(p, ["series_id", "d"], "left")
+    p = supplier_panel(spark, sf)
+    grid = align.spine(p.select("series_id").distinct(), SUPPLY_LO, SUPPLY_HI).join(p, ["series_id", "d"], "left")
     return rounded(rolling.mean_std_features(grid), 3)
 
 
@@ -230,7 +230,7 @@ ORACLES = {
 SELECT series_id, d, value, """ + ", ".join(f"round((value - lag(value, {k}) OVER {W}) / nullif(lag(value, {k}) OVER {W}, 0), 6) + 0 AS signed_{k}, round({_abs_change(k)}, 6) AS abs_{k}" for k in (1, 7))
     + f", round({_abs_change(1, '>= 0.0001')}, 6) AS panel_1 FROM v",
     "moving_averages": with_(ORDD) + f"SELECT *, {_moving_sql()} FROM ordd",
-    "moving_averages_with_gaps": with_(ORDD) + f""", p AS (SELECT * FROM ord WHERE value > 300000), g AS (SELECT g.series_id, g.d, p.value FROM ordd_grid g LEFT JOIN p USING (series_id, d))
+    "moving_averages_with_gaps": with_(SUPD) + f""", g AS (SELECT g.series_id, g.d, p.value FROM supd_grid g LEFT JOIN sup p USING (series_id, d))
 SELECT *, {_moving_sql()} FROM g""",
     "moving_quantiles": with_(ORDD) + f"SELECT *, {_quantile_sql()} FROM ordd",
     "level_ratios": with_(ORDD) + f""", m AS (SELECT *, {mean_sql(7, 3)} AS a, {mean_sql(30, 10)} AS b FROM ordd)

@@ -172,7 +172,8 @@ def append_untested(spark, sf):
 def upsert_latest(spark, sf):
     """Newest row per key over an existing and an incoming table."""
     rows = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
-    purchases, rest = rows.filter(F.col("event_type") == "purchase"), rows.filter(F.col("event_type") == "view")
+    bought = F.coalesce(F.col("event_type") == "purchase", F.lit(False))
+    purchases, rest = rows.filter(bought), rows.filter(~bought)
     return records.upsert_latest(purchases, rest, "user_id", "event_id")
 
 
@@ -276,7 +277,7 @@ JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL""",
     "append_untested": with_(SUP) + """, b AS (SELECT CAST(year(d) AS VARCHAR) AS version, series_id, max(value) AS stat FROM sup GROUP BY 1, 2)
 SELECT *, CASE WHEN version < '1999' THEN 'old' ELSE 'new' END AS origin FROM b""",
     "upsert_latest": """SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value
-FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1""",
+FROM events GROUP BY 1""",
     "run_record_scan": """SELECT 'S' || s_suppkey AS target_id, s_name AS target_name, CAST(s_nationkey AS VARCHAR) AS grp, 50 AS trials, 470 AS train_rows,
   round(abs(s_acctbal) / 20000, 6) AS val_mda, round(abs(s_acctbal) / 15000, 6) AS test_mda, round(abs(s_acctbal) / 100000, 6) AS step_size FROM supplier""",
     "outputs_by_target": with_(ORD) + """SELECT series_id AS target_id, CASE WHEN d <= DATE '1999-12-31' THEN 'train' ELSE 'test' END AS split, count(*) AS n, min(d) AS lo, max(d) AS hi, sum(value) AS total

@@ -29,10 +29,9 @@ def markdown_cells(spark, sf):
 
 
 def _stores(spark, sf):
-    """Per year a column store: months first, then one column per priority (its monthly totals),
-    short where the last months are missing."""
+    """Per year a column store: months first, then one column per priority (its monthly totals)."""
     p = orders_panel(spark, sf).select("series_id", F.year("d").alias("y"), F.month("d").alias("m"), "value")
-    monthly = p.groupBy("y", "series_id", "m").agg(F.sum("value").alias("v")).filter((F.col("series_id") < "4") | (F.col("m") <= 5))
+    monthly = p.groupBy("y", "series_id", "m").agg(F.sum("value").alias("v"))
     cells = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("m", c.alias("t")))), lambda x: x["t"])
     col = monthly.groupBy("y", "series_id").agg(cells(F.col("v").cast("bigint").cast("string")).alias("data"))
     n = F.substring("series_id", 1, 1).cast("int")
@@ -114,7 +113,7 @@ ORACLES = {
     "markdown_tables": _MD + """SELECT series_id, '|date|quantity|kind|' || chr(10) || '|-|-|-|' || chr(10) || string_agg('|' || c1 || '|' || c2 || '|' || c3 || '|', chr(10) ORDER BY d) AS text FROM md GROUP BY 1""",
     "markdown_cells": _MD + """, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY series_id ORDER BY d) - 1 AS INTEGER) AS row_no FROM md)
 SELECT series_id, 0 AS table_no, row_no, 'data_date' AS field, c1 AS value FROM n UNION ALL SELECT series_id, 0, row_no, 'quantity', c2 FROM n UNION ALL SELECT series_id, 0, row_no, 'kind', c3 FROM n""",
-    "column_store_rows": with_(ORD) + """, mt AS (SELECT CAST(year(d) AS INTEGER) AS y, series_id, month(d) AS m, CAST(CAST(sum(value) AS BIGINT) AS VARCHAR) AS v FROM ord GROUP BY 1, 2, 3 HAVING series_id < '4' OR month(d) <= 5),
+    "column_store_rows": with_(ORD) + """, mt AS (SELECT CAST(year(d) AS INTEGER) AS y, series_id, month(d) AS m, CAST(CAST(sum(value) AS BIGINT) AS VARCHAR) AS v FROM ord GROUP BY 1, 2, 3),
 hd AS (SELECT y, m, CAST(row_number() OVER (PARTITION BY y ORDER BY m) - 1 AS INTEGER) AS row_no FROM (SELECT DISTINCT y, m FROM mt)),
 cl AS (SELECT y, series_id, v, CAST(row_number() OVER (PARTITION BY y, series_id ORDER BY m) - 1 AS INTEGER) AS row_no FROM mt), cs AS (SELECT DISTINCT y, series_id FROM mt)
 SELECT y, row_no, 0 AS position, 'date' AS header, CAST(m AS VARCHAR) AS cell FROM hd
