@@ -101,7 +101,8 @@ def unit_vectors(features: DataFrame, group: str, fit_until: str | None = None,
     grid = stats.join(days, group).join(rows.select(group, "feature_id", "d", "value"), [group, "feature_id", "d"], "left")
     z = F.coalesce((F.col("value") - F.col("m")) / F.sqrt(F.col("var") * F.col("n")), F.lit(0.0))
     vec = F.transform(F.array_sort(F.collect_list(F.struct(F.col("d"), z.alias("z")))), lambda x: x["z"])
-    return grid.groupBy(group, "feature_id").agg(F.first("var").alias("var"), vec.alias("u"))
+    unit = F.pow(F.lit(10.0), F.floor(F.log10("var")) - 8)  # nine digits, so equal variances are equal whatever the order of the sums
+    return grid.groupBy(group, "feature_id").agg(F.first("var").alias("var"), vec.alias("u")).withColumn("var", F.round(F.col("var") / unit) * unit)
 
 
 def dot(a: Column, b: Column) -> Column:

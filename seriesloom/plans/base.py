@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..operators.align import align_asof, to_panel
 from ..sources.tables import table
 
-# calendars that hold all days of the tables
-ORDERS_LO, ORDERS_HI = "1995-01-01", "2001-12-31"
-SUPPLY_LO, SUPPLY_HI = "1995-01-01", "2001-12-31"
+# calendars from the first to the last day of the tables, or beyond
+ORDERS_LO, ORDERS_HI = "1995-01-01", "2001-08-01"
+SUPPLY_LO, SUPPLY_HI = "1995-01-01", "2001-11-30"
 
 
 def orders_panel(spark: SparkSession, sf: str) -> DataFrame:

@@ -194,11 +194,12 @@ st AS (SELECT series_id, feature_id FROM blocks GROUP BY 1, 2 HAVING count(value
 kept AS (SELECT b.* FROM blocks b JOIN st USING (series_id, feature_id)),
 fwd AS (SELECT series_id, d, feature_id, family, last_value(value IGNORE NULLS) OVER (PARTITION BY series_id, feature_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM kept),
 filled AS (SELECT series_id, d, feature_id, family, first_value(value IGNORE NULLS) OVER (PARTITION BY series_id, feature_id ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS value FROM fwd),
-fv AS (SELECT series_id, feature_id, var_pop(value) AS var FROM filled GROUP BY 1, 2)
+fw AS (SELECT series_id, feature_id, var_pop(value) AS var, pow(10, floor(log10(greatest(var_pop(value), 1e-30))) - 8) AS unit FROM filled GROUP BY 1, 2),
+fv AS (SELECT series_id, feature_id, round(var / unit) * unit AS var FROM fw)
 """
-# equal variances are told apart by rounding, as sums differ in their last bits
+# variances are compared in nine digits, as sums differ in their last bits
 _PAIRS = _BLOCKS + """, pr AS (SELECT a.series_id, a.feature_id AS fa, b.feature_id AS fb, corr(a.value, b.value) AS r FROM filled a JOIN filled b USING (series_id, d) WHERE a.feature_id < b.feature_id GROUP BY ALL),
-pairs AS (SELECT pr.series_id, CASE WHEN round(va.var / 1e6) >= round(vb.var / 1e6) THEN fa ELSE fb END AS keep_first, CASE WHEN round(va.var / 1e6) >= round(vb.var / 1e6) THEN fb ELSE fa END AS other
+pairs AS (SELECT pr.series_id, CASE WHEN va.var >= vb.var THEN fa ELSE fb END AS keep_first, CASE WHEN va.var >= vb.var THEN fb ELSE fa END AS other
   FROM pr JOIN fv va ON va.series_id = pr.series_id AND va.feature_id = fa JOIN fv vb ON vb.series_id = pr.series_id AND vb.feature_id = fb WHERE abs(r) > 0.9)
 """
 _IDS = ("WITH " + CAT + """, s(family, suffix) AS (VALUES ('factor', ''), ('factor', '_lag7'), ('factor', '_MA30'), ('factor', '_STD7_ratio'), ('factor', '_P10_30d')),
@@ -262,7 +263,7 @@ SELECT feature_id, CASE WHEN feature_id IN (SELECT feature_id FROM u) THEN 'both
     "merged_families": _BLOCKS + "SELECT family, count(DISTINCT feature_id) AS n_before, (SELECT count(DISTINCT feature_id) FROM kept k WHERE k.family = blocks.family) AS n_after FROM blocks GROUP BY 1",
     "feature_variances": _BLOCKS + "SELECT series_id, feature_id, round(var / 1e12, 6) AS var FROM fv WHERE var >= 1e-8",
     "correlated_features": _PAIRS + "SELECT * FROM pairs",
-    "without_redundant_features": _PAIRS + """, o AS (SELECT series_id, feature_id, row_number() OVER (PARTITION BY series_id ORDER BY round(var / 1e6) DESC, feature_id) AS i FROM fv WHERE var >= 1e-8),
+    "without_redundant_features": _PAIRS + """, o AS (SELECT series_id, feature_id, row_number() OVER (PARTITION BY series_id ORDER BY var DESC, feature_id) AS i FROM fv WHERE var >= 1e-8),
 rival AS (SELECT o.series_id, o.feature_id, o.i, list(p.keep_first) FILTER (p.keep_first IS NOT NULL) AS before FROM o LEFT JOIN pairs p ON p.series_id = o.series_id AND p.other = o.feature_id GROUP BY ALL),
 g AS (SELECT * FROM (WITH RECURSIVE r AS (SELECT series_id, i, [feature_id] AS kept FROM rival WHERE i = 1
   UNION ALL SELECT r.series_id, v.i, CASE WHEN list_has_any(coalesce(v.before, []), r.kept) THEN r.kept ELSE list_append(r.kept, v.feature_id) END FROM r JOIN rival v ON v.series_id = r.series_id AND v.i = r.i + 1) SELECT * FROM r))

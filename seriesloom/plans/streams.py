@@ -26,7 +26,7 @@ def chunk_rows(spark, sf):
 
 def _stream(spark, sf):
     path = scratch_path(spark, "chunk-files")
-    chunk_rows(spark, sf).repartition(4, "thread_id").sortWithinPartitions("thread_id", "seq").write.parquet(path)
+    chunk_rows(spark, sf).repartitionByRange("seq").write.parquet(path)
     return spark.readStream.schema(CHUNK_SCHEMA).option("maxFilesPerTrigger", 2).parquet(path)
 
 
@@ -50,7 +50,7 @@ def finished_conversations(spark, sf):
     folder, mark = scratch_path(spark, "conversations"), scratch_path(spark, "mark")
     query = threads.upsert_conversations(threads.assemble_stream(_stream(spark, sf)), folder, mark)
     query.awaitTermination()
-    return threads.latest_version(spark, folder, query).select("thread_id", "last_seq", "text", "finish_reason")
+    return threads.latest_version(spark, folder).select("thread_id", "last_seq", "text", "finish_reason")
 
 
 def _fragments(spark, sf):
@@ -71,6 +71,16 @@ def merged_tool_calls(spark, sf):
     return threads.merge_fragments(_fragments(spark, sf))
 
 
+def merged_tool_calls_stream(spark, sf):
+    """The same fragments as a stream, drained into a table."""
+    source, out, mark = (scratch_path(spark, n) for n in ("fragment-files", "calls", "mark"))
+    fragments = _fragments(spark, sf)
+    fragments.repartition("seq").write.parquet(source)
+    stream = spark.readStream.schema(fragments.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    threads.write_merged(threads.merge_fragments_stream(stream), out, mark).awaitTermination()
+    return spark.read.parquet(out)
+
+
 def parsed_events(spark, sf):
     """Conversations as event-stream texts (with a broken event and a closing mark each), parsed
     back to agent and content."""
@@ -91,6 +101,7 @@ QUERIES = {
     "reports_per_thread": reports_per_thread,
     "finished_conversations": finished_conversations,
     "merged_tool_calls": merged_tool_calls,
+    "merged_tool_calls_stream": merged_tool_calls_stream,
 }
 _CHUNKS = """WITH ln AS (SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS message, unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n FROM conversations),
 ch AS (SELECT CAST(conv_id AS VARCHAR) AS thread_id, turn::BIGINT * 4294967296 + i AS seq, message, CASE WHEN i = n - 1 AND role <> 'system' THEN CASE WHEN turn % 2 = 1 THEN 'interrupt' ELSE 'stop' END END AS finish_reason,
@@ -111,3 +122,4 @@ SELECT thread_id, event_no, 'message_chunk' AS type, agent, message AS content F
 SELECT thread_id, index, coalesce(arg_min(name, seq) FILTER (name <> ''), '') AS name, coalesce(arg_min(id, seq) FILTER (id <> ''), '') AS id, string_agg(args, '' ORDER BY seq) AS args FROM fr WHERE index IS NOT NULL GROUP BY 1, 2
 UNION ALL SELECT thread_id, 0, name, id, args FROM fr WHERE index IS NULL""",
 }
+ORACLES["merged_tool_calls_stream"] = ORACLES["merged_tool_calls"]

@@ -20,7 +20,7 @@ from ..sources.records import upsert_latest
 # Reasons that close a message.
 FINISHED = ("stop", "interrupt")
 MESSAGE_SCHEMA = "thread_id string, first_seq long, last_seq long, n_chunks long, text string, finish_reason string"
-STATE_SCHEMA = "first_seq long, last_seq long, n_chunks long, text string"
+STATE_SCHEMA = "seqs array<long>, messages array<string>"
 
 
 def valid_chunks(chunks: DataFrame) -> DataFrame:
@@ -33,28 +33,30 @@ def producer_chunks(chunks: DataFrame, agent: str = "reporter") -> DataFrame:
 
 
 def _glue(timeout_ms: int | None):
+    """The open message of a thread is kept as its chunks, so one that comes late takes its place."""
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, n, text = state.get if state.exists else (None, None, 0, "")
-        done = []
+        held = [(int(q), m, None) for q, m in zip(*state.get)] if state.exists else []
+        done, chunks = [], []
+
+        def glued(reason: str) -> tuple:
+            return key[0], chunks[0][0], chunks[-1][0], len(chunks), "".join(m for _, m in chunks), reason
+
         if state.hasTimedOut:
             state.remove()
-            if n:
-                yield pd.DataFrame([(key[0], first, last, n, text, "timeout")], columns=MESSAGE_COLUMNS)
+            if held:
+                chunks = [(q, m) for q, m, _ in held]
+                yield pd.DataFrame([glued("timeout")], columns=MESSAGE_COLUMNS)
             return
-        frames = [b for b in batches]
-        if frames:
-            rows = pd.concat(frames).sort_values("seq", kind="stable")
-            pieces = [text]
-            for seq, message, reason in zip(rows["seq"], rows["message"], rows["finish_reason"]):
-                first = int(seq) if n == 0 else first
-                pieces.append(message)
-                last, n = int(seq), n + 1
-                if reason in FINISHED:
-                    done.append((key[0], first, last, n, "".join(pieces), reason))
-                    pieces, first, last, n = [], None, None, 0
-            text = "".join(pieces)
-        if n:
-            state.update((first, last, n, text))
+        for frame in batches:
+            held += [(int(q), m, f) for q, m, f in zip(frame["seq"], frame["message"], frame["finish_reason"])]
+        for seq, message, reason in sorted(held, key=lambda c: c[0]):
+            chunks.append((seq, message))
+            if reason in FINISHED:
+                done.append(glued(reason))
+                chunks = []
+        if chunks:
+            state.update(([q for q, _ in chunks], [m for _, m in chunks]))
             if timeout_ms is not None:
                 state.setTimeoutDuration(timeout_ms)
         elif state.exists:
@@ -125,21 +127,32 @@ def merge_fragments(fragments: DataFrame) -> DataFrame:
 
 def merge_fragments_stream(fragments: DataFrame) -> DataFrame:
     """Streaming form (update or complete mode): the same first-name, first-id and ordered
-    arguments as streaming aggregates, kept in Spark's own state store. Bound the state by a
-    watermark on an event time among the grouping when the source has one."""
+    arguments as streaming aggregates, kept in Spark's own state store; a fragment without an
+    index is a group of its own. Bound the state by a watermark on an event time among the grouping
+    when the source has one."""
     seen = lambda c: F.when(F.col(c) != "", F.col("seq"))
     ordered = F.array_sort(F.collect_list(F.struct(F.col("seq"), F.coalesce("args", F.lit("")).alias("a"))))
     return (
-        fragments.filter(F.col("index").isNotNull())
-        .groupBy("thread_id", "index")
+        fragments.groupBy("thread_id", "index", F.when(F.col("index").isNull(), F.col("seq")).alias("_own"))
         .agg(
             F.coalesce(F.min_by("name", seen("name")), F.lit("")).alias("name"),
             F.coalesce(F.min_by("id", seen("id")), F.lit("")).alias("id"),
             F.array_join(F.transform(ordered, lambda x: x["a"]), "").alias("args"),
         )
+        .withColumn("index", F.coalesce("index", F.lit(0)))
+        .drop("_own")
     )
 
 
+def write_merged(calls: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The merged calls as a table that each micro-batch replaces, until the source is drained."""
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return calls.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+
+
 def write_finished(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Finished messages appended to Parquet, exactly once, until the source is drained."""
     return (
@@ -149,21 +162,25 @@ def write_finished(messages: DataFrame, path: str, checkpoint: str) -> Streaming
 
 
 def upsert_conversations(messages: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Latest message per thread as a table: every micro-batch is merged into a new version folder
-    and the version counts as written only when its batch does, so a replayed batch rewrites its
-    own version and nothing else."""
+    """Latest message per thread as a table: every micro-batch is merged with the last committed
+    version into a version of its own, and a row in ``committed`` counts it as written. A batch that
+    is run again rewrites its own version and nothing else."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         mine = batch.groupBy("thread_id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "thread_id"]), "last_seq").alias("r")).select("thread_id", "r.*")
         if batch_id > 0:
-            mine = upsert_latest(spark.read.parquet(f"{folder}/v{batch_id - 1}"), mine, "thread_id", "last_seq")
+            mine = upsert_latest(latest_version(spark, folder, before=batch_id), mine, "thread_id", "last_seq")
         mine.write.mode("overwrite").parquet(f"{folder}/v{batch_id}")
+        spark.range(1).select(F.lit(batch_id).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(f"{folder}/committed")
 
     return (
         messages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     )
 
 
-def latest_version(spark, folder: str, query: StreamingQuery) -> DataFrame:
-    return spark.read.parquet(f"{folder}/v{query.lastProgress['batchId']}")
+def latest_version(spark, folder: str, before: int | None = None) -> DataFrame:
+    """The last committed version (before a batch), whether or not a query is running."""
+    versions = spark.read.parquet(f"{folder}/committed")
+    version = (versions if before is None else versions.filter(F.col("version") < before)).agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{folder}/v{version}")
