@@ -15,7 +15,8 @@ HEADLINE = (
     "weekly_smoothed", "weekly_smoothed_suppliers", "asof_alignment", "mixed_frequency_sources", "series_quartiles", "cleaned_panel",
     "validation_report", "tiered_lags", "moving_averages", "moving_quantiles", "recursive_indicators", "interpolated_days", "embargo_split",
     "forecast_metrics", "run_comparison", "stationarity_by_version", "without_redundant_features", "chunk_table", "bm25_top", "nearest_vectors",
-    "search_mixed", "trimmed_conversations", "markdown_tables", "assembled_messages_batch",
+    "search_mixed", "trimmed_conversations", "markdown_tables", "assembled_messages_batch", "moving_averages_with_gaps", "tree_predictions",
+    "assembled_messages",
 )
 
 
