@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ def directions(size: int, tables: int = TABLES, keys: int = KEYS, seed: int = SE
 
 
 def units(vectors) -> np.ndarray:
-    v = np.array([np.asarray(x, np.float64) for x in vectors])
+    v = np.array([np.asarray(x, np.float64) for x in vectors]) if not isinstance(vectors, np.ndarray) or vectors.dtype == object else vectors
     v = v / np.abs(v).max(1, keepdims=True)  # no overflow in the squares
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
@@ -73,32 +74,66 @@ def classes(df: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "node long, vector array<double>, label string, m long, keys array<long>")
 
 
+def _segment(v: np.ndarray, keys: np.ndarray, m: np.ndarray, node: np.ndarray, own: np.ndarray, t: int, one: int, two: int, least: float):
+    """Of one pair of blocks of a bucket: how many rows each class links with by pairs that first
+    meet here, and a class of its tree."""
+    v = units(v)
+    a, b = np.flatnonzero(own == one), np.flatnonzero(own == two)
+    i, j = np.nonzero(v[a] @ v[b].T >= least)
+    i, j = a[i], b[j]
+    fresh = (node[i] != node[j]) & ((keys[i, :t] == keys[j, :t]).sum(1) == 0)
+    if one == two:
+        fresh &= i < j
+    i, j = i[fresh], j[fresh]
+    if not len(i):
+        return None
+    count, up = np.zeros(len(v), np.int64), np.arange(len(v))
+    np.add.at(count, i, m[j])
+    np.add.at(count, j, m[i])
+    while True:
+        new = up.copy()
+        np.minimum.at(new, i, up[j])
+        np.minimum.at(new, j, up[i])
+        new = new[new]
+        if (new == up).all():
+            break
+        up = new
+    some = np.flatnonzero(count)
+    return node[some], count[some], node[up[some]]
+
+
 def _links(least: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        v, keys, m = units(pdf["vector"]), np.array(pdf["keys"].tolist(), np.int64), pdf["m"].to_numpy()
-        node, own, t = pdf["node"].to_numpy(), pdf["own"].to_numpy(), int(pdf["t"].iloc[0])
-        low, high = int(pdf["one"].iloc[0]), int(pdf["two"].iloc[0])
-        a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        i, j = np.nonzero(v[a] @ v[b].T >= least)
-        i, j = a[i], b[j]
-        fresh = (node[i] != node[j]) & ((keys[i, :t] == keys[j, :t]).sum(1) == 0)
-        if low == high:
-            fresh &= i < j
-        i, j = i[fresh], j[fresh]
-        count = np.zeros(len(pdf), np.int64)
-        np.add.at(count, i, m[j])
-        np.add.at(count, j, m[i])
-        up = np.arange(len(pdf))
-        while True:
-            new = up.copy()
-            np.minimum.at(new, i, up[j])
-            np.minimum.at(new, j, up[i])
-            new = new[new]
-            if (new == up).all():
-                break
-            up = new
-        return pd.DataFrame({"node": node, "links": count, "other": node[up]}).query("links > 0")
+    """Over rows sorted by bucket and block pair; one such segment is held at a time."""
+
+    def run(batches):
+        def found(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch | None:
+            node, own, m, t, one, two = (table.column(c).to_numpy() for c in ("node", "own", "m", "t", "one", "two"))
+            lists = table.column("vector").combine_chunks()
+            at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            flat = lists.flatten().to_numpy()
+            keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, TABLES)
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b - a > 1:
+                    v = flat[at[a] : at[b]].reshape(b - a, -1)
+                    out.append(_segment(v, keys[a:b], m[a:b], node[a:b], own[a:b], int(t[a]), one[a], two[a], least))
+            out = [x for x in out if x is not None]
+            if out:
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["node", "links", "other"])
+            return None
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+            by = [table.column(c).to_numpy() for c in ("t", "bucket", "one", "two")]
+            change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in by], axis=0)) + 1
+            cuts = np.concatenate([[0], change])
+            if len(cuts) > 1 and (rows := found(table, cuts)) is not None:
+                yield rows
+            held = table.slice(int(cuts[-1]))
+        if held is not None and held.num_rows and (rows := found(held, np.array([0, held.num_rows]))) is not None:
+            yield rows
 
     return run
 
@@ -118,7 +153,8 @@ def near_duplicates(df: DataFrame, vec_id: str, vector: str, label: str, least:
     met = placed.join(full, ["t", "bucket"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
     met = met.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select("t", "bucket", "own", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "node").join(known.select("node", "vector", "keys", "m"), "node")
-    links = cut_lineage(met.groupBy("t", "bucket", "one", "two").applyInPandas(_links(least), "node long, links long, other long"))
+    segment = ["t", "bucket", "one", "two"]
+    links = cut_lineage(met.repartition(*segment).sortWithinPartitions(*segment).mapInArrow(_links(least), "node long, links long, other long"))
     roots = connected(links, "node", "other")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     found = known.select("node", "m").join(counts, "node", "left").join(roots, "node", "left")
