@@ -35,11 +35,13 @@ def _key() -> Column:
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """``_mix_size``, ``_mix_key`` (the source, never null) and ``_mix_block`` (length class and id)."""
+    """``_mix_size``, ``_mix_text`` (a hash), ``_mix_key`` (the source, never null) and ``_mix_block``
+    (length class and id)."""
     size = word_count(F.col("text"))
     salt = F.coalesce(F.pmod(F.col("doc_id"), F.lit(SPREAD)), F.lit(0))
     return (
         docs.withColumn("_mix_size", size)
+        .withColumn("_mix_text", F.xxhash64("text"))
         .withColumn("_mix_key", _key())
         .withColumn("_mix_block", F.length(F.bin("_mix_size")).cast("long") * SPREAD + salt)
     )
@@ -70,9 +72,10 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     )
 
 
-def _copies(docs: DataFrame, seed: str) -> DataFrame:
-    """All columns with ``_mix_size``, ``source_size`` and ``target`` (prefixed) and ``_mix_copies``."""
-    placed = _placed(docs)
+def _copies(docs: DataFrame, seed: str, drop: Sequence[str] = ()) -> DataFrame:
+    """All columns with ``_mix_size``, ``source_size`` and ``target`` (prefixed) and ``_mix_copies``.
+    Columns to drop don't travel once the sizes are known."""
+    placed = _placed(docs).drop(*drop)
     blocks = placed.groupBy("_mix_key", "_mix_block").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("_n"), F.sum("_mix_size").alias("_words"))
     blocks = cut_lineage(blocks)
     sums = blocks.groupBy("_mix_key").agg(F.first("source").alias("source"), F.sum("_words").alias("source_size"))
@@ -88,7 +91,7 @@ def _copies(docs: DataFrame, seed: str) -> DataFrame:
         .withColumn("_mix_from", start + F.coalesce(F.sum(F.col("_n") * F.col("_mix_units")).over(earlier), F.lit(0)))
         .drop("source", "_n", "_words")
     )
-    inside = Window.partitionBy("_mix_key", "_mix_block").orderBy("_mix_size", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_mix_key", "_mix_block").orderBy("_mix_size", "doc_id", "_mix_text").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("_mix_from") + F.sum("_mix_units").over(inside)
     return placed.join(steps, ["_mix_key", "_mix_block"]).withColumn("_mix_upto", upto).withColumn(
         "_mix_copies", F.shiftright("_mix_upto", UNIT_BITS) - F.shiftright(F.col("_mix_upto") - F.col("_mix_units"), UNIT_BITS)
@@ -98,7 +101,7 @@ def _copies(docs: DataFrame, seed: str) -> DataFrame:
 def taken(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """Per document: ``doc_id, size, source_size, target, taken`` (words the mix takes of it, repeats counted)."""
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    return _copies(small, seed).select(
+    return _copies(small, seed, ["text"]).select(
         "doc_id",
         F.col("_mix_size").alias("size"),
         F.col("_mix_source_size").alias("source_size"),
