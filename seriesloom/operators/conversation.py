@@ -17,14 +17,24 @@ ROLE_WEIGHTS = {"system": 1.1, "assistant": 1.2, "tool": 1.3}
 ROLE_NAMES = {"user": "human", "assistant": "ai", "system": "system", "tool": "tool"}
 
 
-def message_tokens(role: Column, text: Column) -> Column:
-    """Estimate for text and role name, weighted by role, whole tokens, at least 1."""
+# Fixed value: what a message with tool calls counts besides.
+TOOL_CALL_TOKENS = 50
+
+
+def message_tokens(role: Column, text: Column, extra: Column | None = None, has_tool_calls: Column | None = None) -> Column:
+    """Estimate for text and role name, weighted by role, whole tokens, at least 1. The text of
+    extra fields, where there are any, and a surcharge for tool calls are added unweighted."""
     names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
     base = token_estimate(text) + token_estimate(F.coalesce(F.try_element_at(names, role), role))
     weight = None
     for name, factor in ROLE_WEIGHTS.items():
         weight = F.when(role == name, F.lit(factor)) if weight is None else weight.when(role == name, F.lit(factor))
-    return F.greatest(F.lit(1), F.floor(base * weight.otherwise(F.lit(1.0)))).cast("bigint")
+    tokens = F.floor(base * weight.otherwise(F.lit(1.0)))
+    if extra is not None:
+        tokens = tokens + token_estimate(extra)
+    if has_tool_calls is not None:
+        tokens = tokens + F.when(has_tool_calls, TOOL_CALL_TOKENS).otherwise(0)
+    return F.greatest(F.lit(1), tokens).cast("bigint")
 
 
 def distinct_messages(messages: DataFrame) -> DataFrame:

@@ -32,7 +32,8 @@ def _with_tools(spark, sf):
 
 def token_estimates(spark, sf):
     m = _with_tools(spark, sf)
-    return m.select("conv_id", "turn", "role", cv.message_tokens(F.col("role"), F.col("text")).alias("tokens"))
+    extra = F.when(F.col("has_tool_calls"), "{'tool_calls': []}")
+    return m.select("conv_id", "turn", "role", cv.message_tokens(F.col("role"), F.col("text"), extra, F.col("has_tool_calls")).alias("tokens"))
 
 
 def distinct_messages(spark, sf):
@@ -74,10 +75,10 @@ REPEATS = """rep AS (SELECT conv_id, turn * 4 AS turn, role, text FROM conversat
 TOOLS = """tl AS (SELECT conv_id, turn, role, text, role = 'assistant' AND length(text) < 150 AS has_tool_calls FROM conversations UNION ALL SELECT user_id, event_id + 1099511627776, 'tool', props, false FROM events)"""
 
 
-def _tokens_sql(source: str, name: str) -> str:
+def _tokens_sql(source: str, name: str, more: str = "0") -> str:
     other = r"length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))"
     return f"""{name} AS (SELECT *, greatest(1, CAST(floor((( length(text) - {other}) // 4 + {other} + length(CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'ai' ELSE role END) // 4)
-  * CASE role WHEN 'system' THEN 1.1::DOUBLE WHEN 'assistant' THEN 1.2::DOUBLE WHEN 'tool' THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END) AS BIGINT)) AS tokens FROM {source})"""
+  * CASE role WHEN 'system' THEN 1.1::DOUBLE WHEN 'assistant' THEN 1.2::DOUBLE WHEN 'tool' THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END) AS BIGINT) + {more}) AS tokens FROM {source})"""
 
 
 _COLLAPSED = """u AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {src} WHERE role = 'user' AND text <> ''), col AS (SELECT conv_id, turn, text FROM u WHERE before IS NULL OR before <> text)"""
@@ -93,7 +94,7 @@ QUERIES = {
     "replayable_messages": replayable_messages,
 }
 ORACLES = {
-    "token_estimates": "WITH " + TOOLS + ", " + _tokens_sql("tl", "tk") + " SELECT conv_id, turn, role, tokens FROM tk",
+    "token_estimates": "WITH " + TOOLS + ", " + _tokens_sql("tl", "tk", "CASE WHEN has_tool_calls THEN 4 + 50 ELSE 0 END") + " SELECT conv_id, turn, role, tokens FROM tk",
     "distinct_messages": "WITH " + REPEATS + " SELECT conv_id, role, text, min(turn) AS turn FROM rep GROUP BY 1, 2, 3",
     "collapsed_repeats": "WITH " + REPEATS + ", m AS (SELECT * FROM rep UNION ALL SELECT -conv_id - 1, turn, role, text FROM rep WHERE conv_id IN (SELECT conv_id FROM rep WHERE role = 'system') AND role <> 'user'), " + _COLLAPSED.format(src="m") + """
 SELECT * FROM col UNION ALL SELECT conv_id, turn, text FROM m WHERE role = 'system' AND conv_id NOT IN (SELECT conv_id FROM m WHERE role = 'user')""",
