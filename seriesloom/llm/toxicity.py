@@ -292,7 +292,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = DOCS) -> DataFra
     order = F.xxhash64("doc_id")
     some = [known.filter(c).orderBy(order, "doc_id").limit(per_label) for c in ("toxic > 0", "toxic = 0")]
     picked = some[0].unionByName(some[1])  # a bounded number of rows
-    return docs.join(F.broadcast(picked), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    found = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # a repeated id counts once
+    return found.select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Network, float] | None:
