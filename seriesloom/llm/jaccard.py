@@ -29,6 +29,8 @@ are left out. An empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -89,7 +91,7 @@ def first(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """``(doc_id, n, key)`` of every row (key null without shingles), and the sketch's levels: eight
-    times the logarithm of a cell's count."""
+    times the logarithm of a cell's count. A task's cells are packed, so few shingles take little."""
 
     def run(batches):
         counts = np.zeros(SKETCH, np.uint32)
@@ -106,7 +108,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             part = np.minimum(counts[c * CELLS : (c + 1) * CELLS], 255).astype(np.uint8)
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([c], pa.int32()), pa.array([part.tobytes()], pa.binary())], names
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([c], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names
                 )
 
     names = ["doc_id", "n", "key", "cell", "counts"]
@@ -118,7 +120,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, raw in zip(batch.column("cell").to_pylist(), batch.column("counts").to_pylist()):
-                total[c] = total.get(c, 0) + np.frombuffer(raw, np.uint8).astype(np.uint32)
+                total[c] = total.get(c, 0) + np.frombuffer(zlib.decompress(raw), np.uint8).astype(np.uint32)
         for c, t in total.items():
             level = np.minimum(np.round(8 * np.log2(1 + t.astype(np.float64))), 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["cell", "levels"])
