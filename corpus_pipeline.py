@@ -13,6 +13,8 @@ from seriesloom.llm.common import documents
 from seriesloom.session import scratch_path
 from seriesloom.sources.tables import table
 
+COPY_WORDS, COPY_PERCENT = 5, 80
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, trained on those of the stage's input with labels, does not reject."""
@@ -20,8 +22,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by near-equal shingle sets."""
-    return jaccard.without_copies(docs)
+    """The document with the smallest id of each group linked by sets of five-word shingles with a
+    Jaccard similarity of 0.8 or more."""
+    return jaccard.without_copies(docs, COPY_WORDS, COPY_PERCENT)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Join of documents on the Jaccard similarity of their word shingles, by several token orders.
 
-Two documents link when ``100 * intersection >= 85 * union`` of their sets of 4-word shingles. In any
-global order of the shingles such a pair shares one among the first ``n - ceil(0.85 n) + 1`` of either
-set, so a pair must share one under *every* order. The orders put frequent shingles last (by a count
+Two documents link when ``100 * intersection >= percent * union`` of their sets of shingles of ``words``
+words: 85 and 4 in ``op5_jaccard_join``, whatever the caller asks for elsewhere. In any global order of
+the shingles such a pair shares one among the first ``n - ceil(percent n / 100) + 1`` of either set, so a pair must share one under *every* order. The orders put frequent shingles last (by a count
 sketch of all shingles of all documents) and break ties by different hashes.
 
 1. Keys: one pass hashes every text to its set's size and key and counts shingles in the sketch, a
@@ -21,7 +21,7 @@ Sets are compared by 64-bit hashes of shingles and classes by 64-bit keys; for n
 of any clash is below n * n / 2^65.
 
 Null, empty and blank texts have no shingles and link with nothing (their component is their own id);
-texts of under four words are one shingle. A row without an id has its copies' component, null if none
+texts of under ``words`` words are one shingle. A row without an id has its copies' component, null if none
 of them has an id, and connects nobody. Repeated rows
 are members of one class. Texts of any length are taken whole. Other columns, whatever their names,
 are left out. An empty table gives no rows.
@@ -46,7 +46,7 @@ SKETCH, CELLS = 1 << 24, 1 << 18
 ORDERS = 3
 ROUNDS = 2
 BLOCK_ROWS, BLOCK_SHINGLES = 384, 2_000_000
-FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)  # one for each word of a shingle
 
 
 def scrambled(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -66,6 +66,8 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(parts), 1)], np.uint64)
     w = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
     n = len(parts) - words + 1
+    if words > len(FACTORS):
+        raise ValueError(f"a shingle has at most {len(FACTORS)} words")
     return np.unique(scrambled(sum(w[i : i + n] * FACTORS[i] for i in range(words))))
 
 
@@ -77,19 +79,19 @@ def cells(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(40)).astype(np.int64)  # SKETCH cells
 
 
-def first_size(n: int) -> int:
+def first_size(n: int, percent: int = NUM) -> int:
     """Number of first shingles of which a linked pair shares one."""
-    return n - -(-NUM * n // DEN) + 1
+    return n - -(-percent * n // DEN) + 1
 
 
-def first(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
+def first(tokens: np.ndarray, levels: np.ndarray, order: int, percent: int = NUM) -> np.ndarray:
     """The first shingles under an order; more than needed where the last place is tied."""
     rank = (levels[cells(tokens)].astype(np.uint64) << np.uint64(56)) | (scrambled(tokens, order + 1) >> np.uint64(8))
-    k = first_size(len(tokens))
+    k = first_size(len(tokens), percent)
     return tokens[rank <= np.partition(rank, k - 1)[k - 1]] if k < len(tokens) else tokens
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+def keyed(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
     """``(doc_id, n, key)`` of every row (key null without shingles), and the sketch's levels: eight
     times the logarithm of a cell's count. A task's cells are packed, so few shingles take little."""
 
@@ -98,7 +100,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         for batch in batches:
             ids, ns, keys = batch.column("doc_id"), [], []
             for text in text_of(batch.column("text")):
-                tokens = shingles(text)
+                tokens = shingles(text, words)
                 np.add.at(counts, cells(tokens), 1)
                 ns.append(len(tokens))
                 keys.append(set_key(tokens) if len(tokens) else None)
@@ -132,7 +134,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return stored.filter("cell is null").select("doc_id", "n", "key"), levels
 
 
-def candidate_groups(docs: DataFrame, levels) -> DataFrame:
+def candidate_groups(docs: DataFrame, levels, words: int = WORDS, percent: int = NUM) -> DataFrame:
     """``(node, root)``: classes that hang together by shared first shingles under the first order;
     the group's root itself is left out."""
 
@@ -141,12 +143,12 @@ def candidate_groups(docs: DataFrame, levels) -> DataFrame:
         for batch in batches:
             hs, keys, ns = [], [], []
             for text in text_of(batch.column("text")):
-                tokens = shingles(text)
+                tokens = shingles(text, words)
                 if not len(tokens) or (key := set_key(tokens)) in seen:
                     continue
                 if len(seen) < 1_000_000:  # copies within a task are told apart later otherwise
                     seen.add(key)
-                some = first(tokens, table, 0)
+                some = first(tokens, table, 0, percent)
                 hs.append(some.astype(np.int64))
                 keys += [key] * len(some)
                 ns += [len(tokens)] * len(some)
@@ -163,7 +165,7 @@ def candidate_groups(docs: DataFrame, levels) -> DataFrame:
             h, key, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "key", "n"))
             if last is not None:
                 h, key, n = (np.concatenate(([x], y)) for x, y in zip(last, (h, key, n)))
-            near = (h[1:] == h[:-1]) & (key[1:] != key[:-1]) & (DEN * n[:-1].astype(np.int64) >= NUM * n[1:].astype(np.int64))
+            near = (h[1:] == h[:-1]) & (key[1:] != key[:-1]) & (DEN * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
             if near.any():
                 pairs = np.unique(np.stack([np.minimum(key[:-1], key[1:])[near], np.maximum(key[:-1], key[1:])[near]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -195,15 +197,15 @@ def _shared(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links_between(rows: list[np.ndarray], cols: list[np.ndarray], levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def links_between(rows: list[np.ndarray], cols: list[np.ndarray], levels: np.ndarray, percent: int = NUM) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the linked (row, column) pairs: sizes fit, first shingles are shared under every
     order, and then the whole sets decide."""
     nr, nc = np.array([len(x) for x in rows], np.int64), np.array([len(x) for x in cols], np.int64)
-    maybe = (DEN * nr[:, None] >= NUM * nc[None]) & (DEN * nc[None] >= NUM * nr[:, None])
+    maybe = (DEN * nr[:, None] >= percent * nc[None]) & (DEN * nc[None] >= percent * nr[:, None])
     for order in range(ORDERS):
         if not maybe.any():
             break
-        maybe &= _shared([first(x, levels, order) for x in rows], [first(x, levels, order) for x in cols]) > 0
+        maybe &= _shared([first(x, levels, order, percent) for x in rows], [first(x, levels, order, percent) for x in cols]) > 0
     i, j = np.nonzero(maybe)
     if not len(i):
         return i, j
@@ -213,7 +215,7 @@ def links_between(rows: list[np.ndarray], cols: list[np.ndarray], levels: np.nda
     else:
         whole = _shared([rows[a] for a in r], [cols[b] for b in c])
         shared = whole[np.searchsorted(r, i), np.searchsorted(c, j)].astype(np.int64)
-    linked = DEN * shared >= NUM * (nr[i] + nc[j] - shared)
+    linked = DEN * shared >= percent * (nr[i] + nc[j] - shared)
     return i[linked], j[linked]
 
 
@@ -230,7 +232,7 @@ def tree(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         up = low
 
 
-def _block_links(levels, halves: bool):
+def _block_links(levels, halves: bool, percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         table = levels.value
         keys = pdf["key"].to_numpy()
@@ -239,10 +241,10 @@ def _block_links(levels, halves: bool):
             left, right = np.flatnonzero(pdf["side"].to_numpy() == 0), np.flatnonzero(pdf["side"].to_numpy() == 1)
             if not len(left) or not len(right):
                 return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-            i, j = links_between([sets[x] for x in left], [sets[x] for x in right], table)
+            i, j = links_between([sets[x] for x in left], [sets[x] for x in right], table, percent)
             i, j = left[i], right[j]
         else:
-            i, j = links_between(sets, sets, table)
+            i, j = links_between(sets, sets, table, percent)
         up = tree(keys, i, j)
         return pd.DataFrame({"a": keys[up], "b": keys}).query("a != b")
 
@@ -253,10 +255,10 @@ def _blocked(members: DataFrame, salt: int) -> DataFrame:
     return members.withColumn("block", F.pmod(F.xxhash64("key", F.lit(salt)), F.col("blocks")))
 
 
-def link_classes(docs: DataFrame, keys: DataFrame, levels) -> DataFrame:
+def link_classes(docs: DataFrame, keys: DataFrame, levels, words: int = WORDS, percent: int = NUM) -> DataFrame:
     """``(node, root)`` of the classes that links connect; the smallest class of a component is left out."""
     classes = keys.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    near = cut_lineage(candidate_groups(docs, levels))
+    near = cut_lineage(candidate_groups(docs, levels, words, percent))
     every = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("key"), "root")
     members = every.join(classes, "key")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
@@ -266,7 +268,7 @@ def link_classes(docs: DataFrame, keys: DataFrame, levels) -> DataFrame:
     def run(batches):
         for batch in batches:
             keys, texts = batch.column("key").to_pylist(), text_of(batch.column("text"))
-            found = [(i, t) for i, t in enumerate(map(shingles, texts)) if len(t) and set_key(t) == keys[i]]  # a repeated id may have another text
+            found = [(i, t) for i, t in enumerate(shingles(t, words) for t in texts) if len(t) and set_key(t) == keys[i]]  # a repeated id may have another text
             at = pa.array([i for i, _ in found], pa.int64())
             rest = [batch.column(c).take(at) for c in ("key", "root", "blocks")]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([t.tobytes() for _, t in found], pa.binary())], ["key", "root", "blocks", "tokens"])
@@ -277,9 +279,9 @@ def link_classes(docs: DataFrame, keys: DataFrame, levels) -> DataFrame:
     sets = docs.sparkSession.read.parquet(path).dropDuplicates(["key"]) if _repeats(docs) else docs.sparkSession.read.parquet(path)
     large = sets.filter("blocks > 1")
 
-    inside = _blocked(sets, 0).groupBy("root", "block").applyInPandas(_block_links(levels, False), "a long, b long")
+    inside = _blocked(sets, 0).groupBy("root", "block").applyInPandas(_block_links(levels, False, percent), "a long, b long")
     for salt in range(1, ROUNDS + 1):
-        inside = inside.unionByName(_blocked(large, salt).groupBy("root", "block").applyInPandas(_block_links(levels, False), "a long, b long"))
+        inside = inside.unionByName(_blocked(large, salt).groupBy("root", "block").applyInPandas(_block_links(levels, False, percent), "a long, b long"))
     links = cut_lineage(inside)
     sure = cut_lineage(connected(links, "a", "b"))
 
@@ -293,7 +295,7 @@ def link_classes(docs: DataFrame, keys: DataFrame, levels) -> DataFrame:
     row, col = F.pmod(F.xxhash64("key", F.lit(-1)), F.col("parts")), F.pmod(F.xxhash64("key", F.lit(-2)), F.col("blocks"))
     outside = held.filter("own <> main").withColumns({"row": row, "col": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "side": F.lit(0)}).select(columns)
     whole = held.withColumns({"col": col, "row": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)), "side": F.lit(1)}).select(columns)
-    across = outside.unionByName(whole).groupBy("root", "row", "col").applyInPandas(_block_links(levels, True), "a long, b long")
+    across = outside.unionByName(whole).groupBy("root", "row", "col").applyInPandas(_block_links(levels, True, percent), "a long, b long")
     more = cut_lineage(across)
     return connected(links.unionByName(more), "a", "b")
 
@@ -302,21 +304,21 @@ def _repeats(docs: DataFrame) -> bool:
     return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").limit(1).count() > 0
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, words: int = WORDS, percent: int = NUM) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id``."""
-    keys, table = keyed(docs)
+    keys, table = keyed(docs, words)
     levels = docs.sparkSession.sparkContext.broadcast(table)
-    roots = link_classes(docs, keys, levels)
+    roots = link_classes(docs, keys, levels, words, percent)
     labelled = keys.join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", F.coalesce("root", "key").alias("label"))
     labelled = cut_lineage(labelled)
     least = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
+def without_copies(docs: DataFrame, words: int = WORDS, percent: int = NUM) -> DataFrame:
     """One document of each component, the one with the smallest id, with its own columns. Repeated
     rows of that id are one document; rows without an id are kept."""
-    kept = components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = components(docs, words, percent).filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.filter("doc_id is not null")
     single = named.dropDuplicates(["doc_id"]) if _repeats(named) else named
     return single.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))

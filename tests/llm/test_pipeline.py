@@ -48,3 +48,32 @@ def test_run(spark, tmp_path):
     names = {r["doc_id"] for r in got}
     assert got and not {i for i in names if i >= 1000} and not {i for i in names if i < 240 and i % 4 == 0}
     assert len({r["ids_sha256"] for r in got}) == len(names)
+
+
+def test_near_copies_from_four_fifths_go(spark, tmp_path):
+    """Near copies that five words and 0.8 link and four words and 0.85 do not, and one that neither links."""
+    rng = random.Random(5)
+
+    def sets(w, n):
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    def likeness(a, b, n):
+        a, b = sets(a, n), sets(b, n)
+        return len(a & b) / len(a | b)
+
+    rows, near = [], []
+    for k in range(6):
+        base = [f"w{k}x{i}" for i in range(200)]
+        swapped, long, run, far = list(base), base + [f"more{k}x{i}" for i in range(45)], list(base), list(base)
+        for at in (30, 80, 130, 180):
+            swapped[at] += "y"
+        run[60:75] = [f"run{k}x{i}" for i in range(15)]
+        for at in range(5, 200, 25):
+            far[at] += "z"
+        copies = [(10 * k + 1, swapped), (10 * k + 2, long), (10 * k + 3, run)]
+        assert all(likeness(base, c, 5) >= 0.8 and likeness(base, c, 4) < 0.85 for _, c in copies) and likeness(base, far, 5) < 0.8
+        near += [i for i, _ in copies]
+        rows += [(10 * k, base), *copies, (10 * k + 4, far)]
+    rng.shuffle(rows)
+    got = corpus_pipeline.without_copies(spark, docs(spark, [(i, " ".join(w)) for i, w in rows]), str(tmp_path))
+    assert {r["doc_id"] for r in got.collect()} == {i for i, _ in rows} - set(near)
