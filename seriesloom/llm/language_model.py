@@ -1,20 +1,27 @@
 """Log probabilities of whole texts under a hashed maximum-entropy model with word classes.
 
 A token (a word, or the end of a text) has a class; its probability is that of its class in the
-context times its share of the class. The class is a softmax over hashed features: the last word, the
-last two, the word before the last and the one before that. A token's share is its training count
-plus a half over its class's sum. Frequent words are classes of their own, others are classed by the
-size of their count, and all outside the ``HEAD`` most frequent, the unknown among them, are one.
+context times its part of the class after the last word. The class is a softmax over hashed features:
+the last word, the last two, the word before the last and the one before that. A token's part is
+``(n(last, token) + prior * share) / (n(last, class) + prior)``: exact counts of all word pairs, and as
+share the token's training count plus a half over its class's sum. Frequent words are classes of their
+own, others are classed by the size of their count, and all outside the ``HEAD`` most frequent, the
+unknown among them, are one.
 
 1. Counts: every training token is counted by a 64-bit hash of its word, with partial sums.
-2. Training: in ``ROUNDS`` rounds over a part of the training documents each, which together are all
-   of them, the tasks sum the observed and the expected classes of every feature cell; the step is
-   their log ratio over the number of features (the gradient of the likelihood, scaled as in iterative
-   scaling). The weights have a fixed number of cells and are broadcast; sums are added up by cell
-   range.
-3. Scores: texts are scored in numpy over batches of tokens. Words of the head have their counts
-   there; those of the tail meet the table of counts by a join on the word's hash, per document and
-   distinct word.
+2. Pairs: every pair of a word and the next one, whose class has other words, is counted by a 64-bit
+   hash of both in a written table, its context (last word and class) in another; both grow with the
+   distinct pairs of the corpus and are only met by joins. The prior is the one of ``PRIORS`` under
+   which the pairs are likeliest when each occurrence is predicted from the others. For n keys the
+   chance of any clash is below n * n / 2^65.
+3. Training: in ``ROUNDS`` rounds over all training documents each, the tasks sum the observed and the
+   expected classes of every feature cell; the step is their log ratio over the number of features
+   (the gradient of the likelihood, scaled as in iterative scaling). The weights are broadcast and have
+   a cell for each distinct pair, ``LEAST_CELLS`` at least and ``MOST_CELLS`` at most; sums are added
+   up by cell range.
+4. Scores: texts are scored in numpy over batches of tokens. Words of the head have their counts
+   there; those of the tail meet the table of counts by a join on the word's hash, and pairs and
+   contexts their tables, per document and distinct pair.
 
 Null and empty texts are one end token. A row without an id is learned from and never held out.
 Repeated rows are scored each for itself. Without training documents the counts are 0 and the scores
@@ -39,16 +46,18 @@ from .common import documents, learns, map_text, slices, text_of
 HELD_OUT = 1
 HEAD = 1 << 18
 SINGLES = 20
-CELLS = 1 << 13
+LEAST_CELLS, MOST_CELLS = 1 << 13, 1 << 16
+PRIORS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 1e9)
 ROUNDS = 3
 FEATURES = 4
 SMOOTH = 4.0
 STEPS_PER_DOUBLING = 8
-TASK_TOKENS = 4_000_000
+TASK_TOKENS = 16_000_000
 RANGE = 1_024
 END = xxhash.xxh3_64_intdigest(b"\n")
 SLICE = 250_000
 KEPT = 200_000
+PAIRS = 2_000_000
 
 
 def words(text: str) -> list[bytes]:
@@ -112,7 +121,16 @@ class Model:
         sums[-1] = (total - self.c.sum()) + 0.5 * (distinct - len(self.h)) + 0.5
         self.sums = sums
         self.bias = np.log(sums / sums.sum()).astype(np.float32)
-        self.weights = np.zeros((CELLS, self.classes), np.float32)
+        self.shared = np.ones(self.classes, bool)  # classes of several words
+        self.shared[names[own]] = False
+        self.pairs = self.contexts = ""  # paths of the tables
+        self.prior = PRIORS[-1]
+        self.sized(0)
+
+    def sized(self, pairs: int) -> None:
+        """Weights of 0 for a corpus of so many distinct pairs."""
+        self.bits = (max(LEAST_CELLS, min(MOST_CELLS, pairs)) - 1).bit_length()
+        self.weights = np.zeros((1 << self.bits, self.classes), np.float32)
 
     def at(self, h: np.ndarray) -> np.ndarray:
         """Place of each word in the head, -1 for others."""
@@ -165,12 +183,22 @@ class Reader(dict):
 
         one, two, three = back(1), back(2), back(3)
         mixed = (one, one * np.uint64(0x9E3779B97F4A7C15) + two * np.uint64(5), two, three)
-        out = np.empty((FEATURES, len(ids)), np.uint16)
+        out = np.empty((FEATURES, len(ids)), np.int64)
         for k, m in enumerate(mixed):
             m = (m + np.uint64(k + 1)) * np.uint64(0xBF58476D1CE4E5B9)
-            out[k] = ((m ^ (m >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(51)  # CELLS
+            out[k] = ((m ^ (m >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - self.model.bits)
         return out
 
+    def pairs(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens whose class has other words: their places, and keys of the last word with the
+        token and with its class."""
+        cls = self.class_of(ids)
+        at = np.flatnonzero(self.model.shared[cls])
+        start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        last = np.where(at > start[at], self.h[ids[np.maximum(at - 1, 0)]], np.uint64(3)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = last + self.h[ids[at]] * np.uint64(0xC2B2AE3D27D4EB4F), last + (cls[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0x165667B19E3779F9)
+        return at, *(signed((m ^ (m >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) for m in mixed)
+
     def class_of(self, ids: np.ndarray) -> np.ndarray:
         place = self.place[ids]
         return np.where(place >= 0, np.append(self.model.of, 0)[place], self.model.classes - 1)
@@ -190,11 +218,11 @@ def step(docs: DataFrame, model: Model) -> np.ndarray:
     """The update of the weights from the training documents given."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    size = model.classes
+    cells_, size = model.weights.shape
 
     def run(batches):
         reader = Reader(shared.value)
-        seen, expected = np.zeros((CELLS * size,), np.float64), np.zeros((CELLS, size), np.float64)
+        seen, expected = np.zeros((cells_ * size,), np.float64), np.zeros((cells_, size), np.float64)
         any_ = False
         for batch in batches:
             for ids, sizes in reader.read(text_of(batch.column("text"))):
@@ -202,13 +230,13 @@ def step(docs: DataFrame, model: Model) -> np.ndarray:
                 cells, cls = reader.cells(ids, sizes), reader.class_of(ids)
                 p = np.exp(log_softmax(reader.model, cells))
                 for f in cells:
-                    seen += np.bincount(f.astype(np.int64) * size + cls, minlength=CELLS * size)
+                    np.add.at(seen, f * size + cls, 1)
                     order = np.argsort(f, kind="stable")
                     some, first = np.unique(f[order], return_index=True)
                     expected[some] += np.add.reduceat(p[order], first, axis=0)
         if any_:
-            both = np.stack([seen.reshape(CELLS, size), expected], 1).astype(np.float32)
-            for r in range(0, CELLS, RANGE):
+            both = np.stack([seen.reshape(cells_, size), expected], 1).astype(np.float32)
+            for r in range(0, cells_, RANGE):
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([both[r : r + RANGE].tobytes()], pa.binary())], ["cell", "sums"])
 
     def total(batches):
@@ -222,9 +250,9 @@ def step(docs: DataFrame, model: Model) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([delta.astype(np.float32).tobytes()], pa.binary())], ["cell", "delta"])
 
     tasks = max(spark.sparkContext.defaultParallelism, model.total // TASK_TOKENS)
-    sums = map_text(docs.select("text").coalesce(tasks), run, "cell int, sums binary").repartition(CELLS // RANGE, "cell")
+    sums = map_text(docs.select("text").coalesce(tasks), run, "cell int, sums binary").repartition(cells_ // RANGE, "cell")
     out = np.zeros_like(model.weights)
-    for row in sums.mapInArrow(total, "cell int, delta binary").collect():  # a fixed number of cells
+    for row in sums.mapInArrow(total, "cell int, delta binary").collect():  # MOST_CELLS at most
         out[row["cell"] : row["cell"] + RANGE] = np.frombuffer(row["delta"], np.float32).reshape(-1, size)
     shared.unpersist()
     return out
@@ -247,13 +275,55 @@ def head_of(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     return h, c, sum(s for *_, s in sizes), sum(m for _, m, _ in sizes)
 
 
+def count_pairs(docs: DataFrame, model: Model, counts: DataFrame) -> int:
+    """Writes the tables of pairs and contexts, sets the prior, and gives the number of pairs."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        reader = Reader(shared.value)
+        m = reader.model
+        share = np.append((m.c + 0.5) / m.sums[m.of], np.nan)
+        held, n = [], 0
+
+        def flush():
+            pair, context, part, word = (np.concatenate(x) for x in zip(*held))
+            _, first, times = np.unique(pair, return_index=True, return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pair[first]), pa.array(context[first]), pa.array(part[first], from_pandas=True), pa.array(word[first], mask=part[first] > 0), pa.array(times)], ["pair", "context", "share", "h", "n"])
+
+        for batch in batches:
+            for ids, sizes in reader.read(text_of(batch.column("text"))):
+                at, pair, context = reader.pairs(ids, sizes)
+                held.append((pair, context, share[reader.place[ids[at]]], signed(reader.h[ids[at]])))  # words of the tail have no share here
+                n += len(at)
+                if n > PAIRS:
+                    yield flush()
+                    n = 0
+        if held:
+            yield flush()
+
+    model.pairs, model.contexts = scratch_path(spark, "word-pairs"), scratch_path(spark, "word-contexts")
+    parts = map_text(docs.select("text"), run, "pair long, context long, share double, h long, n long")
+    parts.groupBy("pair").agg(F.min("context").alias("context"), F.min("share").alias("share"), F.min("h").alias("h"), F.sum("n").alias("n")).write.parquet(model.pairs)
+    pairs = spark.read.parquet(model.pairs)
+    pairs.groupBy("context").agg(F.sum("n").alias("all")).write.parquet(model.contexts)
+    tails = pairs.filter("h is not null").join(counts, "h").withColumn("share", (F.col("c") + F.lit(0.5)) / F.lit(float(model.sums[-1])))
+    both = pairs.filter("h is null").select("context", "share", "n").unionByName(tails.select("context", "share", "n")).join(spark.read.parquet(model.contexts), "context")
+    likely = [F.sum(F.col("n") * F.log((F.col("n") - 1 + F.lit(p) * F.col("share")) / (F.col("all") - 1 + F.lit(p)))) for p in PRIORS]
+    found = [x if x is not None else -math.inf for x in both.agg(*likely).first()]
+    model.prior = max(zip(found, PRIORS))[1]
+    shared.unpersist()
+    return pairs.count()
+
+
 def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model of ``docs`` (``doc_id, text``: training documents only) and their token counts."""
     counts = count_tokens(docs)
     model = Model(*head_of(counts))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(rounds))
-    for r in range(rounds if model.total else 0):
-        model.weights += step(docs.filter(part == r), model)
+    model.sized(count_pairs(docs, model, counts))
+    for _ in range(rounds if model.total else 0):
+        model.weights += step(docs, model)
     return model, counts
 
 
@@ -261,32 +331,32 @@ def scores(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """Per row: ``doc_id, n_tokens, n_known, base_score, score`` (log10)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    names = ["row", "doc_id", "n_tokens", "n_known", "counted", "fitted", "words", "times"]
+    names = ["row", "doc_id", "n_tokens", "n_known", "counted", "fitted", "pairs", "contexts", "words", "shares", "times"]
 
     def run(batches):
         reader = Reader(shared.value)
         m = reader.model
         draw = np.random.default_rng()  # row numbers of this attempt; the written rows fix them
-        share = (np.log(m.c + 0.5) - np.log(m.sums[m.of])) if len(m.h) else np.zeros(0)
-        counted = np.log(m.c + 0.5)
-        tail = -math.log(m.sums[-1])
+        share, counted = np.append((m.c + 0.5) / m.sums[m.of], np.nan), np.append(np.log(m.c + 0.5), 0)
         for batch in batches:
             at, doc_ids = 0, batch.column("doc_id")
             for ids, sizes in reader.read(text_of(batch.column("text"))):
                 place, cls = reader.place[ids], reader.class_of(ids)
                 logp = log_softmax(m, reader.cells(ids, sizes))[np.arange(len(ids)), cls].astype(np.float64)
-                known = place >= 0
-                logp += np.where(known, np.append(share, 0)[place], tail)
                 first = np.cumsum(sizes) - sizes
-                base = np.add.reduceat(np.where(known, np.append(counted, 0)[place], 0), first)
-                fitted, n_known = np.add.reduceat(logp, first), np.add.reduceat(known.astype(np.int64), first)
-                outside, times = [], []
-                for a, n in zip(first, sizes):
-                    part = ids[a : a + n]
-                    one, k = np.unique(part[~known[a : a + n]], return_counts=True)
-                    outside.append(signed(reader.h[one]))
-                    times.append(k)
-                lists = lambda x, t: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(y) for y in x])]), pa.int32()), pa.array(np.concatenate(x), t))  # noqa: E731, B023
+                base = np.add.reduceat(counted[place], first)
+                fitted, n_known = np.add.reduceat(logp, first), np.add.reduceat((place >= 0).astype(np.int64), first)
+                where, pair, context = reader.pairs(ids, sizes)
+                text = np.repeat(np.arange(len(sizes)), sizes)[where]
+                by = np.lexsort((pair, text))
+                new = np.ones(len(by), bool)
+                new[1:] = (np.diff(text[by]) > 0) | (np.diff(pair[by]) != 0)
+                times = np.diff(np.append(np.flatnonzero(new), len(by)))
+                by = by[new]  # the first place of every distinct pair of a text
+                there = place[where[by]]
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text[by], minlength=len(sizes)))]), pa.int32())
+                word = pa.array(signed(reader.h[ids[where[by]]]), mask=there >= 0)  # of the tail
+                lists = [pa.array(pair[by]), pa.array(context[by]), word, pa.array(share[there], pa.float64(), from_pandas=True), pa.array(times, pa.int32())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(draw.integers(-(2**63), 2**63, len(sizes), dtype=np.int64)),
@@ -295,28 +365,33 @@ def scores(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                         pa.array(n_known),
                         pa.array(base),
                         pa.array(fitted),
-                        lists(outside, pa.int64()),
-                        lists(times, pa.int32()),
+                        *(pa.ListArray.from_arrays(ends, x) for x in lists),
                     ],
                     names,
                 )
                 at += len(sizes)
 
     path = scratch_path(spark, "model-scores")
-    map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "row long, doc_id long, n_tokens long, n_known long, counted double, fitted double, words array<long>, times array<int>").write.parquet(path)
+    schema = "row long, doc_id long, n_tokens long, n_known long, counted double, fitted double, pairs array<long>, contexts array<long>, words array<long>, shares array<double>, times array<int>"
+    map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema).write.parquet(path)
     rows = spark.read.parquet(path)
-    tails = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("h"), F.col("x.times").cast("long").alias("k"))
-    met = tails.join(counts, "h", "left").select("row", (F.col("k") * F.log(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("s"), F.when(F.col("c") > 0, F.col("k")).otherwise(0).alias("k"))
-    sums = met.groupBy("row").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
-    more = F.coalesce("s", F.lit(0.0))
+    tokens = rows.select("row", F.explode(F.arrays_zip(*names[6:])).alias("x"))
+    tokens = tokens.select("row", F.col("x.pairs").alias("pair"), F.col("x.contexts").alias("context"), F.col("x.words").alias("h"), F.col("x.shares").alias("share"), F.col("x.times").cast("long").alias("k"))
+    tails = tokens.filter("h is not null").join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    tails = tails.withColumn("share", (F.col("c") + F.lit(0.5)) / F.lit(float(model.sums[-1])))
+    every = tails.select("row", "pair", "context", "share", "k", "c").unionByName(tokens.filter("h is null").select("row", "pair", "context", "share", "k", F.lit(None).cast("long").alias("c")))
+    met = every.join(spark.read.parquet(model.pairs).select("pair", "n"), "pair", "left").join(spark.read.parquet(model.contexts), "context", "left")
+    part = F.log((F.coalesce("n", F.lit(0)) + F.lit(model.prior) * F.col("share")) / (F.coalesce("all", F.lit(0)) + F.lit(model.prior)))
+    sums = met.groupBy("row").agg(F.sum(F.col("k") * F.log(F.col("c") + F.lit(0.5))).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k"), F.sum(F.col("k") * part).alias("p"))
+    zero = F.lit(0.0)
     whole = math.log(model.total + 0.5 * (model.distinct + 1))
     log10 = lambda x: x / F.lit(math.log(10))
-    return rows.drop("words", "times").join(sums, "row", "left").select(
+    return rows.select(names[:6]).join(sums, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        log10(F.col("counted") + more - F.col("n_tokens") * whole).alias("base_score"),
-        log10(F.col("fitted") + more).alias("score"),
+        log10(F.col("counted") + F.coalesce("s", zero) - F.col("n_tokens") * whole).alias("base_score"),
+        log10(F.col("fitted") + F.coalesce("p", zero)).alias("score"),
     )
 
 

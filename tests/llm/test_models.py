@@ -154,6 +154,37 @@ def test_contexts_help_on_held_out_texts(spark):
     assert sum(r["score"] for r in held) > 0.9 * sum(r["base_score"] for r in held)  # log10: less negative
 
 
+@pytest.mark.parametrize("head", [1 << 18, 40])
+def test_contexts_prefer_single_words(spark, monkeypatch, head):
+    """Of 200 equally frequent words each has its one successor: the class alone cannot tell which."""
+    monkeypatch.setattr(language_model, "HEAD", head)
+    rng = random.Random(10)
+    names = [f"word{i}" for i in range(200)]
+    follow = dict(zip(names, rng.sample(names, 200)))
+
+    def walk():
+        out = [rng.choice(names)]
+        while len(out) < 60:
+            out.append(follow[out[-1]] if rng.random() < 0.9 else rng.choice(names))
+        return " ".join(out)
+
+    model, got = model_rows(spark, [(i, walk()) for i in range(400)])
+    held = [r for r in got if part(r["doc_id"]) == 1]
+    assert sum(r["score"] for r in held) > 0.6 * sum(r["base_score"] for r in held)
+    tables = [spark.read.parquet(p) for p in (model.pairs, model.contexts)]
+    assert tables[0].agg(F.sum("n")).first() == tables[1].agg(F.sum("all")).first()
+    assert all(r["m"] == r["all"] for r in tables[0].groupBy("context").agg(F.sum("n").alias("m")).join(tables[1], "context").collect())
+
+
+def test_cells_grow_with_the_pairs():
+    model = language_model.Model(np.array([5, 9], np.uint64), np.array([3, 4]), 7, 2)
+    sizes = []
+    for pairs in (0, 20_000, 10**9):
+        model.sized(pairs)
+        sizes.append(len(model.weights))
+    assert sizes == [language_model.LEAST_CELLS, 1 << 15, language_model.MOST_CELLS]
+
+
 def test_nothing_to_learn_from(spark):
     held = [i for i in range(40) if part(i) == 1][:3]
     rows = [(i, "some words") for i in held]
