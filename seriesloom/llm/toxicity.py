@@ -1,5 +1,9 @@
 """Toxicity of whole texts by a recurrent network over words and their characters.
 
+Words end at the space and punctuation characters of Unicode, and in ASCII at all but letters and digits.
+A run of more than ``LETTERS`` bytes, as in scripts without spaces, is cut into pieces of at most that
+many bytes that overlap by half: each is a word in its place, so every byte is read.
+
 A word's input is its own embedding (one of a vocabulary, zero for other words), the mean embedding of
 its character trigrams, and how much more often the word, and its characters in fours and fives, stand
 in toxic than in clean documents. Two
@@ -22,6 +26,9 @@ whatever their names, are left out. An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,14 +52,37 @@ KEPT = 150_000
 BLANKS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(128)) + bytes(range(128, 256))
 
 
+BETWEEN = re.compile("[%s]+" % "".join(re.escape(c) for c in map(chr, range(128, sys.maxunicode + 1)) if c.isspace() or unicodedata.category(c)[0] in "PZ"))
+
+
 def words(text: str) -> list[bytes]:
-    return text.encode("utf-8").lower().translate(BLANKS).split()
+    if not text.isascii():
+        text = BETWEEN.sub(" ", text)
+    parts = text.encode("utf-8").lower().translate(BLANKS).split()
+    if max(map(len, parts), default=0) <= LETTERS:
+        return parts
+    return [x for w in parts for x in ((w,) if len(w) <= LETTERS else overlapping(w))]
+
+
+def overlapping(word: bytes) -> Iterator[bytes]:
+    """Pieces of at most ``LETTERS`` bytes, cut between characters; any ``LETTERS // 2`` bytes in a row
+    are whole in one."""
+    a = 0
+    while len(word) - a > LETTERS:
+        b = a + LETTERS
+        while word[b] & 0xC0 == 0x80:
+            b -= 1
+        yield word[a:b]
+        a = b - LETTERS // 2
+        while word[a] & 0xC0 == 0x80:
+            a -= 1
+    yield word[a:]
 
 
 def features(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Per word the cells of its character trigrams and the hashes of its runs of four and five
-    bytes (with the word's edges) and its first four to ten bytes; -1 and 0 where there is none. A word's first
-    ``LETTERS`` bytes are read; the whole word has its own input."""
+    bytes (with the word's edges) and its first four to ten bytes; -1 and 0 where there is none. Words have
+    at most ``LETTERS`` bytes."""
     raw = np.array(distinct, dtype=f"S{LETTERS}").view(np.uint8).reshape(len(distinct), LETTERS).astype(np.uint64)
     edged = np.zeros((len(distinct), LETTERS + 2), np.uint64)
     edged[:, 1:-1] = raw

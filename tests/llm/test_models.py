@@ -87,6 +87,24 @@ def test_toxicity_edges(spark, labelled):
     assert toxicity.scores(odd.limit(0), model).count() == 0
 
 
+def test_words_of_all_scripts():
+    assert toxicity.words("One\u00a0two\u2014three\u3002\u56db\u3001five_six") == [b"one", b"two", b"three", "\u56db".encode(), b"five", b"six"]
+    rng = random.Random(12)
+    for run in ("\u6c49\u5b57" * 40, "a" * 25, "".join(rng.choice("ab\u00e9\u0435\u6c34\U0001f600") for _ in range(300))):
+        raw, pieces = run.encode(), toxicity.words(run)
+        assert max(map(len, pieces)) <= toxicity.LETTERS and all(x.decode() for x in pieces) and toxicity.words(" ".join(x.decode() for x in pieces)) == pieces
+        half = toxicity.LETTERS // 2
+        assert all(any(raw[i : i + half] in x for x in pieces) for i in range(len(raw) - half + 1))
+
+
+def test_toxic_runs_behind_the_first_bytes(spark, labelled):
+    df, labels, _ = labelled
+    line = "".join(random.Random(13).choice("\u6c34\u706b\u5c71\u6728") for _ in range(120))
+    odd = docs(spark, [(1, line), (2, line[:60] + "vileword" + line[60:]), (3, "a" * 40 + "vileword"), (4, "a" * 40 + "aaaaaaaa")])
+    found = {i: r["toxicity"] for i, r in by_id(toxicity.scores(odd, toxicity.train(df, labels))).items()}
+    assert found[2] > found[1] and found[3] > found[4]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_toxicity_query_on_whole_tables(spark):
     got = toxicity.op2_toxicity(spark, DATA)
