@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
-from .common import connected, documents, map_text, text_of
+from .common import WORD, connected, documents, map_text, text_of
 
 WORDS, NUM, DEN = 4, 85, 100
 SKETCH, CELLS = 1 << 24, 1 << 18
@@ -92,7 +92,7 @@ def first(tokens: np.ndarray, levels: np.ndarray, order: int, percent: int = NUM
 
 
 def keyed(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
-    """``(doc_id, n, key)`` of every row (key null without shingles), and the sketch's levels: eight
+    """``(doc_id, t, n, key)`` of every row (``t``: a hash of its text; key null without shingles), and the sketch's levels: eight
     times the logarithm of a cell's count. A task's cells are packed, so few shingles take little."""
 
     def run(batches):
@@ -105,17 +105,17 @@ def keyed(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
                 ns.append(len(tokens))
                 keys.append(set_key(tokens) if len(tokens) else None)
             none = pa.nulls(len(ns), pa.int32()), pa.nulls(len(ns), pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), *none], names)
+            yield pa.RecordBatch.from_arrays([ids, batch.column("t"), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), *none], names)
         for c in range(SKETCH // CELLS):
             part = np.minimum(counts[c * CELLS : (c + 1) * CELLS], 255).astype(np.uint8)
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([c], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names
+                    [*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([c], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names
                 )
 
-    names = ["doc_id", "n", "key", "cell", "counts"]
+    names = ["doc_id", "t", "n", "key", "cell", "counts"]
     path = scratch_path(docs.sparkSession, "shingle-keys")
-    map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, key long, cell int, counts binary").write.parquet(path)
+    map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t")), run, "doc_id long, t long, n long, key long, cell int, counts binary").write.parquet(path)
     stored = docs.sparkSession.read.parquet(path)
 
     def summed(batches):
@@ -131,7 +131,7 @@ def keyed(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
     parts = stored.filter("cell is not null").select("cell", "counts").repartition(SKETCH // CELLS, "cell")
     for row in parts.mapInArrow(summed, "cell int, levels binary").collect():
         levels[row["cell"] * CELLS : (row["cell"] + 1) * CELLS] = np.frombuffer(row["levels"], np.uint8)
-    return stored.filter("cell is null").select("doc_id", "n", "key"), levels
+    return stored.filter("cell is null").select("doc_id", "t", "n", "key"), levels
 
 
 def candidate_groups(docs: DataFrame, levels, words: int = WORDS, percent: int = NUM) -> DataFrame:
@@ -255,9 +255,13 @@ def _blocked(members: DataFrame, salt: int) -> DataFrame:
     return members.withColumn("block", F.pmod(F.xxhash64("key", F.lit(salt)), F.col("blocks")))
 
 
-def link_classes(docs: DataFrame, keys: DataFrame, levels, words: int = WORDS, percent: int = NUM) -> DataFrame:
-    """``(node, root)`` of the classes that links connect; the smallest class of a component is left out."""
-    classes = keys.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+def link_classes(docs: DataFrame, keys: DataFrame, levels, words: int = WORDS, percent: int = NUM, nameless: bool = False) -> DataFrame:
+    """``(node, root)`` of the classes that links connect; the smallest class of a component is left out.
+    ``nameless``: rows without an id connect as others do, found by their text's hash."""
+    least, own = F.min("doc_id"), F.col("doc_id").cast("long")
+    if nameless:
+        least, own = F.coalesce(least, F.min("t")), F.coalesce(own, F.xxhash64("text"))
+    classes = keys.filter("key is not null").groupBy("key").agg(least.alias("doc_id"), F.first("n").alias("n"))
     near = cut_lineage(candidate_groups(docs, levels, words, percent))
     every = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("key"), "root")
     members = every.join(classes, "key")
@@ -273,7 +277,7 @@ def link_classes(docs: DataFrame, keys: DataFrame, levels, words: int = WORDS, p
             rest = [batch.column(c).take(at) for c in ("key", "root", "blocks")]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([t.tobytes() for _, t in found], pa.binary())], ["key", "root", "blocks", "tokens"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id").select("key", "root", "blocks", "text")
+    texts = docs.select(own.alias("doc_id"), "text").join(members, "doc_id").select("key", "root", "blocks", "text")
     path = scratch_path(docs.sparkSession, "shingle-sets")
     map_text(texts, run, "key long, root long, blocks long, tokens binary").write.parquet(path)
     sets = docs.sparkSession.read.parquet(path).dropDuplicates(["key"]) if _repeats(docs) else docs.sparkSession.read.parquet(path)
@@ -304,24 +308,36 @@ def _repeats(docs: DataFrame) -> bool:
     return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").limit(1).count() > 0
 
 
-def components(docs: DataFrame, words: int = WORDS, percent: int = NUM) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, component_id``."""
+def labels(docs: DataFrame, words: int, percent: int, nameless: bool = False) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, t, n, label``, the label common to a component."""
     keys, table = keyed(docs, words)
     levels = docs.sparkSession.sparkContext.broadcast(table)
-    roots = link_classes(docs, keys, levels, words, percent)
-    labelled = keys.join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", F.coalesce("root", "key").alias("label"))
-    labelled = cut_lineage(labelled)
+    roots = link_classes(docs, keys, levels, words, percent, nameless)
+    return cut_lineage(keys.join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "t", "n", F.coalesce("root", "key").alias("label")))
+
+
+def components(docs: DataFrame, words: int = WORDS, percent: int = NUM) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_shingles, component_id``."""
+    labelled = labels(docs, words, percent)
     least = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def without_copies(docs: DataFrame, words: int = WORDS, percent: int = NUM) -> DataFrame:
-    """One document of each component, the one with the smallest id, with its own columns. Repeated
-    rows of that id are one document; rows without an id are kept."""
-    kept = components(docs, words, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null")
-    single = named.dropDuplicates(["doc_id"]) if _repeats(named) else named
-    return single.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One document of each component, with its own columns: the one with the smallest id, of several
+    texts of that id the one with the smallest hash. Texts without shingles stay, equal ones of an id
+    once. Rows without an id connect as others do; besides the named one, one of those in a component
+    is kept, and all that have no shingles."""
+    found = labels(docs, words, percent, True).withColumn("nameless", F.col("doc_id").isNull())
+    linked = found.filter("label is not null").groupBy("label", "nameless").agg(F.min(F.struct("doc_id", "t")).alias("x")).select("x.doc_id", "x.t")
+    blank = found.filter("label is null and not nameless").select("doc_id", "t").distinct()
+    kept = linked.unionByName(blank).toDF("_kept_id", "_kept_t")
+    held = docs.withColumn("_t", F.xxhash64("text"))
+    single = held.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_t") == F.col("_kept_t")), "left_semi")
+    if _repeats(docs):
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        single = single.groupBy("doc_id", "_t").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row")).select("_row.*")
+    return single.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))
 
 
 def op5_jaccard_join(spark, sf):

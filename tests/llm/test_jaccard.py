@@ -76,6 +76,19 @@ def test_edges(spark):
     assert jaccard.components(more.limit(0)).count() == 0
 
 
+def test_copies_are_decided_by_text(spark):
+    """A repeated id with two texts, and near copies without ids."""
+    rng = random.Random(9)
+    one, two, three, four = (prose(rng, 60) for _ in range(4))
+    rows = [(1, one), (2, one), (2, two), (2, two), (3, three), (3, four), (None, one + " end"), (None, one), (None, three), (None, ""), (None, " ")]
+    alone = prose(rng, 60)
+    rows += [(None, alone), (None, alone + " end"), (None, alone)]
+    got = [(r["doc_id"], r["text"]) for r in jaccard.without_copies(docs(spark, rows)).collect()]
+    assert sorted(got[k] for k in range(len(got)) if got[k][0]) == sorted([(1, one), (2, two), (3, three), (3, four)])
+    nameless = [t for i, t in got if i is None]
+    assert len(nameless) == 5 and sum(t.startswith(one) for t in nameless) == 1 and sum(t.startswith(alone) for t in nameless) == 1 and three in nameless
+
+
 def test_first_shingles_meet_under_every_order():
     rng, levels = np.random.default_rng(3), np.random.default_rng(4).integers(0, 3, jaccard.SKETCH).astype(np.uint8)
     for n in (1, 2, 7, 40, 200):
