@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and the SQL they must agree with."""
 
-from . import jaccard, language_model, mixing, near_vectors, page_text, pieces, token_counts, topk, toxicity, warc
+from . import importance, jaccard, language_model, mixing, near_vectors, page_text, pieces, token_counts, topk, toxicity, warc
 
-MODULES = (topk, toxicity, page_text, token_counts, jaccard, pieces, mixing, warc, language_model, near_vectors)
+MODULES = (topk, toxicity, page_text, token_counts, jaccard, pieces, mixing, warc, language_model, near_vectors, importance)
 
 
 def queries():
