@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, scratch_path
+from ..session import scratch_path
 from ..sources.tables import table
 from .vectors import usable
 
@@ -123,25 +123,34 @@ def first_in_bands(rows, anchors, k: int, same: bool) -> tuple[list[tuple[int, i
         fits = fits & (ids[:, None] != own[None, some]) if same else ~fits
         low = [np.array(x, np.float64) for x in lows[some]]
         high = [np.array(x, np.float64) for x in highs[some]]
+        floor, roof = np.array([x.min() for x in low]), np.array([x.max() for x in high])
         alive = np.flatnonzero(fits.any(1))
         for level in bounds(mx, sx, my[some], sy[some], v.shape[1]):
             if not len(alive):
                 break
             least, most = level(alive)
-            asked = fits[alive]
-            kept = np.zeros_like(asked)
-            for j in range(asked.shape[1]):
-                at = np.flatnonzero(asked[:, j])
-                for b in range(len(low[j])):
-                    below = least[at, j] <= high[j][b]
-                    sure = np.where(most[at, j] <= high[j][b], least[at, j], -np.inf)
-                    if len(sure) >= k:  # so many rows of the band score this at least
-                        low[j][b] = max(low[j][b], np.partition(sure, len(sure) - k)[len(sure) - k])
-                    kept[at, j] |= below & (most[at, j] >= low[j][b])
+            if same and len(alive) >= k:  # one band without an upper end: k rows score this at least
+                sure = np.where(fits[alive], least, -np.inf)
+                floor = np.maximum(floor, np.partition(sure, len(sure) - k, axis=0)[len(sure) - k])
+            kept = fits[alive] & (most >= floor) & (least <= roof)
             fits[alive] = kept
-            alive = alive[kept.any(1)]
+            some_left = kept.any(1)
+            alive, least, most = alive[some_left], least[some_left], most[some_left]
         if not len(alive):
             continue
+        if not same:  # the finest bounds, band by band
+            for j in range(fits.shape[1]):
+                at = np.flatnonzero(fits[alive, j])
+                kept = np.zeros(len(at), bool)
+                for lo, hi in zip(low[j], high[j]):
+                    sure = np.where(most[at, j] <= hi, least[at, j], -np.inf)
+                    if len(sure) >= k:
+                        lo = max(lo, np.partition(sure, len(sure) - k)[len(sure) - k])
+                    kept |= (least[at, j] <= hi) & (most[at, j] >= lo)
+                fits[alive[at[~kept]], j] = False
+            alive = alive[fits[alive].any(1)]
+            if not len(alive):
+                continue
         scored += len(alive)
         scores, asked = products(v[alive], w[some]), fits[alive]
         for j in range(asked.shape[1]):
@@ -158,23 +167,35 @@ def first_in_bands(rows, anchors, k: int, same: bool) -> tuple[list[tuple[int, i
     return out, scored
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Written below the shared folder and read again, with a known size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _search(rows: DataFrame, anchors: DataFrame, k: int, same: bool) -> DataFrame:
     """``FOUND`` of the cells of blocks and groups of ``anchors`` (``ROWS`` and ``lows, highs``), each
     band's first k within each cell that can be among the first k of all."""
-    part = F.col("label") if same else F.lit("")
-    rows, anchors = rows.withColumn("part", part), anchors.withColumn("part", part)
-    sizes = rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    groups = anchors.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("groups"))
-    grid = cut_lineage(sizes.join(groups, "part"))
+    cell = ["part", "block", "grp"]
     spot = lambda count: F.pmod(F.xxhash64("key", F.lit(7)), F.col(count))
     every = lambda a, b: F.explode(F.sequence(a, b - 1))
-    cell = ["part", "block", "grp"]
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    placed = rows.join(grid, "part").withColumn("block", spot("blocks"))
+    parts = lambda count, size: F.greatest(F.ceil(count / size), F.lit(1)).cast("long")
+    if same:  # each label has its own blocks and groups
+        sizes = rows.groupBy("label").agg(parts(F.count(F.lit(1)), BLOCK).alias("blocks"))
+        groups = anchors.groupBy("label").agg(parts(F.count(F.lit(1)), GROUP).alias("groups"))
+        grid = _kept(sizes.join(groups, "label"), "grid")
+        most = grid.agg(F.max("blocks")).first()[0] or 1
+        placed_in = lambda df: df.join(grid, "label").withColumn("part", F.col("label"))
+    else:
+        most, groups = -(-rows.count() // BLOCK) or 1, -(-anchors.count() // GROUP) or 1
+        placed_in = lambda df: df.withColumns({"part": F.lit(""), "blocks": F.lit(most).cast("long"), "groups": F.lit(groups).cast("long")})
+    placed = placed_in(rows).withColumn("block", spot("blocks"))
 
     def met(asked: DataFrame, first: bool) -> DataFrame:
         left = placed.filter(F.col("block") == 0 if first else F.col("block") > 0).withColumn("grp", every(zero, F.col("groups")))
-        right = asked.join(grid, "part").withColumn("grp", spot("groups"))
+        right = placed_in(asked).withColumn("grp", spot("groups"))
         right = right.withColumn("block", zero) if first else right.filter("blocks > 1").withColumn("block", every(one, F.col("blocks")))
         left = left.select(*cell, "id", "label", "v", "means", "spreads")
         right = right.select(*cell, "key", "id", "label", "v", "means", "spreads", "lows", "highs")
@@ -202,7 +223,9 @@ def _search(rows: DataFrame, anchors: DataFrame, k: int, same: bool) -> DataFram
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 5, types)], names=[c.split()[0] for c in FOUND.split(", ")])
 
-    start = cut_lineage(met(anchors, True))
+    start = _kept(met(anchors, True), "first-block")
+    if most == 1:
+        return start
     # k rows of a band found so far: nothing below the k-th is asked for any more
     reached = start.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k)
     reached = reached.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", "least"))).alias("reached"))
@@ -225,14 +248,15 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = POSITIVES, negativ
     anchors = stored.filter(is_anchor)
     none = F.lit(np.iinfo(np.int64).min).cast("long"), F.lit(np.iinfo(np.int64).max).cast("long")
     near = _search(stored, anchors.withColumns({"lows": F.array(none[0]), "highs": F.array(none[1])}), positives, True)
-    near = cut_lineage(_first(near, positives).select("key", "id", "score"))
+    near = _first(near, positives).select("key", "id", "score")
     # whole scores s with low * p <= 100 * s <= high * p; a negative p leaves none
     lowest = F.expr(f"(score * {low} + IF(score > 0, 99, 0)) div 100")
     highest = F.expr(f"(score * {high} - IF(score < 0, 99, 0)) div 100")
     bands = near.select("key", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"), lowest.alias("low"), highest.alias("high"))
     lists = bands.filter("low <= high").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("positive_id", "positive_score", "low", "high"))).alias("bands"))
-    lists = cut_lineage(lists)
+    lists = _kept(lists, "bands")
     asked = anchors.join(lists, "key").withColumns({"lows": F.transform("bands", lambda b: b["low"]), "highs": F.transform("bands", lambda b: b["high"])}).drop("bands")
+    asked = _kept(asked, "asked")
     found = _first(_search(stored, asked, negatives, False), negatives)
     out = found.join(lists, "key").withColumn("p", F.element_at("bands", F.col("band") + 1))
     return out.select("anchor_id", F.col("p.positive_id").alias("positive_id"), "rank", F.col("id").alias("negative_id"), F.col("p.positive_score").alias("positive_score"), F.col("score").alias("negative_score"))
