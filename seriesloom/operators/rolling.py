@@ -1,6 +1,8 @@
 """Lags, changes and trailing-window statistics.
 
-All columns of one call share one partitioning and ordering, so Spark sorts each series once.
+All columns of one call share one partitioning and ordering, so Spark sorts each series once. Means,
+deviations and quantiles of wide windows are those of ``trailing``; ``rolling_mean`` and ``rolling_std`` are
+column expressions over a sliding frame, for narrow ones among other expressions.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.guarded import change_ratio, safe_ratio
 from .align import by_day
+from .trailing import mean, quantiles, std, trailing_features
 
 # Lag days per kind of series.
 TARGET_LAGS = (1, 2, 3, 5, 7, 14, 21, 30, 60, 90, 180, 365)
@@ -87,27 +90,21 @@ def momentum(panel: DataFrame) -> DataFrame:
 
 
 def mean_std_features(panel: DataFrame) -> DataFrame:
-    cols = {f"ma{n}": rolling_mean("value", n) for n in MEAN_WINDOWS}
-    cols |= {f"std{n}": rolling_std("value", n) for n in STD_WINDOWS}
-    return panel.withColumns(cols)
+    wanted = {f"ma{n}": mean(n) for n in MEAN_WINDOWS} | {f"std{n}": std(n) for n in STD_WINDOWS}
+    return trailing_features(panel, wanted)
 
 
 def quantile_features(panel: DataFrame, widths: Sequence[int] = QUANTILE_WINDOWS) -> DataFrame:
-    """Trailing P10, P90 and their spread, linear interpolation; both quantiles from one pass."""
-    cols = {}
+    """Trailing P10, P90 and their spread, linear interpolation."""
+    out = trailing_features(panel, {f"_q{n}": quantiles(n, (0.1, 0.9)) for n in widths})
     for n in widths:
-        w = trailing(n)
-        q = F.percentile("value", F.array(F.lit(0.1), F.lit(0.9))).over(w)
-        cols[f"_q{n}"] = F.when(F.count("value").over(w) >= default_min_periods(n), q)
-    out = panel.withColumns(cols)
-    for n in widths:
-        low, high = F.get(f"_q{n}", 0), F.get(f"_q{n}", 1)
-        out = out.withColumns({f"p10_{n}": low, f"p90_{n}": high, f"spread_{n}": high - low}).drop(f"_q{n}")
+        low, high = F.col(f"_q{n}_0"), F.col(f"_q{n}_1")
+        out = out.withColumns({f"p10_{n}": low, f"p90_{n}": high, f"spread_{n}": high - low}).drop(f"_q{n}_0", f"_q{n}_1")
     return out
 
 
 def level_ratios(panel: DataFrame) -> DataFrame:
-    out = panel.withColumns({"_ma7": rolling_mean("value", 7, 3), "_ma30": rolling_mean("value", 30, 10)})
+    out = trailing_features(panel, {"_ma7": mean(7, 3), "_ma30": mean(30, 10)})
     return out.withColumns(
         {
             "ratio_ma7": safe_ratio(F.col("value"), F.col("_ma7")),
@@ -120,7 +117,7 @@ def level_ratios(panel: DataFrame) -> DataFrame:
 def return_volatility(panel: DataFrame) -> DataFrame:
     """Trailing standard deviation of one-step returns, 14 (at least 7) and 30 (at least 10)."""
     ret = panel.withColumn("ret", change_ratio(F.col("value"), F.lag("value", 1).over(by_day())))
-    return ret.withColumns({"vol_14": rolling_std("ret", 14, 7), "vol_30": rolling_std("ret", 30, 10)})
+    return trailing_features(ret, {"vol_14": std(14, 7, "ret"), "vol_30": std(30, 10, "ret")})
 
 
 def lead_label(samples: DataFrame, column: str, step: int = 1, keys: Sequence[str] = ("series_id",)) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.catalog import has_any
 from ..functions.guarded import safe_ratio
 from .align import by_day
-from .rolling import rolling_mean, rolling_std
+from .trailing import mean, std, trailing_features
 
 PRICE_WINDOWS = (5, 10, 20, 40, 60)
 
@@ -30,23 +30,23 @@ def pick_series(catalog: DataFrame, include: Sequence[str], exclude: Sequence[st
 
 
 def bollinger_position(panel: DataFrame, width: int = 20, n_std: float = 2.0) -> DataFrame:
-    out = panel.withColumns({"_m": rolling_mean("value", width), "_s": rolling_std("value", width)})
+    out = trailing_features(panel, {"_m": mean(width), "_s": std(width)})
     low, band = F.col("_m") - n_std * F.col("_s"), 2 * n_std * F.col("_s")
     return out.withColumn("bb_pos", F.when(band > 1e-10, (F.col("value") - low) / band)).drop("_m", "_s")
 
 
 def price_ratios(panel: DataFrame) -> DataFrame:
-    cols = {f"price_ma{n}": safe_ratio(F.col("value"), rolling_mean("value", n)) for n in PRICE_WINDOWS}
-    cols["ma5_ma20"] = safe_ratio(rolling_mean("value", 5, 3), rolling_mean("value", 20, 10))
-    return panel.withColumns(cols)
+    means = {f"_m{n}": mean(n) for n in PRICE_WINDOWS} | {"_a": mean(5, 3), "_b": mean(20, 10)}
+    cols = {f"price_ma{n}": safe_ratio(F.col("value"), F.col(f"_m{n}")) for n in PRICE_WINDOWS}
+    cols["ma5_ma20"] = safe_ratio(F.col("_a"), F.col("_b"))
+    return trailing_features(panel, means).withColumns(cols).drop(*means)
 
 
 def crossover(panel: DataFrame, first_row: int = 5) -> DataFrame:
     """+1 where the short mean crosses above the long mean, -1 below, else 0."""
     w = by_day()
-    out = panel.withColumns(
-        {"_a": rolling_mean("value", 5, 3), "_b": rolling_mean("value", 20, 10), "_i": F.row_number().over(w) - 1}
-    ).withColumns({"_pa": F.lag("_a").over(w), "_pb": F.lag("_b").over(w)})
+    out = trailing_features(panel.withColumn("_i", F.row_number().over(w) - 1), {"_a": mean(5, 3), "_b": mean(20, 10)})
+    out = out.withColumns({"_pa": F.lag("_a").over(w), "_pb": F.lag("_b").over(w)})
     a, b, pa, pb = (F.col(c) for c in ("_a", "_b", "_pa", "_pb"))
     flag = (
         F.when(F.col("_i") < first_row, 0)

@@ -52,6 +52,18 @@ def moving_quantiles(spark, sf):
     return rounded(rolling.quantile_features(orders_daily(spark, sf)), 3)
 
 
+def moving_quantiles_with_gaps(spark, sf):
+    """The same of many series, with days that have no value."""
+    p = supplier_panel(spark, sf)
+    grid = align.spine(p.select("series_id").distinct(), SUPPLY_LO, SUPPLY_HI).join(p, ["series_id", "d"], "left")
+    return rounded(rolling.quantile_features(grid), 3)
+
+
+def moving_averages_suppliers(spark, sf):
+    """Moments of many daily as-of series: long runs of equal values between deliveries."""
+    return rounded(rolling.mean_std_features(supplier_daily(spark, sf)), 3)
+
+
 def level_ratios(spark, sf):
     return rounded(rolling.level_ratios(orders_daily(spark, sf)), 6)
 
@@ -196,6 +208,8 @@ QUERIES = {
     "moving_averages": moving_averages,
     "moving_averages_with_gaps": moving_averages_with_gaps,
     "moving_quantiles": moving_quantiles,
+    "moving_quantiles_with_gaps": moving_quantiles_with_gaps,
+    "moving_averages_suppliers": moving_averages_suppliers,
     "level_ratios": level_ratios,
     "momentum_features": momentum_features,
     "return_volatility": return_volatility,
@@ -233,6 +247,9 @@ SELECT series_id, d, value, """ + ", ".join(f"round((value - lag(value, {k}) OVE
     "moving_averages_with_gaps": with_(SUPD) + f""", g AS (SELECT g.series_id, g.d, p.value FROM supd_grid g LEFT JOIN sup p USING (series_id, d))
 SELECT *, {_moving_sql()} FROM g""",
     "moving_quantiles": with_(ORDD) + f"SELECT *, {_quantile_sql()} FROM ordd",
+    "moving_quantiles_with_gaps": with_(SUPD) + f""", g AS (SELECT g.series_id, g.d, p.value FROM supd_grid g LEFT JOIN sup p USING (series_id, d))
+SELECT *, {_quantile_sql()} FROM g""",
+    "moving_averages_suppliers": with_(SUPD) + f"SELECT *, {_moving_sql()} FROM supd",
     "level_ratios": with_(ORDD) + f""", m AS (SELECT *, {mean_sql(7, 3)} AS a, {mean_sql(30, 10)} AS b FROM ordd)
 SELECT series_id, d, value, round({ratio_sql('value', 'a')}, 6) AS ratio_ma7, round({ratio_sql('value', 'b')}, 6) AS ratio_ma30, round({ratio_sql('a', 'b')}, 6) AS ma7_ma30 FROM m""",
     "momentum_features": with_(ORDD) + "SELECT *, " + ", ".join(f"round({_abs_change(k)}, 6) AS {n}" for n, k in ({f"mom{k}": k for k in rolling.MOMENTUM_STEPS} | rolling.YEAR_MONTH_WEEK_STEPS).items()) + " FROM ordd",
