@@ -22,9 +22,14 @@ def last_per_day(observations: DataFrame, order: str) -> DataFrame:
 
 
 def spine(catalog: DataFrame, lo: str, hi: str) -> DataFrame:
-    """Every series on every day: generated per catalog row, so no join is needed."""
+    """Every series on every day: generated per catalog row, so no join is needed. The catalog is dealt
+    over a stated number of partitions before it grows to rows per day: its few bytes would else be
+    packed into one task. Work per series that follows finds the rows dealt by series. (One partition
+    more than the session's number, or the planner folds this into an earlier shuffle by series, whose
+    partitions it may pack.)"""
     days = F.sequence(F.lit(lo).cast("date"), F.lit(hi).cast("date"), F.expr("interval 1 day"))
-    return catalog.select("series_id", F.explode(days).alias("d"))
+    parts = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    return catalog.select("series_id").repartition(parts, "series_id").select("series_id", F.explode(days).alias("d"))
 
 
 def forward_fill(panel: DataFrame, value: str = "value", out: str = "value", keys=("series_id",)) -> DataFrame:
