@@ -5,13 +5,14 @@ models fitted on weekly samples of the orders panel."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..operators import metrics, model, resample, rolling, select, split, stationarity, tables
+from ..operators import forest, metrics, model, resample, rolling, select, split, stationarity, tables
 from ..operators.align import by_day
 from ..session import cut_lineage
 from ..sources.tables import table
-from .base import ORDD, SUP, W, orders_daily, rounded, supplier_panel, with_
+from .base import ORDD, SUP, SUPD, W, orders_daily, rounded, supplier_daily, supplier_panel, with_
 
 CUTOFF = "1999-12-31"
 
@@ -121,11 +122,51 @@ def tree_predictions(spark, sf):
     return rounded(model.refit_and_score(rows, SMALL)[1], 2)
 
 
+BOOSTED = {"n_trees": 8, "max_depth": 2, "step_size": 0.3, "subsample": 1.0, "min_leaf": 5, "reg_lambda": 1.0}
+STUMP = BOOSTED | {"n_trees": 1, "max_depth": 1}
+LAGS = (1, 7, 14, 28)
+
+
+def supplier_samples(spark, sf):
+    """Weekly rows of every supplier with the next week's level as label: as many targets as suppliers."""
+    daily = rolling.lag_features(supplier_daily(spark, sf), LAGS)
+    weekly = resample.weekly_sample(daily).withColumnRenamed("series_id", "target_id")
+    lags = [f"lag_{k}" for k in LAGS]
+    rows = split.labelled_split(weekly, "value", CUTOFF, keys=["target_id"])
+    features = F.array("value", *lags, F.col("value") - F.col("lag_7"))
+    return rows.select("target_id", "d", "label", "split", features.alias("features"))
+
+
+def stump_by_target(spark, sf):
+    """One split per supplier: the nodes of a tree of depth one."""
+    samples = supplier_samples(spark, sf)
+    nodes = forest.fit(samples, forest.parameters(spark, forest.one_model_each(samples), STUMP))[1]
+    return nodes.select(F.col("model_id").alias("target_id"), "node", "feature", "bin", F.round("gain", -6).alias("gain"), "n", F.round("value", 6).alias("value"))
+
+
+def boosted_predictions(spark, sf):
+    """Trees of depth two of every supplier, grown in the same jobs; all rows scored."""
+    samples = supplier_samples(spark, sf)
+    scored = forest.fit(samples, forest.parameters(spark, forest.one_model_each(samples), BOOSTED))[0]
+    return rounded(scored.select("target_id", "d", "split", "y_true", "y_pred"), 6)
+
+
 def tree_metrics_by_target(spark, sf):
-    """One model per priority; finished targets are skipped."""
+    """One model per supplier, all in the same jobs; a target that cannot be trained has a reason. Suppliers
+    of few weeks: those of the last nations are seen from the cutoff's year on only."""
+    samples = supplier_samples(spark, sf)
+    s = table(spark, sf, "supplier").filter("s_nationkey >= 20").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("target_id"), F.lit(True).alias("late"))
+    samples = samples.join(s, "target_id", "left").filter("late is null or d >= '1999-06-01'").drop("late")
+    return rounded(forest.train_targets(samples, BOOSTED), 6)
+
+
+def halved_search(spark, sf):
+    """Fifty draws of parameters for every priority, the better half of which grows on."""
     rows, _ = weekly_samples(spark, sf)
-    targets = [r.target_id for r in rows.select("target_id").distinct().orderBy("target_id").collect()]
-    return rounded(model.train_targets(rows, targets, SMALL), 4)
+    samples = rows.filter(F.col("split") == "train").select("target_id", "d", "label", vector_to_array("features").alias("features"))
+    held = split.time_holdout(samples, keys=["target_id"])
+    samples = held.withColumn("split", F.when(F.col("is_holdout"), "holdout").otherwise("train")).drop("is_holdout")
+    return rounded(forest.halving(samples, forest.draw_trials(samples, 50), (2, 4)), 6)
 
 
 def parameter_search(spark, sf):
@@ -187,6 +228,47 @@ b AS (SELECT *, lag(y) OVER {W} AS prev, y - lag(y) OVER {W} AS dy, i - (n - 2)
 SELECT series_id, any_value(n) AS n, """ + ", ".join(f"round(sum({terms[i]}::DOUBLE * {terms[j]}), 2) AS s{k}" for k, (i, j) in enumerate(pairs)) + " FROM c WHERE dy IS NOT NULL GROUP BY 1"
 
 
+def _forest_sql(params: dict[str, float], keep: str = "true") -> str:
+    """The same trees in SQL: CTEs ``sc`` (targets), ``t{tree}`` (rows with their prediction after so many
+    trees) and ``s{tree}_{level}``, ``v{tree}`` (splits and leaves)."""
+    depth, lam, step, leaf = params["max_depth"], float(params["reg_lambda"]), params["step_size"], params["min_leaf"]
+    names = ["value", *(f"lag_{k}" for k in LAGS), "value - lag_7"]
+    last = len(names)
+    sql = with_(SUPD) + f""", wf AS (SELECT *, {', '.join(f'lag(value, {k}) OVER {W} AS lag_{k}' for k in LAGS)} FROM supd),
+wk AS (SELECT * FROM wf QUALIFY row_number() OVER (PARTITION BY series_id, isoyear(d), week(d) ORDER BY (isodow(d) = 5) DESC, d DESC) = 1),
+lb AS (SELECT *, lead(value) OVER {W} AS label, lead(d) OVER {W} AS label_d FROM wk),
+sm AS (SELECT series_id AS target_id, d, label, CASE WHEN d <= DATE '{CUTOFF}' THEN 'train' ELSE 'test' END AS split, [{', '.join(f'({n})::DOUBLE' for n in names)}] AS f
+  FROM lb WHERE label IS NOT NULL AND ((d <= DATE '{CUTOFF}' AND label_d <= DATE '{CUTOFF}') OR d >= DATE '{CUTOFF}' + 98) AND {keep}),
+en AS (SELECT target_id, count(*) FILTER (split = 'train') AS n, min(label) FILTER (split = 'train') AS lo, max(label) FILTER (split = 'train') AS hi FROM sm GROUP BY 1),
+un AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / {forest.RANGE} ELSE 1.0::DOUBLE END AS unit FROM en),
+sc AS (SELECT target_id, any_value(n) AS n, any_value(unit) AS unit, any_value(lo) + any_value(unit) * (sum(floor((label - lo) / unit + 0.5::DOUBLE)::BIGINT)::BIGINT / any_value(n)) AS base
+  FROM sm JOIN un USING (target_id) WHERE split = 'train' GROUP BY 1 HAVING any_value(n) >= {forest.MIN_ROWS}),
+ce AS (SELECT target_id, i, f[i] AS v FROM sm, range(1, {last + 1}) AS r(i) WHERE split = 'train' AND f[i] IS NOT NULL),
+ra AS (SELECT target_id, i, v, floor({forest.BINS} * (rank() OVER (PARTITION BY target_id, i ORDER BY v) - 1) / count(*) OVER (PARTITION BY target_id, i)) AS b FROM ce),
+lo AS (SELECT target_id, i, list_sort(list(low)) AS lows FROM (SELECT target_id, i, b, min(v) AS low FROM ra GROUP BY ALL) GROUP BY ALL),
+bi AS MATERIALIZED (SELECT target_id, d, list(CASE WHEN f[i] IS NULL OR lows IS NULL THEN 0 ELSE greatest(1, len(list_filter(lows, lambda e: e <= f[i]))) END ORDER BY i) AS bins
+  FROM (SELECT target_id, d, f, r.i FROM sm, range(1, {last + 1}) AS r(i)) LEFT JOIN lo USING (target_id, i) GROUP BY 1, 2),
+t0 AS MATERIALIZED (SELECT sm.target_id, sm.d, label, split, bins, unit, base AS pred FROM sm JOIN sc USING (target_id) JOIN bi ON bi.target_id = sm.target_id AND bi.d = sm.d)"""
+    for t in range(params["n_trees"]):
+        sql += f""",
+x{t}_0 AS MATERIALIZED (SELECT *, floor((label - pred) / unit + 0.5::DOUBLE)::BIGINT AS g, 1::BIGINT AS node, true AS op FROM t{t})"""
+        for k in range(depth):
+            sql += f""",
+h{t}_{k} AS (SELECT target_id, node, i, bins[i + 1] AS bin, sum(g)::BIGINT AS g, count(*) AS n FROM x{t}_{k}, range(0, {last}) AS r(i) WHERE split = 'train' AND op GROUP BY ALL),
+c{t}_{k} AS (SELECT *, sum(g) OVER p AS gl, sum(n) OVER p AS nl, sum(g) OVER (PARTITION BY target_id, node, i) AS gt, sum(n) OVER (PARTITION BY target_id, node, i) AS nt FROM h{t}_{k}
+  WINDOW p AS (PARTITION BY target_id, node, i ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+s{t}_{k} AS MATERIALIZED (SELECT target_id, node, i AS feature, bin, nt::BIGINT AS n, gl::DOUBLE * gl::DOUBLE / (nl + {lam}::DOUBLE) + (gt - gl)::DOUBLE * (gt - gl)::DOUBLE / (nt - nl + {lam}::DOUBLE) - gt::DOUBLE * gt::DOUBLE / (nt + {lam}::DOUBLE) AS gain
+  FROM c{t}_{k} WHERE nl >= {leaf} AND nt - nl >= {leaf} AND gain >= 1 QUALIFY row_number() OVER (PARTITION BY target_id, node ORDER BY gain DESC, i, bin) = 1),
+x{t}_{k + 1} AS MATERIALIZED (SELECT x.* EXCLUDE (node, op), CASE WHEN s.node IS NULL THEN x.node ELSE 2 * x.node + (bins[feature + 1] > bin)::BIGINT END AS node, s.node IS NOT NULL AS op FROM x{t}_{k} x LEFT JOIN s{t}_{k} s ON s.target_id = x.target_id AND s.node = x.node)"""
+        sql += f""",
+v{t} AS MATERIALIZED (SELECT target_id, node, {step}::DOUBLE * any_value(unit) * sum(g)::BIGINT / (count(*) + {lam}::DOUBLE) AS value, count(*) AS n FROM x{t}_{depth} WHERE split = 'train' GROUP BY 1, 2),
+t{t + 1} AS MATERIALIZED (SELECT x.target_id, d, label, split, bins, unit, pred + coalesce(value, 0) AS pred FROM x{t}_{depth} x LEFT JOIN v{t} v ON v.target_id = x.target_id AND v.node = x.node)"""
+    return sql
+
+
+_LATE = "(d >= DATE '1999-06-01' OR series_id NOT IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_nationkey >= 20))"
+
+
 QUERIES = {
     "forecast_metrics": forecast_metrics,
     "overfit_gap": overfit_gap,
@@ -204,6 +286,9 @@ QUERIES = {
     "stationarity_by_version": stationarity_by_version,
     "tree_predictions": tree_predictions,
     "tree_metrics_by_target": tree_metrics_by_target,
+    "stump_by_target": stump_by_target,
+    "boosted_predictions": boosted_predictions,
+    "halved_search": halved_search,
     "parameter_search": parameter_search,
     "tree_early_stopping": tree_early_stopping,
     "tree_feature_selection": tree_feature_selection,
@@ -227,6 +312,15 @@ SELECT series_id, count(value) AS n, round(corr(value, a), 6) AS acf_1, round(co
     "panel_versions": with_(SUP) + f""", l AS (SELECT *, lag(value) OVER {W} AS p FROM sup)
 SELECT 'raw' AS version, series_id, d, value FROM l UNION ALL SELECT 'diff', series_id, d, value - p FROM l UNION ALL SELECT 'pct', series_id, d, round(CASE WHEN abs(p) >= 1e-4 THEN (value - p) / abs(p) END, 6) FROM l""",
     "unit_root_sums": _sums_sql(),
+    "stump_by_target": _forest_sql(STUMP) + """
+SELECT target_id, node, feature::INTEGER AS feature, bin::INTEGER AS bin, round(gain, -6) AS gain, n, NULL::DOUBLE AS value FROM s0_0 UNION ALL SELECT target_id, node, NULL, NULL, NULL, n, round(value, 6) FROM v0""",
+    "boosted_predictions": _forest_sql(BOOSTED) + f"""
+SELECT target_id, d, split, label AS y_true, round(pred, 6) AS y_pred FROM t{BOOSTED['n_trees']}""",
+    "tree_metrics_by_target": _forest_sql(BOOSTED, _LATE) + f""",
+fp AS (SELECT target_id, d, split, label AS y_true, pred AS y_pred FROM t{BOOSTED['n_trees']}),
+{_metrics_sql("target_id, split", "fp", "fm")}
+SELECT target_id, split, n, round(mda, 6) AS mda, round(mape, 6) AS mape, zero_actuals, round(mae, 6) AS mae, round(rmse, 6) AS rmse, NULL AS reason FROM fm
+UNION ALL SELECT target_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'training rows: ' || n FROM en WHERE n < {forest.MIN_ROWS}""",
     "model_summary": with_(NAIVE, _metrics_sql("target_id", "nv", "m")) + """, r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY d DESC) AS r FROM nv),
 rc AS (SELECT target_id, string_agg(CAST(d AS VARCHAR) || ':' || CAST(y_true AS INTEGER) || ':' || CAST(y_pred AS INTEGER), ',' ORDER BY d) AS recent FROM r WHERE r <= 10 GROUP BY 1),
 f AS (SELECT DISTINCT 'S' || l_suppkey AS target_id, l_partkey AS p FROM lineitem), fr AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY p) AS r, count(*) OVER (PARTITION BY target_id) AS n_features FROM f),
