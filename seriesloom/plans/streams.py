@@ -3,12 +3,14 @@ message carrying the finish marker. The streams read what Spark wrote to the sha
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from ..operators.scan import joined_text
 from ..session import scratch_path
 from ..sources.tables import table
-from ..streaming import threads
+from ..streaming import ordered, threads
 from ..streaming.events import parse_events
 
 CHUNK_SCHEMA = "thread_id string, seq long, message string, finish_reason string, agent string"
@@ -24,6 +26,21 @@ def chunk_rows(spark, sf):
     return lines.select(F.col("conv_id").cast("string").alias("thread_id"), (F.shiftleft(F.col("turn").cast("long"), 32) + F.col("i")).alias("seq"), F.col("line").alias("message"), end.alias("finish_reason"), agent.alias("agent"))
 
 
+@contextmanager
+def rocksdb_state(spark):
+    """The state store that keyed processors need, for the queries started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ordered.PROVIDER)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def _stream(spark, sf):
     path = scratch_path(spark, "chunk-files")
     chunk_rows(spark, sf).repartitionByRange("seq").write.parquet(path)
@@ -37,6 +54,17 @@ def assembled_messages(spark, sf):
     return spark.read.parquet(out)
 
 
+def assembled_messages_any_order(spark, sf):
+    """Chunks scattered over the files of the stream by hash: finish markers come before their
+    message is complete. Drained into Parquet."""
+    source, out, mark = (scratch_path(spark, n) for n in ("placed-files", "messages", "mark"))
+    ordered.place_chunks(chunk_rows(spark, sf)).repartition(6, F.xxhash64("thread_id", "seq")).write.parquet(source)
+    stream = spark.readStream.schema(CHUNK_SCHEMA + ", place long").option("maxFilesPerTrigger", 2).parquet(source)
+    with rocksdb_state(spark):
+        threads.write_finished(ordered.assemble_in_order(stream), out, mark).awaitTermination()
+    return spark.read.parquet(out)
+
+
 def assembled_messages_batch(spark, sf):
     return threads.assemble_batch(chunk_rows(spark, sf))
 
@@ -72,12 +100,16 @@ def merged_tool_calls(spark, sf):
 
 
 def merged_tool_calls_stream(spark, sf):
-    """The same fragments as a stream, drained into a table."""
+    """The same fragments as a stream with event times (a line a second, a turn a minute), appended call
+    by call. A closing mark a week later lets the watermark pass all of them."""
     source, out, mark = (scratch_path(spark, n) for n in ("fragment-files", "calls", "mark"))
-    fragments = _fragments(spark, sf)
+    second = F.shiftright("seq", 32) * 60 + F.col("seq") % (1 << 32)
+    fragments = _fragments(spark, sf).withColumn("at", F.timestamp_seconds(second))
+    end = fragments.agg((F.max("at") + F.expr("INTERVAL 7 DAYS")).alias("at"))
     fragments.repartition("seq").write.parquet(source)
+    end.withColumn("seq", F.lit(0).cast("long")).write.mode("append").parquet(source)
     stream = spark.readStream.schema(fragments.schema).option("maxFilesPerTrigger", 4).parquet(source)
-    threads.write_merged(threads.merge_fragments_stream(stream), out, mark).awaitTermination()
+    threads.write_finished(threads.merge_fragments_stream(stream, "at", "2 days", "1 day"), out, mark).awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -97,6 +129,7 @@ def parsed_events(spark, sf):
 QUERIES = {
     "parsed_events": parsed_events,
     "assembled_messages": assembled_messages,
+    "assembled_messages_any_order": assembled_messages_any_order,
     "assembled_messages_batch": assembled_messages_batch,
     "reports_per_thread": reports_per_thread,
     "finished_conversations": finished_conversations,
@@ -123,3 +156,4 @@ SELECT thread_id, index, coalesce(arg_min(name, seq) FILTER (name <> ''), '') AS
 UNION ALL SELECT thread_id, 0, name, id, args FROM fr WHERE index IS NULL""",
 }
 ORACLES["merged_tool_calls_stream"] = ORACLES["merged_tool_calls"]
+ORACLES["assembled_messages_any_order"] = ORACLES["assembled_messages_batch"]

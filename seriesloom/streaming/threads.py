@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.scan import joined_text, running_sums
-from ..sources.records import upsert_latest
+from . import keyed_table
 
 # Reasons that close a message.
 FINISHED = ("stop", "interrupt")
@@ -125,36 +125,28 @@ def merge_fragments(fragments: DataFrame) -> DataFrame:
     return head.join(args, ["thread_id", "index"]).unionByName(loose)
 
 
-def merge_fragments_stream(fragments: DataFrame) -> DataFrame:
-    """Streaming form (update or complete mode): the same first-name, first-id and ordered
-    arguments as streaming aggregates, kept in Spark's own state store; a fragment without an
-    index is a group of its own. Bound the state by a watermark on an event time among the grouping
-    when the source has one."""
+def merge_fragments_stream(fragments: DataFrame, at: str, late: str = "10 minutes", quiet: str = "10 minutes") -> DataFrame:
+    """Streaming form (append mode): a call is finished when no fragment of it has come for ``quiet`` of
+    event time ``at``, and is given once, when the watermark (``late`` behind the newest event) has passed
+    that end. The state holds open calls only; fragments further apart than ``quiet`` are calls of their own,
+    and so is every fragment without an index."""
     seen = lambda c: F.when(F.col(c) != "", F.col("seq"))
     ordered = F.array_sort(F.collect_list(F.struct(F.col("seq"), F.coalesce("args", F.lit("")).alias("a"))))
+    own = F.when(F.col("index").isNull(), F.col("seq")).alias("_own")
     return (
-        fragments.groupBy("thread_id", "index", F.when(F.col("index").isNull(), F.col("seq")).alias("_own"))
+        fragments.withWatermark(at, late)
+        .groupBy("thread_id", "index", own, F.session_window(at, quiet).alias("_open"))
         .agg(
             F.coalesce(F.min_by("name", seen("name")), F.lit("")).alias("name"),
             F.coalesce(F.min_by("id", seen("id")), F.lit("")).alias("id"),
             F.array_join(F.transform(ordered, lambda x: x["a"]), "").alias("args"),
         )
-        .withColumn("index", F.coalesce("index", F.lit(0)))
-        .drop("_own")
+        .select("thread_id", F.coalesce("index", F.lit(0)).alias("index"), "name", "id", "args")
     )
 
 
-def write_merged(calls: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """The merged calls as a table that each micro-batch replaces, until the source is drained."""
-
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-
-    return calls.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
-
-
 def write_finished(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Finished messages appended to Parquet, exactly once, until the source is drained."""
+    """Finished rows appended to Parquet, exactly once, until the source is drained."""
     return (
         messages.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start()
@@ -162,25 +154,10 @@ def write_finished(messages: DataFrame, path: str, checkpoint: str) -> Streaming
 
 
 def upsert_conversations(messages: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Latest message per thread as a table: every micro-batch is merged with the last committed
-    version into a version of its own, and a row in ``committed`` counts it as written. A batch that
-    is run again rewrites its own version and nothing else."""
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        mine = batch.groupBy("thread_id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "thread_id"]), "last_seq").alias("r")).select("thread_id", "r.*")
-        if batch_id > 0:
-            mine = upsert_latest(latest_version(spark, folder, before=batch_id), mine, "thread_id", "last_seq")
-        mine.write.mode("overwrite").parquet(f"{folder}/v{batch_id}")
-        spark.range(1).select(F.lit(batch_id).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(f"{folder}/committed")
-
-    return (
-        messages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    )
+    """Latest message per thread as a table in hash buckets; a micro-batch rewrites the buckets it touches."""
+    return keyed_table.upsert_stream(messages, folder, checkpoint, "thread_id", "last_seq")
 
 
-def latest_version(spark, folder: str, before: int | None = None) -> DataFrame:
-    """The last committed version (before a batch), whether or not a query is running."""
-    versions = spark.read.parquet(f"{folder}/committed")
-    version = (versions if before is None else versions.filter(F.col("version") < before)).agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{folder}/v{version}")
+def latest_version(spark, folder: str) -> DataFrame:
+    """The last committed version, whether or not a query is running."""
+    return keyed_table.read(spark, folder)

@@ -1,8 +1,13 @@
 """Streams equal their batch form, also when a message spans micro-batches."""
 
+import itertools
+import random
+
 from conftest import rows
+from pyspark.sql import functions as F
 
-from seriesloom.streaming import threads
+from seriesloom.plans.streams import rocksdb_state
+from seriesloom.streaming import keyed_table, ordered, threads
 from seriesloom.streaming.events import parse_events
 
 SCHEMA = "thread_id string, seq long, message string, finish_reason string, agent string"
@@ -60,11 +65,20 @@ def test_fragments(spark, tmp_path):
     df = spark.createDataFrame(FRAGMENTS, "thread_id string, seq long, index int, id string, name string, args string")
     want = [("t", 0, "find", "id1", '{"a": 1}'), ("t", 0, "loose", "id9", "{}"), ("t", 1, "", "", "z")]
     assert rows(threads.merge_fragments(df), "thread_id", "index", "name", "id", "args") == want
-    df.write.parquet(str(tmp_path / "f"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "f"))
-    query = threads.merge_fragments_stream(stream).writeStream.format("memory").queryName("merged").outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert rows(spark.table("merged"), "thread_id", "index", "name", "id", "args") == want
+    timed = df.selectExpr("*", "timestamp_seconds(seq) AS at")
+    timed.coalesce(1).write.parquet(str(tmp_path / "f"))
+    stream = spark.readStream.schema(timed.schema).parquet(str(tmp_path / "f"))
+
+    def drain():
+        threads.write_finished(threads.merge_fragments_stream(stream, "at", "10 seconds", "20 seconds"), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination(120)
+        return rows(spark.read.schema("thread_id string, index int, name string, id string, args string").parquet(str(tmp_path / "out")))
+
+    assert drain() == []  # calls are open until the watermark has passed them
+    later = spark.createDataFrame([("u", 500, 0, "id3", "later", "{"), ("u", 501, 0, "", "", "}"), ("t", 600, 0, "id4", "next", "n")], "thread_id string, seq long, index int, id string, name string, args string")
+    later.selectExpr("*", "timestamp_seconds(seq) AS at").coalesce(1).write.mode("append").parquet(str(tmp_path / "f"))
+    got = drain()  # a fragment of the same index much later is a call of its own
+    assert sorted(got) == sorted([*want, ("u", 0, "later", "id3", "{}")])
+    assert drain() == got  # given once
 
 
 def test_event_texts(spark):
@@ -86,3 +100,167 @@ def test_restart_without_new_data(spark, tmp_path):
     for _ in range(2):
         threads.upsert_conversations(threads.assemble_stream(chunks), str(tmp_path / "t"), str(tmp_path / "mark")).awaitTermination(120)
     assert rows(threads.latest_version(spark, str(tmp_path / "t")), "thread_id", "text") == [("a", "again done"), ("b", "xy")]
+
+
+# ---- any order of arrival
+
+
+class Value:
+    def __init__(self):
+        self.v = None
+
+    def exists(self):
+        return self.v is not None
+
+    def get(self):
+        return self.v
+
+    def update(self, v):
+        self.v = v
+
+
+class Listed:
+    def __init__(self):
+        self.v = []
+
+    def exists(self):
+        return bool(self.v)
+
+    def get(self):
+        return iter(self.v)
+
+    def appendList(self, more):  # noqa: N802
+        self.v += more
+
+    def clear(self):
+        self.v = []
+
+
+class Mapped(dict):
+    def containsKey(self, k):  # noqa: N802
+        return k in self
+
+    def getValue(self, k):  # noqa: N802
+        return self[k]
+
+    def updateValue(self, k, v):  # noqa: N802
+        self[k] = v
+
+    def removeKey(self, k):  # noqa: N802
+        del self[k]
+
+
+class Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getValueState(self, *_):  # noqa: N802
+        return Value()
+
+    def getListState(self, *_):  # noqa: N802
+        return Listed()
+
+    def getMapState(self, *_):  # noqa: N802
+        return Mapped()
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+CHUNKS = [(1, 10, "A", None), (2, 20, "B", "interrupt"), (3, 30, "", "stop"), (4, 40, "C", None), (5, 50, "D", "stop"), (6, 60, "open", None)]
+MESSAGES = [("t", 10, 20, 2, "AB", "interrupt"), ("t", 40, 50, 2, "CD", "stop")]
+
+
+def run(batches, **how):
+    machine = ordered.Assemble(1, how.get("give_up"), None)
+    machine.init(Handle())
+    out = []
+    for batch in batches:
+        out += machine._run(("t",), batch)
+    return out, machine
+
+
+def test_every_order_of_arrival_gives_the_same_messages():
+    for order in itertools.permutations(CHUNKS):
+        for size in (1, 2, 6):
+            out, machine = run([order[i : i + size] for i in range(0, 6, size)])
+            assert out == MESSAGES and not machine.early and list(machine.opened.get()) == [(60, "open")]
+
+
+def test_chunks_that_come_twice_count_once():
+    rng = random.Random(1)
+    for _ in range(200):
+        twice = CHUNKS + rng.sample(CHUNKS, 4)
+        rng.shuffle(twice)
+        out, machine = run([twice[i : i + 3] for i in range(0, 10, 3)])
+        assert out == MESSAGES and not machine.early and machine.spot.get() == (7, 0)
+
+
+def test_a_gap_is_given_up_after_a_while():
+    machine = ordered.Assemble(1, 5, None)
+    machine.init(Handle())
+    assert machine._run(("t",), [CHUNKS[0], CHUNKS[3], CHUNKS[4]], 1000) == [] and machine.handle.timers == [301_000]
+    assert machine._run(("t",), [], 301_000, skip=True) == [("t", 10, 10, 1, "A", "gap"), MESSAGES[1]]
+    assert machine._run(("t",), [CHUNKS[1], CHUNKS[5]], 302_000) == []  # too late: its place is past
+    assert machine.spot.get() == (7, 0)
+
+
+def test_a_stream_waits_for_what_is_missing(spark, tmp_path, monkeypatch):
+    """The finish marker first, then the rest; a thread that is never whole gives nothing."""
+    late = [[("a", 3, "C", "stop", "r"), ("b", 2, "y", "stop", "r")], [("a", 1, "A", None, "r"), ("c", 1, "z", "stop", "r")], [("a", 2, "B", None, "r"), ("a", 1, "A", None, "r")]]
+    monkeypatch.setitem(globals(), "BATCHES", late)
+    chunks = stream_of(spark, tmp_path).withColumn("place", F.col("seq"))
+    with rocksdb_state(spark):
+        threads.write_finished(ordered.assemble_in_order(chunks), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination(120)
+    got = rows(spark.read.parquet(str(tmp_path / "out")), "thread_id", "first_seq", "last_seq", "n_chunks", "text")
+    assert got == [("a", 1, 3, 3, "ABC"), ("c", 1, 1, 1, "z")]
+
+
+# ---- the keyed table
+
+LINE = "k string, ts long, v string, bucket_name string"
+
+
+def merged(spark, folder, version, lines, **how):
+    keyed_table.merge(spark.createDataFrame([(k, t, v, "b") for k, t, v in lines], LINE), folder, version, "k", "ts", **how)
+    return rows(keyed_table.read(spark, folder), "k", "ts", "v")
+
+
+def files(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in (folder / "rows").rglob("*.parquet")}
+
+
+def test_a_merge_rewrites_what_it_touches(spark, tmp_path):
+    folder = str(tmp_path)
+    first = merged(spark, folder, 0, [(f"k{i}", 1, "old") for i in range(200)] + [("k1", 0, "older"), (None, 9, "no key")], buckets=16)
+    assert len(first) == 200 and ("k1", 1, "old") in first
+    before = files(tmp_path)
+    got = merged(spark, folder, 1, [("k5", 2, "new"), ("k6", 0, "late"), ("k7", 1, "same time"), ("fresh", 1, "x")])
+    want = sorted([(k, t, v) for k, t, v in first if k not in ("k5", "k7")] + [("k5", 2, "new"), ("k7", 1, "same time"), ("fresh", 1, "x")])
+    assert got == want
+    after = files(tmp_path)
+    fresh = {f.split("/")[2] for f in after if f.startswith("rows/v1/")}
+    assert 0 < len(fresh) <= 4 and all(after[f] == t for f, t in before.items())  # the version before can still be read
+    assert rows(keyed_table.read(spark, folder, 0), "k", "ts", "v") == first
+    merged(spark, folder, 2, [("k5", 3, "newer")])
+    left = files(tmp_path)
+    assert not any(f.startswith("rows/v0/") and f.split("/")[2] in fresh for f in left)  # nobody names these any more
+    assert keyed_table.versions(spark, folder) == [0, 1, 2]
+
+
+def test_a_batch_that_runs_again(spark, tmp_path):
+    folder = str(tmp_path)
+    merged(spark, folder, 0, [("a", 1, "x"), ("b", 1, "x")], buckets=4)
+    once = merged(spark, folder, 1, [("a", 2, "y")])
+    assert merged(spark, folder, 1, [("a", 2, "y")]) == once == [("a", 2, "y"), ("b", 1, "x")]
+    # one that died before its commit leaves files nobody reads
+    keyed_table.merge(spark.createDataFrame([("a", 3, "z", "b")], LINE), folder, 2, "k", "ts")
+    assert keyed_table.versions(spark, folder) == [0, 1, 2] and merged(spark, folder, 3, []) == [("a", 3, "z"), ("b", 1, "x")]
+
+
+def test_an_empty_table(spark, tmp_path):
+    assert merged(spark, str(tmp_path), 0, []) == []
+    assert merged(spark, str(tmp_path), 1, [("a", 1, "x")]) == [("a", 1, "x")]
