@@ -5,11 +5,12 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import scratch_path
 from ..sources.tables import table
 
 SPACE = r"\x20\x09-\x0D"
@@ -56,17 +57,75 @@ def learns(doc_id: Column, held_out: int) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 != held_out, F.lit(True))
 
 
+LINKS = 1 << 21  # links that a task contracts at a time
+
+
+def smallest(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links contracted to stars: every node that is not the smallest of what it hangs together with, and
+    that smallest node."""
+    nodes, place = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    i, j = place[: len(lo)], place[len(lo) :]
+    up = np.arange(len(nodes))
+    while True:
+        low = np.minimum(up[i], up[j])
+        new = up.copy()
+        for end in (i, j, up[i], up[j]):
+            np.minimum.at(new, end, low)
+        while ((jump := new[new]) != new).any():
+            new = jump
+        if (new == up).all():
+            break
+        up = new
+    some = np.flatnonzero(up != np.arange(len(nodes)))
+    return nodes[up[some]], nodes[some]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of a task's links, of so many at a time; what is left of one block meets the next."""
+    lo, hi = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def stars():
+        return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["lo", "hi"])
+
+    for batch in batches:
+        lo, hi = (np.concatenate([held, batch.column(c).to_numpy()]) for held, c in ((lo, "lo"), (hi, "hi")))
+        if len(lo) >= LINKS:
+            lo, hi = smallest(lo, hi)
+            if 2 * len(lo) >= LINKS:  # hardly anything hangs together
+                yield stars()
+                lo, hi = lo[:0], hi[:0]
+    if len(lo):
+        lo, hi = smallest(lo, hi)
+        yield stars()
+
+
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Smallest id reachable from every node of ``edges`` that is not itself the smallest: ``(node, root)``.
 
-    Alternates two rounds of joins on written tables (large star, small star): every node hands
-    its smallest neighbour to the others. Rows per node stay bounded by its own links, a round
-    at least halves the depth, and each round is checkpointed, so lost executors cost one round.
-    No links: no rows."""
-    links = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).filter("lo <> hi").distinct()
-    links = cut_lineage(links)
-    before = None
+    Every task first contracts the links it holds to stars. They are written, packed into as many
+    partitions as their number asks for, and contracted again. Where one partition holds what is left, that
+    is the result. Else two joins follow (large star, small star: every node hands its smallest neighbour to
+    the others; rows per node stay bounded by its own links), and so on until nothing changes. Every round is
+    a written table, so lost executors cost one round; the one before it is deleted. No links: no rows."""
+    spark, old = edges.sparkSession, []
+
+    def written(df: DataFrame) -> tuple[DataFrame, int]:
+        path = scratch_path(spark, "links")
+        df.mapInArrow(_contracted, "lo long, hi long").write.parquet(path)
+        old.append(path)
+        for gone in old[:-2]:
+            delete(spark, gone)
+        del old[:-2]
+        stored = spark.read.schema("lo long, hi long").parquet(path)
+        return stored, stored.count()
+
+    links, n = written(edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).filter("lo <> hi"))
     while True:
+        parts = max(1, -(-n // LINKS))
+        if parts == 1:
+            links, n = written(links.coalesce(1))
+            return links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+        links, n = written(links.coalesce(parts))
         both = links.select(F.col("lo").alias("n"), F.col("hi").alias("m")).unionByName(links.select(F.col("hi").alias("n"), F.col("lo").alias("m")))
         low = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low"))
         # large star: neighbours above a node move to the smallest of its neighbourhood
@@ -75,15 +134,23 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
         # small star: neighbours below a node, and the node, move to the smallest of them
         down = large.groupBy("hi").agg(F.min("lo").alias("low"))
         small = large.join(down, "hi")
-        links = cut_lineage(
-            small.select(F.col("low").alias("lo"), F.col("hi"))
-            .unionByName(small.filter("lo <> low").select(F.col("low").alias("lo"), F.col("lo").alias("hi")))
-            .distinct()
-        )
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        if before == tuple(now):
-            return links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
-        before = tuple(now)
+        moved = small.select(F.col("low").alias("lo"), F.col("hi")).unionByName(small.filter("lo <> low").select(F.col("low").alias("lo"), F.col("lo").alias("hi"))).distinct()
+        if _stars(links):
+            return links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+        links, n = written(moved)
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether every link leads from a node to the smallest one: no node twice above, none above and below."""
+    ends = links.select(F.col("hi").alias("n"), F.lit(1).alias("above")).unionByName(links.select(F.col("lo").alias("n"), F.lit(0).alias("above")))
+    odd = ends.groupBy("n").agg(F.sum("above").alias("above"), F.count(F.lit(1)).alias("all")).filter("above > 1 or (above = 1 and all > 1)")
+    return odd.limit(1).count() == 0
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A written table of this library that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def once(fn):
