@@ -101,11 +101,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids array<int>, decoded string")
 
 
-def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text, without keeping the ids."""
+def encode_digests(docs: DataFrame, path: str, kept: int = KEPT) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text, without keeping the ids.
+    ``kept``: chunks in a task's table."""
 
     def run(batches):
-        table = Chunks(path)
+        table = Chunks(path, kept)
         for batch in batches:
             columns = list(zip(*table.digests(text_of(batch.column("text"))))) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
