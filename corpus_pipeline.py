@@ -14,6 +14,8 @@ from seriesloom.session import scratch_path
 from seriesloom.sources.tables import table
 
 COPY_WORDS, COPY_PERCENT = 5, 80
+#: chunks in a task's table: workers that ran the stages before hold memory of their own
+KEPT_CHUNKS = 100_000
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document of the mixture: number of ids, and digests of the ids and of the decoded text."""
-    return pieces.encode_digests(docs, public_tokenizers.path(pieces.MODEL))
+    return pieces.encode_digests(docs, public_tokenizers.path(pieces.MODEL), KEPT_CHUNKS)
 
 
 STAGES = [("toxicity", without_toxic), ("near copies", without_copies), ("mixing", mixed), ("encoding", encoded)]
