@@ -38,6 +38,12 @@ def text_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def each_text(column: pa.Array, rows: int = 256) -> Iterator[str]:
+    """The same texts one by one; only so many rows are strings at a time."""
+    for at in range(0, len(column), rows):
+        yield from text_of(column.slice(at, rows))
+
+
 def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of a batch, closed once their texts reach ``chars``: what is built from
     one range stays small whatever the batch holds (one long text is a range of its own)."""

@@ -39,10 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
-from .common import WORD, connected, documents, map_text, text_of
+from .common import WORD, connected, documents, each_text, map_text, text_of
 
 WORDS, NUM, DEN = 4, 85, 100
 SKETCH, CELLS = 1 << 24, 1 << 18
+COUNTED = 1 << 18  # shingles that a task counts at a time
 ORDERS = 3
 ROUNDS = 2
 BLOCK_ROWS, BLOCK_SHINGLES = 384, 2_000_000
@@ -96,18 +97,30 @@ def keyed(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
     times the logarithm of a cell's count. A task's cells are packed, so few shingles take little."""
 
     def run(batches):
-        counts = np.zeros(SKETCH, np.uint32)
+        counts = np.zeros(SKETCH, np.uint8)  # of this task, 255 for more
+
+        def count(held: list[np.ndarray]) -> None:
+            at, times = np.unique(np.concatenate(held), return_counts=True)
+            counts[at] = np.minimum(counts[at] + times, 255)
+            held.clear()
+
         for batch in batches:
-            ids, ns, keys = batch.column("doc_id"), [], []
-            for text in text_of(batch.column("text")):
+            ids, ns, keys, held, size = batch.column("doc_id"), [], [], [], 0
+            for text in each_text(batch.column("text")):
                 tokens = shingles(text, words)
-                np.add.at(counts, cells(tokens), 1)
+                held.append(cells(tokens))
+                size += len(tokens)
+                if size >= COUNTED:
+                    count(held)
+                    size = 0
                 ns.append(len(tokens))
                 keys.append(set_key(tokens) if len(tokens) else None)
+            if held:
+                count(held)
             none = pa.nulls(len(ns), pa.int32()), pa.nulls(len(ns), pa.binary())
             yield pa.RecordBatch.from_arrays([ids, batch.column("t"), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), *none], names)
         for c in range(SKETCH // CELLS):
-            part = np.minimum(counts[c * CELLS : (c + 1) * CELLS], 255).astype(np.uint8)
+            part = counts[c * CELLS : (c + 1) * CELLS]
             if part.any():
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([c], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names
@@ -142,7 +155,7 @@ def candidate_groups(docs: DataFrame, levels, words: int = WORDS, percent: int =
         table, seen = levels.value, set()
         for batch in batches:
             hs, keys, ns = [], [], []
-            for text in text_of(batch.column("text")):
+            for text in each_text(batch.column("text")):
                 tokens = shingles(text, words)
                 if not len(tokens) or (key := set_key(tokens)) in seen:
                     continue
