@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import time
 
 import pytest
 import zstandard
@@ -39,6 +40,36 @@ def test_main_text(page, text):
     assert page_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<nav>m</nav><div class='content has-sidebar'><p>The story.</p><p>More of it here.</p></div><div class='sidebar'>side</div>", "The story.\n\nMore of it here."),
+        ("<div class='post no-comments'><p>The story.</p></div>", "The story."),
+        ("<div id='comments-enabled'><p>The story.</p></div>", "The story."),
+        ("<div title='a hidden gem' data-x='class=ad'><p>The story.</p></div>", "The story."),
+        ("<form action=x><div><p>The story is here.</p><p>Two.</p></div></form>", "The story is here.\n\nTwo."),
+        ("<form><p>Mail?</p></form><p>The story is long enough.</p>", "The story is long enough."),
+        ("<article><p>First story of words.</p></article><article><p>Second story with words.</p></article><footer>f</footer>", "First story of words.\n\nSecond story with words."),
+        ("<article><header><h1>Head</h1><p>by me</p></header><p>The story.</p></article>", "Head\n\nThe story."),
+        ("<aside><article><header><h1>No</h1></header><p>x</p></article></aside><p>Yes it is a text.</p>", "Yes it is a text."),
+        ("<p>Short.</p><div class='cookie-notice'>We use cookies and so on and on.</div><div id='comments-area'>a long, long, long comment</div>", "Short."),
+        ("<main><p>Short.</p></main><div class='my-comments-x'>a long, long, long comment of a reader</div>", "Short."),
+        ("<html><head><title>T</title><body><p>No end of head.</p>", "No end of head."),
+        ("<p>Text with <span class='share-count'>12</span>and <a class='by-ads-x' href=x>a link</a> in it, more words.</p>", "Text with and in it, more words."),
+        ("<div class=header><h1>All</h1><p>Everything inside.</p></div>", "All\n\nEverything inside."),
+    ],
+)
+def test_marks_and_wrappers(page, text):
+    assert page_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<a b='c " * 125_000, "<p>x</p>" + "<a b='c " * 125_000 + ">", "<a b=\"c ' " * 100_000 + ">", "<a " * 300_000 + "\"'" * 9, "<script>" + "</script " * 110_000, "<" * 1_000_000, "<a" * 500_000, "<! " * 300_000])
+def test_hostile_pages_take_time_in_proportion(page):
+    start = time.perf_counter()
+    page_text.main_text(page)
+    assert time.perf_counter() - start < 5
+
+
 def test_deep_and_long_pages():
     assert page_text.main_text("<div>" * 30_000 + "x") == "x"
     assert page_text.main_text("<p>" + "word " * 200_000) == ("word " * 200_000).strip()
