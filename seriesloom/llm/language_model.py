@@ -1,27 +1,22 @@
-"""Log probabilities of whole texts under a hashed maximum-entropy model with word classes.
-
-A token (a word, or the end of a text) has a class; its probability is that of its class in the
-context times its part of the class after the last word. The class is a softmax over hashed features:
-the last word, the last two, the word before the last and the one before that. A token's part is
-``(n(last, token) + prior * share) / (n(last, class) + prior)``: exact counts of all word pairs, and as
-share the token's training count plus a half over its class's sum. Frequent words are classes of their
-own, others are classed by the size of their count, and all outside the ``HEAD`` most frequent, the
-unknown among them, are one.
-
-1. Counts: every training token is counted by a 64-bit hash of its word, with partial sums.
-2. Pairs: every pair of a word and the next one, whose class has other words, is counted by a 64-bit
-   hash of both in a written table, its context (last word and class) in another; both grow with the
-   distinct pairs of the corpus and are only met by joins. The prior is the one of ``PRIORS`` under
-   which the pairs are likeliest when each occurrence is predicted from the others. For n keys the
-   chance of any clash is below n * n / 2^65.
-3. Training: in ``ROUNDS`` rounds over all training documents each, the tasks sum the observed and the
-   expected classes of every feature cell; the step is their log ratio over the number of features
-   (the gradient of the likelihood, scaled as in iterative scaling). The weights are broadcast and have
-   a cell for each distinct pair, ``LEAST_CELLS`` at least and ``MOST_CELLS`` at most; sums are added
-   up by cell range.
-4. Scores: texts are scored in numpy over batches of tokens. Words of the head have their counts
-   there; those of the tail meet the table of counts by a join on the word's hash, and pairs and
-   contexts their tables, per document and distinct pair.
+"""Log probabilities of whole texts under a hashed maximum-entropy model with factored word classes.
+
+A token (a word, or the end of a text) is reached from the root of a tree of classes: at every class a
+softmax over its ``WAYS`` children at most, the parts of the path multiplied. The logits of a class are
+its children's shares in the training tokens, as a bias, plus the weights of hashed features of the
+context: the last word, the last two, and the word before the last (a skip). The tree is
+that of the shortest mean path (frequent words are near the root), so a token costs few softmaxes.
+
+1. Counts: every training token is counted by a 64-bit hash of its word, with partial sums. For n
+   words the chance of any clash is below n * n / 2^65.
+2. Tree: its leaves are the ``HEAD`` most frequent words and, for all others, buckets by hash, as many as
+   there are such words, ``BUCKETS`` at most. In a bucket a word has its share of the counts, all
+   unknown ones together that of half a token.
+3. Training: in ``ROUNDS`` rounds, each over its own part of the training documents by a hash of the text and
+   all together over every one of them, the tasks sum for every feature cell the children seen and those expected; the step is the gradient (seen less expected) over their mean, a
+   bound of its curvature. Weights are broadcast: a cell for every ``TOKENS_A_CELL`` training tokens,
+   ``LEAST_BITS`` to ``MOST_BITS`` bits of them; sums are added up by cell range.
+4. Scores: texts are scored in numpy over batches of tokens; words outside the head meet the table of counts by
+   a join on their hash.
 
 Null and empty texts are one end token. A row without an id is learned from and never held out.
 Repeated rows are scored each for itself. Without training documents the counts are 0 and the scores
@@ -44,20 +39,17 @@ from ..session import scratch_path
 from .common import documents, learns, map_text, slices, text_of
 
 HELD_OUT = 1
-HEAD = 1 << 18
-SINGLES = 20
-LEAST_CELLS, MOST_CELLS = 1 << 13, 1 << 16
-PRIORS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 1e9)
-ROUNDS = 3
-FEATURES = 4
-SMOOTH = 4.0
+HEAD, BUCKETS = 1 << 17, 1 << 12
+WAYS = 16
+TOKENS_A_CELL, LEAST_BITS, MOST_BITS = 256, 13, 20
+ROUNDS, RATE, SMOOTH = 3, 0.6, 2.0
 STEPS_PER_DOUBLING = 8
-TASK_TOKENS = 16_000_000
+TASK_TOKENS = 64_000_000
 RANGE = 1_024
 END = xxhash.xxh3_64_intdigest(b"\n")
 SLICE = 250_000
+BLOCK = 4_096
 KEPT = 200_000
-PAIRS = 2_000_000
 
 
 def words(text: str) -> list[bytes]:
@@ -102,35 +94,54 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
+def class_tree(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tree of ``WAYS`` children a class with the shortest mean path: for every leaf where its path
+    starts, the classes and children of all paths, and each class's children's log shares."""
+    n = len(sizes)
+    order = np.argsort(sizes, kind="stable")
+    leaves, inner = [(float(sizes[i]), int(i)) for i in order], []
+    classes = -(-(n - 1) // (WAYS - 1))
+    up, child = np.full(n + classes, -1, np.int64), np.zeros(n + classes, np.int64)
+    bias = np.full((max(classes, 1), WAYS), -1e30, np.float32)
+    i = j = 0
+    for c in range(classes):
+        wide = 2 + (n - 2) % (WAYS - 1) if c == 0 else WAYS
+        taken = []
+        for _ in range(wide):  # both lists are sorted
+            if j >= len(inner) or i < n and leaves[i] <= inner[j]:
+                taken.append(leaves[i])
+                i += 1
+            else:
+                taken.append(inner[j])
+                j += 1
+        whole = sum(x for x, _ in taken)
+        for d, (x, node) in enumerate(taken):
+            up[node], child[node], bias[c, d] = c, d, np.log(x / whole)
+        inner.append((whole, n + c))
+    steps, at = [], np.arange(n)
+    while (up[at] >= 0).any():
+        there = up[at] >= 0
+        steps.append((np.flatnonzero(there), up[at[there]], child[at[there]]))
+        at = np.where(there, n + up[at], at)
+    if not steps:
+        return np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), bias
+    leaf, cls, digit = (np.concatenate(x) for x in zip(*steps))
+    by = np.argsort(leaf, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=n))]), cls[by], digit[by], bias
+
+
 class Model:
-    """Head words by hash with count and class, class sums, and the weights of the feature cells."""
+    """Head words by hash with their counts, sums of the buckets of all others, the tree, and the weights
+    of the feature cells."""
 
-    def __init__(self, h: np.ndarray, c: np.ndarray, total: int, distinct: int):
+    def __init__(self, h: np.ndarray, c: np.ndarray, total: int, distinct: int, buckets: np.ndarray | None = None):
         by = np.argsort(h)
         self.h, self.c, self.total, self.distinct = h[by], c[by], total, distinct
-        level = np.floor(np.log2(np.maximum(self.c, 1))).astype(np.int64)
-        own = np.zeros(len(self.h), bool)
-        own[np.lexsort((self.h, -self.c))[:SINGLES]] = True
-        own |= self.h == np.uint64(END)
-        bands = np.unique(level[~own])
-        names = np.searchsorted(bands, level)
-        names[own] = len(bands) + np.arange(own.sum())
-        self.classes = len(bands) + int(own.sum()) + 1  # the last one: the tail and the unknown word
-        self.of = names.astype(np.int32)
-        sums = np.bincount(names, self.c + 0.5, self.classes).astype(np.float64)
-        sums[-1] = (total - self.c.sum()) + 0.5 * (distinct - len(self.h)) + 0.5
-        self.sums = sums
-        self.bias = np.log(sums / sums.sum()).astype(np.float32)
-        self.shared = np.ones(self.classes, bool)  # classes of several words
-        self.shared[names[own]] = False
-        self.pairs = self.contexts = ""  # paths of the tables
-        self.prior = PRIORS[-1]
-        self.sized(0)
-
-    def sized(self, pairs: int) -> None:
-        """Weights of 0 for a corpus of so many distinct pairs."""
-        self.bits = (max(LEAST_CELLS, min(MOST_CELLS, pairs)) - 1).bit_length()
-        self.weights = np.zeros((1 << self.bits, self.classes), np.float32)
+        self.buckets = np.full(1, 0.5) if buckets is None else buckets  # counts and a half of their words, and a half
+        self.shift = 65 - len(self.buckets).bit_length()
+        self.start, self.cls, self.digit, self.bias = class_tree(np.concatenate([self.c + 0.5, self.buckets]))
+        self.bits = max(LEAST_BITS, min(MOST_BITS, (max(1, total // TOKENS_A_CELL) - 1).bit_length()))
+        self.weights = np.zeros((1 << self.bits, WAYS), np.float32)
 
     def at(self, h: np.ndarray) -> np.ndarray:
         """Place of each word in the head, -1 for others."""
@@ -139,9 +150,12 @@ class Model:
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
         return np.where(self.h[at] == h, at, -1)
 
+    def bucket(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(self.shift)).astype(np.int64) if self.shift < 64 else np.zeros(len(h), np.int64)
+
 
 class Reader(dict):
-    """Word to a number in the tables of this task: hash, place in the head, class."""
+    """Word to a number in the tables of this task: hash, place in the head."""
 
     def __init__(self, model: Model):
         super().__init__()
@@ -171,46 +185,40 @@ class Reader(dict):
             ids[inside] = np.fromiter((self[x] for w in lists for x in w), np.int64, int(inside.sum()))
             yield ids, sizes
 
-    def cells(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Feature cells of every token: (features, tokens). Words of the tail are one word; before
-        the text there is none."""
-        word = np.where(self.place[ids] >= 0, self.h[ids], np.uint64(7))
+    def contexts(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Hashed features of every token: (features, tokens). Before the text there is no word."""
+        word = self.h[ids]
         start = np.repeat(np.cumsum(sizes) - sizes, sizes)
         place = np.arange(len(ids))
 
         def back(k: int) -> np.ndarray:
             return np.where(place - k >= start, word[np.maximum(place - k, 0)], np.uint64(3))
 
-        one, two, three = back(1), back(2), back(3)
-        mixed = (one, one * np.uint64(0x9E3779B97F4A7C15) + two * np.uint64(5), two, three)
-        out = np.empty((FEATURES, len(ids)), np.int64)
-        for k, m in enumerate(mixed):
-            m = (m + np.uint64(k + 1)) * np.uint64(0xBF58476D1CE4E5B9)
-            out[k] = ((m ^ (m >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - self.model.bits)
-        return out
-
-    def pairs(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The tokens whose class has other words: their places, and keys of the last word with the
-        token and with its class."""
-        cls = self.class_of(ids)
-        at = np.flatnonzero(self.model.shared[cls])
-        start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        last = np.where(at > start[at], self.h[ids[np.maximum(at - 1, 0)]], np.uint64(3)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = last + self.h[ids[at]] * np.uint64(0xC2B2AE3D27D4EB4F), last + (cls[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0x165667B19E3779F9)
-        return at, *(signed((m ^ (m >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) for m in mixed)
-
-    def class_of(self, ids: np.ndarray) -> np.ndarray:
-        place = self.place[ids]
-        return np.where(place >= 0, np.append(self.model.of, 0)[place], self.model.classes - 1)
-
-
-def log_softmax(model: Model, cells: np.ndarray) -> np.ndarray:
-    x = model.weights[cells[0]]
-    for k in range(1, FEATURES):
-        x += model.weights[cells[k]]
-    x += model.bias
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
+        one, two = back(1), back(2)
+        mixed = (one, one * np.uint64(0x9E3779B97F4A7C15) + two * np.uint64(5), two)
+        return np.stack([(m + np.uint64(k + 1)) * np.uint64(0xBF58476D1CE4E5B9) for k, m in enumerate(mixed)])
+
+    def steps(self, ids: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of the steps on the tokens' paths: token, class, child, and feature cells (features, steps)."""
+        m, found = self.model, self.contexts(ids, sizes)
+        for a in range(0, len(ids), BLOCK):
+            some = ids[a : a + BLOCK]
+            leaf = self.place[some]
+            leaf = np.where(leaf >= 0, leaf, len(m.h) + m.bucket(self.h[some]))
+            deep = m.start[leaf + 1] - m.start[leaf]
+            token = np.repeat(np.arange(len(some)), deep)
+            at = np.arange(len(token)) + np.repeat(m.start[leaf] - (np.cumsum(deep) - deep), deep)
+            cls = m.cls[at]
+            x = found[:, a + token] + (cls.astype(np.uint64) + np.uint64(1)) * np.uint64(0x165667B19E3779F9)
+            x = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - m.bits)
+            yield a + token, cls, m.digit[at], x.astype(np.int64)
+
+
+def logits(model: Model, cls: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Of the children: (steps, ways). Small enough for exponentials, as every round adds 2 * ``RATE`` at most."""
+    x = model.bias[cls]
+    for f in cells:
+        x += model.weights[f]
     return x
 
 
@@ -218,112 +226,82 @@ def step(docs: DataFrame, model: Model) -> np.ndarray:
     """The update of the weights from the training documents given."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    cells_, size = model.weights.shape
+    cells_ = len(model.weights)
 
     def run(batches):
         reader = Reader(shared.value)
-        seen, expected = np.zeros((cells_ * size,), np.float64), np.zeros((cells_, size), np.float64)
+        seen, expected = np.zeros(cells_ * WAYS, np.int32), np.zeros((cells_, WAYS), np.float32)
         any_ = False
         for batch in batches:
             for ids, sizes in reader.read(text_of(batch.column("text"))):
                 any_ = True
-                cells, cls = reader.cells(ids, sizes), reader.class_of(ids)
-                p = np.exp(log_softmax(reader.model, cells))
-                for f in cells:
-                    np.add.at(seen, f * size + cls, 1)
-                    order = np.argsort(f, kind="stable")
-                    some, first = np.unique(f[order], return_index=True)
-                    expected[some] += np.add.reduceat(p[order], first, axis=0)
+                for token, cls, digit, cells in reader.steps(ids, sizes):
+                    p = np.exp(logits(reader.model, cls, cells))
+                    p /= p.sum(1, keepdims=True)
+                    shift = len(token).bit_length()
+                    for f in cells:
+                        key = np.sort(((f * WAYS + digit) << shift) | np.arange(len(f)))
+                        child, order = key >> shift, key & ((1 << shift) - 1)
+                        first = np.flatnonzero(np.diff(child, prepend=-1))
+                        seen[child[first]] += np.diff(first, append=len(f)).astype(np.int32)
+                        cell = child // WAYS
+                        first = np.flatnonzero(np.diff(cell, prepend=-1))
+                        if len(first):
+                            expected[cell[first]] += np.add.reduceat(p[order], first, axis=0)
         if any_:
-            both = np.stack([seen.reshape(cells_, size), expected], 1).astype(np.float32)
             for r in range(0, cells_, RANGE):
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([both[r : r + RANGE].tobytes()], pa.binary())], ["cell", "sums"])
+                sums = seen[r * WAYS : (r + RANGE) * WAYS].tobytes() + expected[r : r + RANGE].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([sums], pa.binary())], ["cell", "sums"])
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for r, raw in zip(batch.column("cell").to_pylist(), batch.column("sums").to_pylist()):
-                sums[r] = sums.get(r, 0) + np.frombuffer(raw, np.float32).astype(np.float64)
-        for r, x in sums.items():
-            x = x.reshape(-1, 2, size)
-            delta = np.log((x[:, 0] + SMOOTH) / (x[:, 1] + SMOOTH)) / FEATURES
+                seen, expected = np.frombuffer(raw[: len(raw) // 2], np.int32), np.frombuffer(raw[len(raw) // 2 :], np.float32)
+                sums[r] = sums.get(r, 0) + np.stack([seen.astype(np.float64), expected])
+        for r, (seen, expected) in sums.items():
+            delta = RATE * 2 * (seen - expected) / (seen + expected + SMOOTH)
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([delta.astype(np.float32).tobytes()], pa.binary())], ["cell", "delta"])
 
     tasks = max(spark.sparkContext.defaultParallelism, model.total // TASK_TOKENS)
     sums = map_text(docs.select("text").coalesce(tasks), run, "cell int, sums binary").repartition(cells_ // RANGE, "cell")
     out = np.zeros_like(model.weights)
-    for row in sums.mapInArrow(total, "cell int, delta binary").collect():  # MOST_CELLS at most
-        out[row["cell"] : row["cell"] + RANGE] = np.frombuffer(row["delta"], np.float32).reshape(-1, size)
-    shared.unpersist()
+    for row in sums.mapInArrow(total, "cell int, delta binary").collect():  # 2^MOST_BITS cells at most
+        out[row["cell"] : row["cell"] + RANGE] = np.frombuffer(row["delta"], np.float32).reshape(-1, WAYS)
+    shared.destroy()
     return out
 
 
-def head_of(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Hashes and counts of the most frequent words, ``HEAD`` at most, all with counts above those of
-    the rest; the sum and number of all counts."""
+def model_of(counts: DataFrame) -> Model:
+    """The untrained model: the most frequent words, ``HEAD`` at most, all with counts above those of the
+    rest, and the buckets of the rest."""
     level = F.floor(F.log2("c") * STEPS_PER_DOUBLING).cast("int")
     sizes = sorted(((r["level"], r["m"], r["s"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("m"), F.sum("c").alias("s")).collect()), reverse=True)
+    total, distinct = sum(s for *_, s in sizes), sum(m for _, m, _ in sizes)
     kept, least = 0, None
     for lv, m, _ in sizes:
         if kept + m > HEAD:
             break
         kept, least = kept + m, lv
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), sum(s for *_, s in sizes), sum(m for _, m, _ in sizes)
-    head = counts.filter(level >= least).toArrow()
+    head = counts.filter(level >= least if least is not None else F.lit(False)).toArrow()
     h, c = head.column("h").to_numpy().astype(np.uint64), head.column("c").to_numpy()
-    return h, c, sum(s for *_, s in sizes), sum(m for _, m, _ in sizes)
-
-
-def count_pairs(docs: DataFrame, model: Model, counts: DataFrame) -> int:
-    """Writes the tables of pairs and contexts, sets the prior, and gives the number of pairs."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches):
-        reader = Reader(shared.value)
-        m = reader.model
-        share = np.append((m.c + 0.5) / m.sums[m.of], np.nan)
-        held, n = [], 0
-
-        def flush():
-            pair, context, part, word = (np.concatenate(x) for x in zip(*held))
-            _, first, times = np.unique(pair, return_index=True, return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pair[first]), pa.array(context[first]), pa.array(part[first], from_pandas=True), pa.array(word[first], mask=part[first] > 0), pa.array(times)], ["pair", "context", "share", "h", "n"])
-
-        for batch in batches:
-            for ids, sizes in reader.read(text_of(batch.column("text"))):
-                at, pair, context = reader.pairs(ids, sizes)
-                held.append((pair, context, share[reader.place[ids[at]]], signed(reader.h[ids[at]])))  # words of the tail have no share here
-                n += len(at)
-                if n > PAIRS:
-                    yield flush()
-                    n = 0
-        if held:
-            yield flush()
-
-    model.pairs, model.contexts = scratch_path(spark, "word-pairs"), scratch_path(spark, "word-contexts")
-    parts = map_text(docs.select("text"), run, "pair long, context long, share double, h long, n long")
-    parts.groupBy("pair").agg(F.min("context").alias("context"), F.min("share").alias("share"), F.min("h").alias("h"), F.sum("n").alias("n")).write.parquet(model.pairs)
-    pairs = spark.read.parquet(model.pairs)
-    pairs.groupBy("context").agg(F.sum("n").alias("all")).write.parquet(model.contexts)
-    tails = pairs.filter("h is not null").join(counts, "h").withColumn("share", (F.col("c") + F.lit(0.5)) / F.lit(float(model.sums[-1])))
-    both = pairs.filter("h is null").select("context", "share", "n").unionByName(tails.select("context", "share", "n")).join(spark.read.parquet(model.contexts), "context")
-    likely = [F.sum(F.col("n") * F.log((F.col("n") - 1 + F.lit(p) * F.col("share")) / (F.col("all") - 1 + F.lit(p)))) for p in PRIORS]
-    found = [x if x is not None else -math.inf for x in both.agg(*likely).first()]
-    model.prior = max(zip(found, PRIORS))[1]
-    shared.unpersist()
-    return pairs.count()
+    bits = min(BUCKETS, max(1, distinct - kept)).bit_length() - 1
+    buckets = np.full(1 << bits, 0.5)
+    if kept < distinct:
+        rest = counts.filter(level < least) if least is not None else counts
+        which = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0)
+        for r in rest.groupBy(which.cast("int").alias("b")).agg((F.sum("c") + F.lit(0.5) * F.count(F.lit(1))).alias("s")).collect():  # BUCKETS at most
+            buckets[r["b"]] += r["s"]
+    return Model(h, c, total, distinct, buckets)
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model of ``docs`` (``doc_id, text``: training documents only) and their token counts."""
     counts = count_tokens(docs)
-    model = Model(*head_of(counts))
-    model.sized(count_pairs(docs, model, counts))
-    for _ in range(rounds if model.total else 0):
-        model.weights += step(docs, model)
+    model = model_of(counts)
+    part = F.pmod(F.xxhash64("text"), F.lit(rounds))
+    for k in range(rounds if model.total else 0):
+        model.weights += step(docs.filter(part == k), model)
     return model, counts
 
 
@@ -331,32 +309,32 @@ def scores(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """Per row: ``doc_id, n_tokens, n_known, base_score, score`` (log10)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    names = ["row", "doc_id", "n_tokens", "n_known", "counted", "fitted", "pairs", "contexts", "words", "shares", "times"]
+    names = ["row", "doc_id", "n_tokens", "n_known", "counted", "fitted", "words", "times"]
 
     def run(batches):
         reader = Reader(shared.value)
         m = reader.model
         draw = np.random.default_rng()  # row numbers of this attempt; the written rows fix them
-        share, counted = np.append((m.c + 0.5) / m.sums[m.of], np.nan), np.append(np.log(m.c + 0.5), 0)
+        counted, whole = np.append(np.log(m.c + 0.5), 0), np.log(m.buckets)
         for batch in batches:
             at, doc_ids = 0, batch.column("doc_id")
             for ids, sizes in reader.read(text_of(batch.column("text"))):
-                place, cls = reader.place[ids], reader.class_of(ids)
-                logp = log_softmax(m, reader.cells(ids, sizes))[np.arange(len(ids)), cls].astype(np.float64)
-                first = np.cumsum(sizes) - sizes
-                base = np.add.reduceat(counted[place], first)
-                fitted, n_known = np.add.reduceat(logp, first), np.add.reduceat((place >= 0).astype(np.int64), first)
-                where, pair, context = reader.pairs(ids, sizes)
-                text = np.repeat(np.arange(len(sizes)), sizes)[where]
-                by = np.lexsort((pair, text))
+                place, text = reader.place[ids], np.repeat(np.arange(len(sizes)), sizes)
+                base = np.bincount(text, counted[place], len(sizes))
+                fitted, n_known = base * 0, np.bincount(text, place >= 0, len(sizes)).astype(np.int64)
+                for token, cls, digit, cells in reader.steps(ids, sizes):
+                    x = logits(m, cls, cells)
+                    logp = x[np.arange(len(token)), digit] - np.log(np.exp(x).sum(1))
+                    fitted += np.bincount(text[token], logp, len(sizes))
+                tail = np.flatnonzero(place < 0)
+                h, text = reader.h[ids[tail]], text[tail]
+                fitted -= np.bincount(text, whole[m.bucket(h)], len(sizes))
+                by = np.lexsort((h, text))
+                h, text = h[by], text[by]
                 new = np.ones(len(by), bool)
-                new[1:] = (np.diff(text[by]) > 0) | (np.diff(pair[by]) != 0)
+                new[1:] = (np.diff(text) > 0) | (h[1:] != h[:-1])
                 times = np.diff(np.append(np.flatnonzero(new), len(by)))
-                by = by[new]  # the first place of every distinct pair of a text
-                there = place[where[by]]
-                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text[by], minlength=len(sizes)))]), pa.int32())
-                word = pa.array(signed(reader.h[ids[where[by]]]), mask=there >= 0)  # of the tail
-                lists = [pa.array(pair[by]), pa.array(context[by]), word, pa.array(share[there], pa.float64(), from_pandas=True), pa.array(times, pa.int32())]
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=len(sizes)))]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(draw.integers(-(2**63), 2**63, len(sizes), dtype=np.int64)),
@@ -365,24 +343,19 @@ def scores(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                         pa.array(n_known),
                         pa.array(base),
                         pa.array(fitted),
-                        *(pa.ListArray.from_arrays(ends, x) for x in lists),
+                        *(pa.ListArray.from_arrays(ends, x) for x in (pa.array(signed(h[new])), pa.array(times, pa.int32()))),
                     ],
                     names,
                 )
                 at += len(sizes)
 
     path = scratch_path(spark, "model-scores")
-    schema = "row long, doc_id long, n_tokens long, n_known long, counted double, fitted double, pairs array<long>, contexts array<long>, words array<long>, shares array<double>, times array<int>"
+    schema = "row long, doc_id long, n_tokens long, n_known long, counted double, fitted double, words array<long>, times array<int>"
     map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema).write.parquet(path)
     rows = spark.read.parquet(path)
-    tokens = rows.select("row", F.explode(F.arrays_zip(*names[6:])).alias("x"))
-    tokens = tokens.select("row", F.col("x.pairs").alias("pair"), F.col("x.contexts").alias("context"), F.col("x.words").alias("h"), F.col("x.shares").alias("share"), F.col("x.times").cast("long").alias("k"))
-    tails = tokens.filter("h is not null").join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    tails = tails.withColumn("share", (F.col("c") + F.lit(0.5)) / F.lit(float(model.sums[-1])))
-    every = tails.select("row", "pair", "context", "share", "k", "c").unionByName(tokens.filter("h is null").select("row", "pair", "context", "share", "k", F.lit(None).cast("long").alias("c")))
-    met = every.join(spark.read.parquet(model.pairs).select("pair", "n"), "pair", "left").join(spark.read.parquet(model.contexts), "context", "left")
-    part = F.log((F.coalesce("n", F.lit(0)) + F.lit(model.prior) * F.col("share")) / (F.coalesce("all", F.lit(0)) + F.lit(model.prior)))
-    sums = met.groupBy("row").agg(F.sum(F.col("k") * F.log(F.col("c") + F.lit(0.5))).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k"), F.sum(F.col("k") * part).alias("p"))
+    tails = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("h"), F.col("x.times").cast("long").alias("k"))
+    met = tails.join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    sums = met.groupBy("row").agg(F.sum(F.col("k") * F.log(F.col("c") + F.lit(0.5))).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k"))
     zero = F.lit(0.0)
     whole = math.log(model.total + 0.5 * (model.distinct + 1))
     log10 = lambda x: x / F.lit(math.log(10))
@@ -391,7 +364,7 @@ def scores(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         "n_tokens",
         (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         log10(F.col("counted") + F.coalesce("s", zero) - F.col("n_tokens") * whole).alias("base_score"),
-        log10(F.col("fitted") + F.coalesce("p", zero)).alias("score"),
+        log10(F.col("fitted") + F.coalesce("s", zero)).alias("score"),
     )
 
 

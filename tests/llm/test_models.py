@@ -145,16 +145,71 @@ def test_counts_and_base_scores(spark, monkeypatch, head):
     check_base(rows, got)
 
 
-def test_probabilities_sum_to_one(spark):
+def paths(model):
+    """Per leaf its steps, root first."""
+    return [list(zip(model.cls[a:b].tolist(), model.digit[a:b].tolist()))[::-1] for a, b in zip(model.start[:-1], model.start[1:])]
+
+
+@pytest.mark.parametrize("head", [1 << 17, 20])
+def test_scores_by_brute_force(spark, monkeypatch, head):
+    """Every word's probability in every context adds up to one, and texts score their product."""
+    monkeypatch.setattr(language_model, "HEAD", head)
     rng = random.Random(7)
-    model, _ = model_rows(spark, [(i, prose(rng, 40)) for i in range(60)])
-    reader = language_model.Reader(model)
-    (ids, sizes), *_ = reader.read([prose(rng, 30)])
-    p = np.exp(language_model.log_softmax(model, reader.cells(ids, sizes)))
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-    inside = np.bincount(model.of, model.c + 0.5, model.classes)
-    outside = model.total - model.c.sum() + 0.5 * (model.distinct - len(model.h)) + 0.5
-    assert np.allclose(inside[:-1], model.sums[:-1]) and abs(model.sums[-1] - outside) < 1e-9
+    rows = [(i, prose(rng, 40)) for i in range(60)]
+    model, got = model_rows(spark, rows)
+    counts = collections.Counter(w for i, t in rows if part(i) != 1 for w in [*t.encode().lower().split(), b"\n"])
+    ways = paths(model)
+    assert sorted(map(tuple, ways)) == sorted(set(map(tuple, ways)))
+    hashes = {w: int(h) for w, h in zip(counts, language_model.word_hashes(list(counts)))}
+    place = {int(h): k for k, h in enumerate(model.h)}
+    bits = len(model.buckets).bit_length() - 1
+    mask = (1 << 64) - 1
+
+    def prob(word, before):
+        h = hashes.get(word, language_model.xxhash.xxh3_64_intdigest(word))
+        one, two = (before + [3, 3])[:2]
+        mixed = (one, one * 0x9E3779B97F4A7C15 + two * 5, two)
+        leaf = place.get(h, len(model.h) + (h >> (64 - bits) if bits else 0))
+        p = 1.0 if h in place else (counts[word] + 0.5) / model.buckets[leaf - len(model.h)]
+        for cls, digit in ways[leaf]:
+            x = model.bias[cls].astype(float)
+            for k, m in enumerate(mixed):
+                v = ((m + k + 1) * 0xBF58476D1CE4E5B9 + (cls + 1) * 0x165667B19E3779F9) & mask
+                x = x + model.weights[((v ^ (v >> 31)) * 0x94D049BB133111EB & mask) >> (64 - model.bits)]
+            p *= math.exp(x[digit]) / np.exp(x).sum()
+        return p
+
+    context = [hashes[b"\n"], 12, 5]
+    unknown = len(model.buckets)  # half a token in each bucket
+    one = sum(prob(w, context) for w in counts)
+    assert one < 1 and abs(one - 1) < 0.51 * unknown
+    if unknown == 1:
+        assert abs(one + prob(b"never seen", context) - 1) < 1e-4
+    by = {r["doc_id"]: r["score"] for r in got}
+    for i, t in rows[:8]:
+        before, want = [], 0.0
+        for w in [*t.encode().lower().split(), b"\n"]:
+            want += math.log10(prob(w, before))
+            before = [hashes.get(w, language_model.xxhash.xxh3_64_intdigest(w)), *before]
+        assert abs(want - by[i]) < 1e-3 * abs(want)
+
+
+def test_untrained_scores_are_the_base(spark):
+    rng = random.Random(9)
+    df = docs(spark, [(i, prose(rng, 30)) for i in range(50)])
+    found = language_model.scores(df, *language_model.train(df.filter(learns(F.col("doc_id"), 1)), 0)).collect()
+    assert len(found) == 50 and all(abs(r["score"] - r["base_score"]) < 1e-4 * abs(r["base_score"]) for r in found)
+
+
+def test_tree_has_the_shortest_mean_path():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 16, 17, 31, 500):
+        sizes = rng.permutation(1000)[:n] + 0.5
+        start, cls, digit, bias = language_model.class_tree(sizes)
+        logp = np.array([bias[cls[a:b], digit[a:b]].sum() for a, b in zip(start[:-1], start[1:])])
+        assert np.allclose(np.exp(logp), sizes / sizes.sum(), rtol=1e-4)
+        assert n > 16 or np.diff(start).max() == min(1, n - 1)
+        assert (np.diff(start)[np.argsort(sizes)][::-1][:-1] <= np.diff(start)[np.argsort(sizes)][::-1][1:]).all()
 
 
 def test_contexts_help_on_held_out_texts(spark):
@@ -189,18 +244,11 @@ def test_contexts_prefer_single_words(spark, monkeypatch, head):
     model, got = model_rows(spark, [(i, walk()) for i in range(400)])
     held = [r for r in got if part(r["doc_id"]) == 1]
     assert sum(r["score"] for r in held) > 0.6 * sum(r["base_score"] for r in held)
-    tables = [spark.read.parquet(p) for p in (model.pairs, model.contexts)]
-    assert tables[0].agg(F.sum("n")).first() == tables[1].agg(F.sum("all")).first()
-    assert all(r["m"] == r["all"] for r in tables[0].groupBy("context").agg(F.sum("n").alias("m")).join(tables[1], "context").collect())
-
-
-def test_cells_grow_with_the_pairs():
-    model = language_model.Model(np.array([5, 9], np.uint64), np.array([3, 4]), 7, 2)
-    sizes = []
-    for pairs in (0, 20_000, 10**9):
-        model.sized(pairs)
-        sizes.append(len(model.weights))
-    assert sizes == [language_model.LEAST_CELLS, 1 << 15, language_model.MOST_CELLS]
+
+
+def test_cells_grow_with_the_tokens():
+    sizes = [len(language_model.Model(np.array([5, 9], np.uint64), np.array([3, 4]), n, 2).weights) for n in (7, 20_000_000, 10**12)]
+    assert sizes == [1 << language_model.LEAST_BITS, 1 << 17, 1 << language_model.MOST_BITS]
 
 
 def test_nothing_to_learn_from(spark):
