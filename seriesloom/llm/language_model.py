@@ -41,6 +41,7 @@ from .common import documents, learns, map_text, slices, text_of
 HELD_OUT = 1
 HEAD, BUCKETS = 1 << 17, 1 << 12
 WAYS = 16
+ONES = np.ones(WAYS, np.float32)
 TOKENS_A_CELL, LEAST_BITS, MOST_BITS = 256, 13, 20
 ROUNDS, RATE, SMOOTH = 3, 0.6, 2.0
 STEPS_PER_DOUBLING = 8
@@ -216,12 +217,36 @@ class Reader(dict):
 
 def logits(model: Model, cls: np.ndarray, cells: np.ndarray) -> np.ndarray:
     """Of the children: (steps, ways). Small enough for exponentials, as every round adds 2 * ``RATE`` at most."""
-    x = model.bias[cls]
+    x = rows_at(model.bias, cls)
     for f in cells:
-        x += model.weights[f]
+        x += rows_at(model.weights, f)
     return x
 
 
+def rows_at(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of ``WAYS`` numbers; ``take`` copies a row at once, an index only number by number."""
+    return table.take(at, 0, mode="clip")
+
+
+def add_rows(table: np.ndarray, at: np.ndarray, order: np.ndarray, values: np.ndarray) -> None:
+    """Adds the rows ``values[order]`` to those at ``at``, which is sorted. Places met once, most of a
+    block, are copied; runs of others are differences of running sums."""
+    last = np.flatnonzero(np.diff(at, append=-1))
+    times = np.diff(last, prepend=-1)
+    sums, many = rows_at(values, order[last]), np.flatnonzero(times > 1)
+    if len(many):
+        running = rows_at(values, order[np.repeat(times > 1, times)]).cumsum(0, dtype=np.float64)
+        whole = np.diff(rows_at(running, np.cumsum(times[many]) - 1), axis=0, prepend=0)
+        whole_row(sums)[many] = whole_row(whole.astype(table.dtype))
+    sums += rows_at(table, at[last])
+    whole_row(table)[at[last]] = whole_row(sums)
+
+
+def whole_row(table: np.ndarray) -> np.ndarray:
+    """The same memory, a row as one item."""
+    return table.view(f"V{table.itemsize * table.shape[1]}").ravel()
+
+
 def step(docs: DataFrame, model: Model) -> np.ndarray:
     """The update of the weights from the training documents given."""
     spark = docs.sparkSession
@@ -237,17 +262,14 @@ def step(docs: DataFrame, model: Model) -> np.ndarray:
                 any_ = True
                 for token, cls, digit, cells in reader.steps(ids, sizes):
                     p = np.exp(logits(reader.model, cls, cells))
-                    p /= p.sum(1, keepdims=True)
+                    p /= (p @ ONES)[:, None]
                     shift = len(token).bit_length()
                     for f in cells:
                         key = np.sort(((f * WAYS + digit) << shift) | np.arange(len(f)))
                         child, order = key >> shift, key & ((1 << shift) - 1)
                         first = np.flatnonzero(np.diff(child, prepend=-1))
                         seen[child[first]] += np.diff(first, append=len(f)).astype(np.int32)
-                        cell = child // WAYS
-                        first = np.flatnonzero(np.diff(cell, prepend=-1))
-                        if len(first):
-                            expected[cell[first]] += np.add.reduceat(p[order], first, axis=0)
+                        add_rows(expected, child // WAYS, order, p)
         if any_:
             for r in range(0, cells_, RANGE):
                 sums = seen[r * WAYS : (r + RANGE) * WAYS].tobytes() + expected[r : r + RANGE].tobytes()
@@ -324,7 +346,7 @@ def scores(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 fitted, n_known = base * 0, np.bincount(text, place >= 0, len(sizes)).astype(np.int64)
                 for token, cls, digit, cells in reader.steps(ids, sizes):
                     x = logits(m, cls, cells)
-                    logp = x[np.arange(len(token)), digit] - np.log(np.exp(x).sum(1))
+                    logp = x[np.arange(len(token)), digit] - np.log(np.exp(x) @ ONES)
                     fitted += np.bincount(text[token], logp, len(sizes))
                 tail = np.flatnonzero(place < 0)
                 h, text = reader.h[ids[tail]], text[tail]
