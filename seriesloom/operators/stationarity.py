@@ -1,14 +1,12 @@
 """Autocorrelation and an ADF-style regression for many series at once.
 
-The pass over the data is JVM-side: windows for the lags, then grouped sums of products. Python
-sees only the (p+3)^2 sums of a series, a batch of series at a time."""
+All of it is JVM-side: windows for the lags, grouped sums of products, and the regression solved
+from the (p+4)^2 sums of a series in its row."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,40 +76,43 @@ def adf_sums(panel: DataFrame, max_lag: int = 5, keys: Sequence[str] = KEYS) ->
 THRESHOLDS = ((-3.45, "stationary 99%"), (-2.87, "stationary 95%"), (-2.57, "stationary 90%"))
 
 
+# a regressor whose part outside the others is below this share of it depends on them
+DEPENDENT = 1e-10
+
+
 def adf_test(panel: DataFrame, max_lag: int = 5, keys: Sequence[str] = KEYS, min_count: int = 50, thresholds=THRESHOLDS) -> DataFrame:
-    sums = adf_sums(panel, max_lag, keys)
+    """t value of the previous level, its coefficient and the verdict. The other regressors are taken
+    out of the sums one after another; what remains of level and step is a regression of one
+    variable. Both are null for short series and where regressors depend on each other, the t value
+    also where the fit leaves nothing."""
     width = max_lag + 4
-    upper = np.triu_indices(width)
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            gram = np.zeros((len(pdf), width, width))
-            if len(pdf):
-                gram[:, upper[0], upper[1]] = np.stack(pdf["sums"].to_list())
-            gram = gram + np.transpose(np.triu(gram, 1), (0, 2, 1))
-            xtx, xty, yty = gram[:, :-1, :-1], gram[:, :-1, -1], gram[:, -1, -1]
-            gamma, t_value = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
-            for i, n in enumerate(pdf["n"]):
-                if n < min_count:
-                    continue
-                scale = np.sqrt(np.diag(xtx[i]))
-                if not np.all(scale > 0):
-                    continue
-                unit = xtx[i] / np.outer(scale, scale)
-                if np.linalg.cond(unit) > 1e12:
-                    continue
-                inverse = np.linalg.inv(unit)
-                beta = inverse @ (xty[i] / scale)
-                rss = max(yty[i] - beta @ (xty[i] / scale), 0.0)
-                se = np.sqrt(rss / (n - 1 - (width - 1)) * inverse[2, 2])
-                gamma[i] = beta[2] / scale[2]
-                t_value[i] = beta[2] / se if se > 0 else np.nan
-            yield pdf[list(keys)].assign(n=pdf["n"], t_stat=t_value, gamma=gamma)
-
-    schema = ", ".join(f"{k} string" for k in keys) + ", n long, t_stat double, gamma double"
-    out = sums.mapInPandas(solve, schema)
-    clean = {c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("t_stat", "gamma")}
-    out = out.withColumns(clean)
+    level, step = 2, width - 1
+    place = {pair: k for k, pair in enumerate((i, j) for i in range(width) for j in range(i, width))}
+    whole = F.array(*[F.get("sums", place[min(i, j), max(i, j)]) for i in range(width) for j in range(width)])
+
+    def without(gram: Column, k: Column) -> Column:
+        pivot = F.get(gram, k * (width + 1))
+
+        def less(x: Column, at: Column) -> Column:
+            return x - F.get(gram, F.floor(at / width).cast("int") * width + k) * F.get(gram, k * width + at % width) / pivot
+
+        return F.when(pivot > DEPENDENT * F.get("squares", k), F.transform(gram, less))
+
+    others = F.array(*[F.lit(k) for k in range(step) if k != level])
+    squares = F.array(*[F.get("sums", place[i, i]) for i in range(width)])
+    left = adf_sums(panel, max_lag, keys).withColumn("squares", squares).withColumn("left", F.aggregate(others, whole, without))
+    own, shared, rest = (F.get("left", i * width + j) for i, j in ((level, level), (level, step), (step, step)))
+    freedom = F.col("n") - 1 - step
+    usable = (F.col("n") >= min_count) & (freedom > 0) & (own > DEPENDENT * F.get("squares", F.lit(level)))
+    unexplained = rest - shared * shared / own
+    some = unexplained > DEPENDENT * F.get("squares", F.lit(step))
+    none = F.lit(None).cast("double")
+    out = left.select(
+        *keys,
+        "n",
+        F.nanvl(F.when(usable & some, shared / F.sqrt(unexplained * own / freedom)), none).alias("t_stat"),
+        F.nanvl(F.when(usable, shared / own), none).alias("gamma"),
+    )
     verdict = F.when(F.col("t_stat").isNull(), F.lit(None).cast("string"))
     for limit, text in thresholds:
         verdict = verdict.when(F.col("t_stat") < limit, text)

@@ -228,6 +228,35 @@ b AS (SELECT *, lag(y) OVER {W} AS prev, y - lag(y) OVER {W} AS dy, i - (n - 2)
 SELECT series_id, any_value(n) AS n, """ + ", ".join(f"round(sum({terms[i]}::DOUBLE * {terms[j]}), 2) AS s{k}" for k, (i, j) in enumerate(pairs)) + " FROM c WHERE dy IS NOT NULL GROUP BY 1"
 
 
+def _unit_root_sql(max_lag: int = 5, min_count: int = 50) -> str:
+    """Level and step freed from the other regressors, one after another."""
+    over = "OVER (PARTITION BY version, series_id ORDER BY d)"
+    terms = ["1.0::DOUBLE", "t", "prev", *(f"d{k}" for k in range(1, max_lag + 1)), "dy"]
+    step = len(terms) - 1
+    left = list(range(len(terms)))
+    sums = ", ".join(f"sum({terms[i]} * {terms[j]}) AS s{i}_{j}" for i in left for j in left[i:])
+    sql = with_(SUP) + f""", l AS (SELECT *, lag(value) OVER {W} AS p FROM sup),
+pv AS (SELECT 'raw' AS version, series_id, d, value FROM l UNION ALL SELECT 'diff', series_id, d, value - p FROM l UNION ALL SELECT 'pct', series_id, d, CASE WHEN abs(p) >= 1e-4 THEN (value - p) / abs(p) END FROM l),
+a AS (SELECT version, series_id, d, value - first_value(value) {over} AS y, row_number() {over} - 2 AS i, count(*) OVER (PARTITION BY version, series_id) AS n FROM pv WHERE value IS NOT NULL),
+b AS (SELECT *, lag(y) {over} AS prev, y - lag(y) {over} AS dy, i - (n - 2) / 2 AS t FROM a),
+c AS (SELECT *, {', '.join(f'coalesce(lag(dy, {k}) {over}, 0) AS d{k}' for k in range(1, max_lag + 1))} FROM b),
+e AS (SELECT version, series_id, any_value(n) AS n, {sums} FROM c WHERE dy IS NOT NULL GROUP BY 1, 2),
+e_ AS (SELECT *, {', '.join(f's{i}_{i} AS q{i}' for i in left)} FROM e)"""
+    last, kept = "e_", ", ".join(f"q{i}" for i in left)
+    for k in [i for i in left if i not in (2, step)]:
+        left.remove(k)
+        pivot = f"CASE WHEN s{k}_{k} > {stationarity.DEPENDENT} * q{k} THEN s{k}_{k} END"
+        side = {i: f"s{min(i, k)}_{max(i, k)}" for i in left}
+        sql += f""",
+e{k} AS (SELECT version, series_id, n, {kept}, {', '.join(f's{i}_{j} - {side[i]} * {side[j]} / ({pivot}) AS s{i}_{j}' for i in left for j in left if i <= j)} FROM {last})"""
+        last = f"e{k}"
+    verdict = " ".join(f"WHEN t < {limit} THEN '{text}'" for limit, text in stationarity.THRESHOLDS)
+    return sql + f""",
+f AS (SELECT version, series_id, n, CASE WHEN n >= {min_count} AND s2_2 > {stationarity.DEPENDENT} * q2 THEN s2_{step} / s2_2 END AS g, s{step}_{step} - s2_{step} * s2_{step} / nullif(s2_2, 0) AS rss, s2_2, q{step} FROM {last}),
+h AS (SELECT *, CASE WHEN rss > {stationarity.DEPENDENT} * q{step} THEN g * s2_2 / sqrt(rss * s2_2 / (n - 1 - {step})) END AS t FROM f)
+SELECT version, series_id, n, round(t, 5) + 0 AS t_stat, round(g, 5) + 0 AS gamma, CASE WHEN t IS NULL THEN NULL {verdict} ELSE 'not stationary' END AS verdict FROM h"""
+
+
 def _forest_sql(params: dict[str, float], keep: str = "true") -> str:
     """The same trees in SQL: CTEs ``sc`` (targets), ``t{tree}`` (rows with their prediction after so many
     trees) and ``s{tree}_{level}``, ``v{tree}`` (splits and leaves)."""
@@ -312,6 +341,7 @@ SELECT series_id, count(value) AS n, round(corr(value, a), 6) AS acf_1, round(co
     "panel_versions": with_(SUP) + f""", l AS (SELECT *, lag(value) OVER {W} AS p FROM sup)
 SELECT 'raw' AS version, series_id, d, value FROM l UNION ALL SELECT 'diff', series_id, d, value - p FROM l UNION ALL SELECT 'pct', series_id, d, round(CASE WHEN abs(p) >= 1e-4 THEN (value - p) / abs(p) END, 6) FROM l""",
     "unit_root_sums": _sums_sql(),
+    "stationarity_by_version": _unit_root_sql(),
     "stump_by_target": _forest_sql(STUMP) + """
 SELECT target_id, node, feature::INTEGER AS feature, bin::INTEGER AS bin, round(gain, -6) AS gain, n, NULL::DOUBLE AS value FROM s0_0 UNION ALL SELECT target_id, node, NULL, NULL, NULL, n, round(value, 6) FROM v0""",
     "boosted_predictions": _forest_sql(BOOSTED) + f"""

@@ -225,6 +225,19 @@ def test_unit_root_statistic(spark):
     assert got["short"].t_stat is None and got["short"].verdict is None and got["flat"].t_stat is None
 
 
+def test_unit_root_where_regressors_depend_on_each_other(spark):
+    rng = np.random.default_rng(6)
+    walk = np.concatenate([[0], rng.normal(size=299).cumsum()])
+    data = {"line": np.arange(100.0), "walk": walk, "far": walk * 1e-3 + 1e6, "gaps": [None if i % 3 == 0 else v for i, v in enumerate(walk)]}
+    got = {r.version: r for r in stationarity.adf_test(panel(spark, data).withColumnRenamed("series_id", "version").withColumn("series_id", F.lit(7))).collect()}
+    assert got["line"].t_stat is None and got["line"].gamma is None and got["line"].verdict is None
+    assert got["walk"].verdict == "not stationary" and got["walk"].series_id == 7
+    assert got["far"].t_stat == pytest.approx(got["walk"].t_stat, rel=1e-4)
+    seen = np.array([v for i, v in enumerate(walk) if i % 3])
+    assert got["gaps"].n == len(seen) and got["gaps"].t_stat == pytest.approx(dense_adf(seen, 5)[0], rel=1e-6)
+    assert stationarity.adf_test(panel(spark, {}).withColumn("version", F.lit("raw"))).count() == 0
+
+
 def test_autocorrelation_of_constant_is_null(spark):
     got = stationarity.autocorrelation(panel(spark, {"flat": [1.0] * 120, "line": range(120)})).orderBy("series_id").collect()
     assert got[0].acf_1 is None and got[1].acf_1 == pytest.approx(1.0)
