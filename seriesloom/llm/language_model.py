@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -163,8 +164,14 @@ class Reader(dict):
         self.model = model
         self.reset()
 
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = at = len(self.h) + len(self.new) - 1
+        return at
+
     def reset(self) -> None:
         self.clear()
+        self.new: list[bytes] = []  # numbered, not yet in the tables
         self.h, self.place = np.array([END], np.uint64), self.model.at(np.array([END], np.uint64))
 
     def read(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -173,17 +180,17 @@ class Reader(dict):
             lists = [words(t) for t in texts[a:b]]
             if len(self) > KEPT:
                 self.reset()
-            new = list(set().union(*lists).difference(self))
-            if new:
-                h = word_hashes(new)
-                self.update(zip(new, range(len(self.h), len(self.h) + len(new))))
+            numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64)
+            if self.new:
+                h = word_hashes(self.new)
                 self.h, self.place = np.concatenate([self.h, h]), np.concatenate([self.place, self.model.at(h)])
+                self.new = []
             sizes = np.array([len(w) + 1 for w in lists])
             ids = np.zeros(sizes.sum(), np.int64)
             ends = np.cumsum(sizes) - 1
             inside = np.ones(len(ids), bool)
             inside[ends] = False
-            ids[inside] = np.fromiter((self[x] for w in lists for x in w), np.int64, int(inside.sum()))
+            ids[inside] = numbers
             yield ids, sizes
 
     def contexts(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
