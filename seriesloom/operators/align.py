@@ -44,17 +44,41 @@ def backward_fill(panel: DataFrame, value: str = "value", out: str = "value", ke
     return panel.withColumn(out, F.last(value, ignorenulls=True).over(w))
 
 
+def by_series(rows: DataFrame) -> DataFrame:
+    """Rows of a series together, over a stated number of partitions (several per core, which the planner does
+    not pack): they grow to a row per day in the task that holds them."""
+    spark = rows.sparkSession
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism) + 1
+    return rows.repartition(parts, "series_id")
+
+
 def align_asof(panel: DataFrame, lo: str, hi: str, catalog: DataFrame | None = None) -> DataFrame:
     """Latest non-null value at or before each spine day, however old; values from before
-    ``lo`` carry in. Union and one sorted window: one shuffle, linear, no range join."""
-    catalog = panel.select("series_id").distinct() if catalog is None else catalog
-    grid = spine(catalog, lo, hi).select("series_id", "d", F.lit(None).cast("double").alias("value"), F.lit(True).alias("_grid"))
-    seen = panel.filter(F.col("value").isNotNull() & (F.col("d") <= F.lit(hi).cast("date")))
-    both = seen.select("series_id", "d", "value", F.lit(False).alias("_grid")).unionByName(grid)
-    # on one day the observation sorts before the spine row (False before True)
-    w = Window.partitionBy("series_id").orderBy("d", "_grid").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("value", F.last("value", ignorenulls=True).over(w))
-    return filled.filter("_grid").drop("_grid")
+    ``lo`` carry in. Each observation grows to the days up to the next one, in the task that holds its
+    series: only observations are shuffled, no spine and no range join. A day listed twice in the catalog stays so."""
+    first, last = F.lit(lo).cast("date"), F.lit(hi).cast("date")
+    # rows without a day in reach only say that their series is there: they stand behind the last day
+    near = F.col("d") <= last
+    after = F.date_add(last, 1)
+    seen = panel.select("series_id", F.when(near, F.col("d")).otherwise(after).alias("d"), F.when(near, F.col("value")).alias("value"), F.lit(1).cast("long").alias("_n"))
+    if catalog is not None:
+        listed = catalog.groupBy("series_id").agg(F.count(F.lit(1)).alias("_n")).select("series_id", after.alias("d"), F.lit(None).cast("double").alias("value"), "_n")
+        seen = seen.withColumn("_n", F.lit(None).cast("long")).unionByName(listed)
+    w = by_day()
+    seen = by_series(seen).withColumns({
+        "_v": F.last("value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double"),
+        "_from": F.when(F.row_number().over(w) == 1, first).otherwise(F.greatest(F.col("d"), first)),
+        "_to": F.least(F.coalesce(F.date_sub(F.lead("d").over(w), 1), last), last),
+    })
+    if catalog is not None:
+        seen = seen.withColumn("_n", F.max("_n").over(Window.partitionBy("series_id")))
+    places = F.sequence(F.lit(0), F.datediff("_to", "_from"))
+    if catalog is not None:
+        places = F.when(F.col("_n") > 1, F.flatten(F.array_repeat(places, F.col("_n").cast("int")))).otherwise(places)
+    days = seen.filter((F.col("_to") >= F.col("_from")) & F.col("_n").isNotNull()).select("series_id", F.col("d").alias("_d"), "_v", "_from", F.explode(places).alias("_i"))
+    day = F.date_add("_from", F.col("_i"))
+    # before a series' first observation there is none
+    return days.select("series_id", day.alias("d"), F.when(day >= F.col("_d"), F.col("_v")).alias("value"))
 
 
 def align_exact(panel: DataFrame, lo: str, hi: str, catalog: DataFrame | None = None) -> DataFrame:
