@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_columns
 from ..functions.guarded import safe_ratio
-from .align import by_day
+from .align import by_day, by_series
 
 
 def iso_week_keys(d: Column) -> dict[str, Column]:
@@ -48,15 +48,27 @@ def bucket_day(d: Column, frequency: str) -> Column:
 
 def resample_mean(panel: DataFrame, frequency: str) -> DataFrame:
     """Mean per bucket on a gap-free axis from the first to the last bucket of the whole input.
-    The axis cells join the values as rows without a value, so one aggregate does both; the
-    ends of the axis are scalar subqueries."""
+    Each bucket with rows grows to the buckets up to the next one, in the task that holds its series, so
+    cells without a value are never shuffled; the ends of the axis are scalar subqueries. Rows without a
+    day stay a bucket of their own."""
+    sunday, epoch = F.lit("1970-01-04").cast("date"), F.lit("1970-01-01").cast("date")
+
+    def number(d: Column) -> Column:
+        return {"week": F.floor(F.datediff(d, sunday) / 7).cast("int"), "month": (F.year(d) - 1970) * 12 + F.month(d) - 1, "day": F.unix_date(d)}[frequency]
+
+    def end(k: Column) -> Column:
+        return {"week": F.date_add(sunday, k * 7), "month": F.last_day(F.add_months(epoch, k)), "day": F.date_from_unix_date(k)}[frequency]
+
     bucket = bucket_day(F.col("d"), frequency)
-    step = {"week": "interval 7 days", "month": "interval 1 month", "day": "interval 1 day"}[frequency]
     lo, hi = panel.agg(F.min(bucket)).scalar(), panel.agg(F.max(bucket)).scalar()
-    first = F.trunc(lo, "MM") if frequency == "month" else lo
-    axis = panel.select("series_id").distinct().select("series_id", F.explode(F.sequence(first, hi, F.expr(step))).alias("d"))
-    cells = axis.withColumn("value", F.lit(None).cast("double"))
-    return panel.select("series_id", "d", "value").unionByName(cells).groupBy("series_id", bucket.alias("d")).agg(F.avg("value").alias("value"))
+    means = by_series(panel.select("series_id", "value", number(bucket).alias("_k"))).groupBy("series_id", "_k").agg(F.avg("value").alias("value"))
+    w = Window.partitionBy("series_id").orderBy("_k")
+    means = means.withColumns({"_from": F.when(F.row_number().over(w) == 1, number(lo)).otherwise(F.col("_k")), "_to": F.coalesce(F.lead("_k").over(w) - 1, number(hi))})
+    none = F.array().cast("array<int>")
+    run = F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to")).otherwise(none)
+    run = F.when(F.col("_k").isNull(), F.array_append(run, F.lit(None).cast("int"))).otherwise(run)
+    cells = means.select("series_id", "_k", "value", F.explode(run).alias("_i"))
+    return cells.select("series_id", end(F.col("_i")).alias("d"), F.when(F.col("_i").eqNullSafe(F.col("_k")), F.col("value")).alias("value"))
 
 
 def interpolate(panel: DataFrame, fill_zero: bool = True) -> DataFrame:

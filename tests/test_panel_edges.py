@@ -306,3 +306,29 @@ def test_name_line_by_position_and_loose_dates(spark, tmp_path):
     assert rows(panel.select(F.col("d").cast("string").alias("d"), "series_id", "value"), "d", "series_id", "value") == [
         ("2024-01-05", "A", 1.0), ("2024-01-05", "B", 2.0), ("2024-01-06", "A", 3.0), ("2024-01-06", "B", None), ("2024-01-07", "A", 7.0), ("2024-01-07", "B", 8.0),
     ]
+
+
+def tasks_of(df):
+    """Tasks that hold rows, and the most rows of one."""
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return len(sizes), max(sizes)
+
+
+def test_days_grow_in_many_tasks(spark):
+    """A small catalog of series grows to rows per day: neither days nor buckets are packed into a few tasks."""
+    few = spark.range(400).select(F.concat(F.lit("S"), "id").alias("series_id"), F.lit("2020-01-05").cast("date").alias("d"), F.col("id").cast("double").alias("value"))
+    ends = few.limit(1).withColumn("d", F.lit("2020-12-27").cast("date"))
+    for grown in (align.align_asof(few, "2020-01-01", "2020-12-31"), resample.resample_mean(few.unionByName(ends), "week"), resample.resample_mean(few.unionByName(ends), "day")):
+        n, most = tasks_of(grown)
+        assert n > 16 and most < grown.count() / 8
+
+
+def test_repeated_series_and_days_without_a_place(spark):
+    """A series listed twice has its days twice; rows without a day keep their series in the panel."""
+    data = [("a", "2020-01-02", 1.0), ("a", "2020-01-09", 9.0), ("a", None, 5.0), ("b", None, 2.0)]
+    p = spark.createDataFrame(data, "series_id string, d string, value double").withColumn("d", F.to_date("d"))
+    listed = spark.createDataFrame([("a",), ("a",), ("q",)], "series_id string")
+    assert series(align.align_asof(p, "2020-01-01", "2020-01-03"), "value") == {"a": [None, 1, 1], "b": [None] * 3}
+    assert series(align.align_asof(p, "2020-01-01", "2020-01-03", listed), "value") == {"a": [None, None, 1, 1, 1, 1], "q": [None] * 3}
+    weeks = [(r["series_id"], str(r["d"]), r["value"]) for r in resample.resample_mean(p, "week").collect()]
+    assert sorted(weeks, key=str) == [("a", "2020-01-05", 1.0), ("a", "2020-01-12", 9.0), ("a", "None", 5.0), ("b", "2020-01-05", None), ("b", "2020-01-12", None), ("b", "None", 2.0)]
