@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import written
 from .metrics import forecast_metrics
 
 BINS, MIN_ROWS, SEED = 32, 50, 42
@@ -34,10 +34,7 @@ TYPES = {"n_trees": "int", "max_depth": "int", "step_size": "double", "subsample
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Written below the shared folder and read again: no lineage, and a size the planner knows."""
-    path = scratch_path(df.sparkSession, f"forest-{name}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, f"forest-{name}")
 
 
 def parameters(spark: SparkSession, models: DataFrame, params: dict[str, float] | None = None) -> DataFrame:

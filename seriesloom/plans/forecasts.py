@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import forest, metrics, model, resample, rolling, select, split, stationarity, tables
 from ..operators.align import by_day
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from ..sources.tables import table
 from .base import ORDD, SUP, SUPD, W, orders_daily, rounded, supplier_daily, supplier_panel, with_
 
@@ -128,13 +128,14 @@ LAGS = (1, 7, 14, 28)
 
 
 def supplier_samples(spark, sf):
-    """Weekly rows of every supplier with the next week's level as label: as many targets as suppliers."""
+    """Weekly rows of every supplier with the next week's level as label: as many targets as suppliers.
+    Written once: scales, bins and rows of the trees all start from them."""
     daily = rolling.lag_features(supplier_daily(spark, sf), LAGS)
     weekly = resample.weekly_sample(daily).withColumnRenamed("series_id", "target_id")
     lags = [f"lag_{k}" for k in LAGS]
     rows = split.labelled_split(weekly, "value", CUTOFF, keys=["target_id"])
     features = F.array("value", *lags, F.col("value") - F.col("lag_7"))
-    return rows.select("target_id", "d", "label", "split", features.alias("features"))
+    return written(rows.select("target_id", "d", "label", "split", features.alias("features")), "supplier-samples")
 
 
 def stump_by_target(spark, sf):
