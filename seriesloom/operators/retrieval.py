@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import tokens
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .scan import top_per_group
 
 K1, B = 1.5, 0.75
@@ -86,25 +86,37 @@ def token_index(chunks: DataFrame, cjk: bool = False) -> DataFrame:
 
 
 def _score_block(names: list, terms: list[str], weights: np.ndarray, avg_len: float, k: int, k1: float, b: float, schema: pa.Schema):
-    """Scores a partition of tokens against one block of queries: occurrence counts of the asked
-    terms per chunk, saturated, times the query weights; k chunks per query stay."""
+    """Scores a partition of tokens against one block of queries: the asked terms that a chunk has,
+    saturated, times their query weights; k chunks per query stay. Work follows the terms of the
+    chunks, not the vocabulary."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, width = pa.array(terms, pa.string()), len(terms)
-        step = max(1, SCORE_CELLS // max(width, len(names)))
+        by_term = np.ascontiguousarray(weights.T)
+        most = max(1, SCORE_CELLS // len(names))
         best = _no_hits()
         for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                ids, lists = batch.column(0).slice(start, step), batch.column(1).slice(start, step)
-                at = pc.index_in(lists.flatten(), value_set=vocabulary)
-                known = pc.is_valid(at).to_numpy(zero_copy_only=False)
-                rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[known]
-                cols = pc.drop_null(at).to_numpy(zero_copy_only=False)
-                tf = np.bincount(rows.astype("int64") * width + cols, minlength=len(ids) * width).reshape(len(ids), width)
-                length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-                shared = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len)[:, None])
-                scores = np.round(weights @ shared.T, SCORE_DIGITS)
-                best = _keep_best(best, scores, np.array(ids.to_pylist()), k, positive=True)
+            all_ids, lists = batch.column(0), batch.column(1)
+            length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            at = pc.index_in(lists.flatten(), value_set=vocabulary)
+            known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+            rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[known].astype("int64")
+            cells, tf = np.unique(rows * width + pc.drop_null(at).to_numpy(zero_copy_only=False), return_counts=True)
+            if not len(cells):
+                continue
+            row, col = cells // width, cells % width
+            share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avg_len))
+            starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            # as many whole chunks at once as have ``most`` terms, one at least
+            first = 0
+            while first < len(starts):
+                last = max(first + 1, int(np.searchsorted(starts, starts[first] + most, side="right")) - 1)
+                last = len(starts) if starts[first] + most >= len(cells) else last
+                lo, hi = starts[first], len(cells) if last == len(starts) else starts[last]
+                sums = np.add.reduceat(share[lo:hi, None] * by_term[col[lo:hi]], starts[first:last] - lo, axis=0)
+                ids = np.array(all_ids.take(pa.array(row[starts[first:last]])).to_pylist())
+                best = _keep_best(best, np.round(sums.T, SCORE_DIGITS), ids, k, positive=True)
+                first = last
         if len(best):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([names[i] for i in best["q"]], schema.field(0).type), pa.array(best["id"].to_list(), schema.field(1).type), pa.array(best["score"])],
@@ -122,7 +134,7 @@ def bm25_search(
     pass counts lengths and document frequencies of the asked terms, then each block of queries
     is scored in one scan that keeps k chunks per query and task. A block has about ``block``
     queries, fewer where they have many terms."""
-    index = cut_lineage(token_index(chunks, cjk)) if index is None else index
+    index = written(token_index(chunks, cjk), "token-index") if index is None else index
     asked = cut_lineage(query_terms(queries, cjk))
     sizes = asked.agg(F.count_distinct("query_id"), F.count(F.lit(1))).first()
     n_blocks = max(1, math.ceil(sizes[0] / (block * 0.8)), math.ceil(sizes[1] / (BLOCK_PAIRS * 0.8)))
@@ -155,14 +167,49 @@ def _no_hits() -> pd.DataFrame:
     return pd.DataFrame({"q": pd.Series(dtype="int64"), "id": pd.Series(dtype="object"), "score": pd.Series(dtype="float64")})
 
 
+def _floors(best: pd.DataFrame, n: int, k: int) -> np.ndarray:
+    """The k-th best score of every query that has k already; below every score for the others."""
+    floor = np.full(n, -np.inf)
+    if len(best):
+        q = best["q"].to_numpy().astype("int64")
+        last = np.append(q[1:] != q[:-1], True) & (np.bincount(q, minlength=n)[q] >= k)
+        floor[q[last]] = best["score"].to_numpy()[last]
+    return floor
+
+
 def _keep_best(best: pd.DataFrame, scores: np.ndarray, ids: np.ndarray, k: int, positive: bool = False) -> pd.DataFrame:
-    """The k best per query of what was kept and a new (queries x chunks) score table, ties by id."""
-    take = scores > 0 if positive else np.ones_like(scores, dtype=bool)
+    """The k best per query of what was kept and a new (queries x chunks) score table, ties by id. Scores
+    below a query's k-th are passed over."""
+    floor = _floors(best, len(scores), k)
     if scores.shape[1] > k:
-        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        take &= scores >= floor[:, None]
+        open_ = np.isinf(floor)
+        if open_.any():
+            floor[open_] = np.partition(scores[open_], scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    take = scores >= floor[:, None]
+    if positive:
+        take &= scores > 0
+    return _with(best, scores, ids, take, k)
+
+
+def _with(best: pd.DataFrame, scores: np.ndarray, ids: np.ndarray, take: np.ndarray, k: int) -> pd.DataFrame:
+    q, c = np.nonzero(take)
+    return _best(pd.concat([best, pd.DataFrame({"q": q, "id": ids[c], "score": scores[q, c]})]), k) if len(q) else best
+
+
+def _keep_nearest(best: pd.DataFrame, raw: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+    """The same for cosines, not yet rounded and below zero at times: only those that can reach the k-th
+    score are rounded. (Cosines below zero count as zero and tie.)"""
+    near = 10.0**-SCORE_DIGITS
+    floor = _floors(best, len(raw), k)
+    open_ = np.isinf(floor)
+    if raw.shape[1] > k and open_.any():
+        floor[open_] = np.partition(raw[open_], raw.shape[1] - k, axis=1)[:, raw.shape[1] - k]
+    take = raw >= np.where(floor > near, floor - near, -np.inf)[:, None]
     q, c = np.nonzero(take)
-    return _best(pd.concat([best, pd.DataFrame({"q": q, "id": ids[c], "score": scores[q, c]})]), k)
+    if not len(q):
+        return best
+    scores = np.round(np.maximum(raw[q, c], 0.0), SCORE_DIGITS)
+    return _best(pd.concat([best, pd.DataFrame({"q": q, "id": ids[c], "score": scores})]), k)
 
 
 def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -184,8 +231,7 @@ def _scan_block(names: list, matrix: np.ndarray, k: int) -> Callable[[Iterator[p
                 ids, vectors, size = piece["id"].to_numpy()[size > 0], vectors[size > 0], size[size > 0]
                 if not len(ids):
                     continue
-                scores = np.round(np.maximum(matrix @ (vectors / size[:, None]).T, 0.0), SCORE_DIGITS)
-                best = _keep_best(best, scores, ids, k)
+                best = _keep_nearest(best, matrix @ (vectors / size[:, None]).T, ids, k)
         if len(best):
             yield pd.DataFrame({"query_id": [names[i] for i in best["q"]], "id": best["id"].to_numpy(), "score": best["score"].to_numpy()})
 

@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..functions.vectors import cosine, l2_normalise
 from ..operators import retrieval as rt
 from ..operators.scan import top_per_group
-from ..session import cut_lineage, scratch_path, spread
+from ..session import scratch_path, spread, written
 from ..sources import corpus
 from ..sources.tables import table
 from .base import rounded
@@ -107,7 +107,7 @@ def nearest_chunks(spark, sf):
 
 
 def fused_ranks(spark, sf):
-    chunks, asked = cut_lineage(_chunks(spark, sf)), _queries(spark, sf)
+    chunks, asked = written(_chunks(spark, sf), "chunk-rows"), _queries(spark, sf)
     return rt.fuse(rt.knn_search(chunks, asked, 30), rt.bm25_search(chunks, asked, 30))
 
 
@@ -117,7 +117,7 @@ def overlap_score(query, content):
 
 
 def _search(spark, sf, **kw):
-    return rt.search(cut_lineage(_chunks(spark, sf)), _queries(spark, sf), 10, **kw)
+    return rt.search(written(_chunks(spark, sf), "chunk-rows"), _queries(spark, sf), 10, **kw)
 
 
 def _shown(hits):

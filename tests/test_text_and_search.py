@@ -4,6 +4,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import Window
@@ -268,3 +269,41 @@ def test_corpus_folder_with_odd_names(spark, tmp_path):
         path.write_text(text)
     got = rows(corpus.scan_corpus(spark, str(tmp_path / "corpus")), "doc_id", "file_name", "source", "content")
     assert got == [("doc_000", "z.md", "a b/corpus/z.md", "one"), ("doc_001", "p.HTML", "p.HTML", "three & four"), ("doc_002", "x y+1.TXT", "x y+1.TXT", "two")]
+
+
+def test_scores_below_the_kth_are_not_ranked_again(monkeypatch):
+    """What cannot reach a query's k-th score is passed over; ties below zero and equal scores still go by id."""
+    rng, k = np.random.default_rng(4), 3
+    raw = np.round(rng.uniform(-1, 1, (5, 400)), 2)
+    raw[3] = -np.abs(raw[3])
+    ids = rng.permutation(400)
+    seen, whole = [], rt._best
+    monkeypatch.setattr(rt, "_best", lambda frame, n: (seen.append(len(frame)), whole(frame, n))[1])
+    best = rt._no_hits()
+    for at in range(0, 400, 20):
+        best = rt._keep_nearest(best, raw[:3, at : at + 20], ids[at : at + 20], k)
+    assert sum(seen) < 3 * 400 / 2
+    best = rt._no_hits()
+    for at in range(0, 400, 20):
+        best = rt._keep_nearest(best, raw[:, at : at + 20], ids[at : at + 20], k)
+    for q in range(5):
+        want = sorted((-max(s, 0.0), int(i)) for s, i in zip(raw[q], ids))[:k]
+        mine = best[best["q"] == q]
+        assert [(-s, int(i)) for s, i in zip(mine["score"], mine["id"])] == want
+
+
+def test_word_scores_follow_the_terms_of_the_chunks(spark, monkeypatch):
+    """A task's score table has a column per chunk that has asked terms, none for the others."""
+    terms, names, weights = ["a", "b", "c"], [7, 9], np.array([[1.0, 0.0, 2.0], [0.0, 3.0, 0.0]])
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.string()), ("score", pa.float64())])
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", "y", "z", "w"]), pa.array([["a", "a", "c"], ["q"], ["b"], []], pa.list_(pa.string()))], ["id", "t"])
+    wide, kept = [], rt._keep_best
+    monkeypatch.setattr(rt, "_keep_best", lambda best, scores, *a, **kw: (wide.append(scores.shape[1]), kept(best, scores, *a, **kw))[1])
+    monkeypatch.setattr(rt, "SCORE_CELLS", 2)
+    out = [r for b in rt._score_block(names, terms, weights, 2.0, 5, rt.K1, rt.B, schema)(iter([batch])) for r in b.to_pylist()]
+
+    def part(w, tf, dl):
+        return w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / 2.0))
+
+    assert [(r["query_id"], r["id"], r["score"]) for r in out] == [(7, "x", round(part(1, 2, 3) + part(2, 1, 3), 6)), (9, "z", round(part(3, 1, 1), 6))]
+    assert sum(wide) == 2
