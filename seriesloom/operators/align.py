@@ -44,12 +44,12 @@ def backward_fill(panel: DataFrame, value: str = "value", out: str = "value", ke
     return panel.withColumn(out, F.last(value, ignorenulls=True).over(w))
 
 
-def by_series(rows: DataFrame) -> DataFrame:
+def by_series(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows of a series together, over a stated number of partitions (several per core, which the planner does
     not pack): they grow to a row per day in the task that holds them."""
     spark = rows.sparkSession
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism) + 1
-    return rows.repartition(parts, "series_id")
+    return rows.repartition(parts, *(keys or ("series_id",)))
 
 
 def align_asof(panel: DataFrame, lo: str, hi: str, catalog: DataFrame | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guarded import change_ratio
-from .align import by_day
+from .align import by_day, by_series
 
 KEYS = ("version", "series_id")
 
@@ -52,7 +52,7 @@ def adf_sums(panel: DataFrame, max_lag: int = 5, keys: Sequence[str] = KEYS) ->
     first value and the trend to its middle, which changes neither its coefficient nor its t
     value but keeps the sums well conditioned."""
     w = by_day(*keys)
-    seen = panel.filter(F.col("value").isNotNull()).withColumns(
+    seen = by_series(panel.filter(F.col("value").isNotNull()), *keys).withColumns(
         {
             "_y": F.col("value") - F.first("value").over(w.rowsBetween(Window.unboundedPreceding, 0)),
             "_i": F.row_number().over(w) - 2,
