@@ -307,3 +307,14 @@ def test_word_scores_follow_the_terms_of_the_chunks(spark, monkeypatch):
 
     assert [(r["query_id"], r["id"], r["score"]) for r in out] == [(7, "x", round(part(1, 2, 3) + part(2, 1, 3), 6)), (9, "z", round(part(3, 1, 1), 6))]
     assert sum(wide) == 2
+
+
+def test_corpus_files_are_opened_once(spark, tmp_path):
+    """Numbering and contents come from one pass over the files: nothing reads them again."""
+    (tmp_path / "docs").mkdir()
+    for name in ("b.md", "a.txt"):
+        (tmp_path / "docs" / name).write_text(name * 2)
+    docs = corpus.scan_corpus(spark, str(tmp_path / "docs"))
+    for name in ("b.md", "a.txt"):
+        (tmp_path / "docs" / name).unlink()
+    assert rows(docs, "doc_id", "content") == [("doc_000", "a.txta.txt"), ("doc_001", "b.mdb.md")]
