@@ -35,8 +35,9 @@ SCORE_CELLS = 2_000_000
 
 def term_postings(chunks: DataFrame, terms: DataFrame | None = None, cjk: bool = False) -> DataFrame:
     """(term, id, tf, dl). With ``terms`` only those terms are kept, before the counts are
-    shuffled; the join side is chosen by Spark from its measured size."""
-    base = token_index(chunks, cjk)
+    shuffled; the join side is chosen by Spark from its measured size. Without, the chunks are dealt by id,
+    so that their terms are counted where they are: a chunk's text is shuffled, not a row for each term."""
+    base = token_index(chunks if terms is not None else chunks.select("id", "content").repartition("id"), cjk)
     exploded = base.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     if terms is not None:
         exploded = exploded.join(terms.select("term").distinct(), "term", "left_semi")

@@ -318,3 +318,12 @@ def test_corpus_files_are_opened_once(spark, tmp_path):
     for name in ("b.md", "a.txt"):
         (tmp_path / "docs" / name).unlink()
     assert rows(docs, "doc_id", "content") == [("doc_000", "a.txta.txt"), ("doc_001", "b.mdb.md")]
+
+
+def test_postings_are_counted_where_the_chunk_is(spark):
+    """Chunks move, dealt by their id, and no row per term and chunk; an id that comes twice is one chunk."""
+    chunks = spark.createDataFrame([("a", "x y x"), ("b", "y"), ("a", "x y x"), (None, "z"), ("c", None)], "id string, content string")
+    postings = rt.term_postings(chunks)
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\((\w+)#", plan) == ["id"]
+    assert rows(postings, "term", "id", "tf", "dl") == [("x", "a", 4, 3), ("y", "a", 2, 3), ("y", "b", 1, 1), ("z", None, 1, 1)]
