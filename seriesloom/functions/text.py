@@ -1,5 +1,5 @@
 """Text columns: HTML to text, chunks, tokens, hygiene, JSON salvage. JVM-side expressions, but for
-character references."""
+character references and chunks."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Tags whose end starts a new line.
 BLOCK_TAGS = ("p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4")
@@ -18,6 +18,8 @@ SEPARATORS = ("\n\n", "\n", "。", "!", "?", ";", "!", "?", ";", ",", "，", " "
 # The same with full-width marks, for texts that use them.
 WIDE_SEPARATORS = ("\n\n", "\n", "。", "!", "?", ";", "！", "？", "；", ",", "，", " ")
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+# The same characters, for Python.
+BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 @F.pandas_udf(StringType())
@@ -45,43 +47,39 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+\z", "")
 
 
-def split_pieces(text: Column, size: int, separators: Sequence[str] = SEPARATORS) -> Column:
+def split_pieces(text: str, size: int, separators: Sequence[str] = SEPARATORS) -> list[str]:
     """Pieces of at most ``size`` characters: anything longer is split by the next mark of the
     cascade, and what no mark shortens is cut hard."""
-    pieces = F.array(text)
-
-    def split_long(mark: str):
-        return lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(F.split(p, "\\Q" + mark + "\\E"))
-
+    pieces = [text]
     for mark in separators:
-        pieces = F.flatten(F.transform(pieces, split_long(mark)))
-    hard = F.transform(
-        pieces,
-        lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(
-            F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / size).cast("int")), lambda i: F.substring(p, i * size + 1, F.lit(size)))
-        ),
-    )
-    return F.filter(F.transform(F.flatten(hard), strip), lambda p: p != "")
+        pieces = [part for p in pieces for part in ((p,) if len(p) <= size else p.split(mark))]
+    hard = (p[at : at + size] for p in pieces for at in range(0, len(p), size))
+    return [p for p in (h.strip(BLANKS) for h in hard) if p]
 
 
-def chunk_array(text: Column, size: int = 500, overlap: int = 50, separators: Sequence[str] = SEPARATORS) -> Column:
+def pack_pieces(pieces: Sequence[str], size: int, overlap: int) -> list[str]:
     """Greedy packing of the pieces up to ``size``; a new chunk starts with the last ``overlap``
     characters of the one before (so it can be longer than ``size``)."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+    done, cur, held = [], [], 0
+    for piece in pieces:
+        if cur and held + len(piece) > size:
+            done.append("".join(cur))
+            cur = [done[-1][-overlap:]] if overlap > 0 else []
+            held = sum(map(len, cur))
+        cur.append(piece)
+        held += len(piece)
+    return [*done, "".join(cur)] if cur else done
 
-    def pack(acc: Column, piece: Column) -> Column:
-        cur = acc["cur"]
-        fits = (cur == "") | (F.length(cur) + F.length(piece) <= size)
-        tail = F.right(cur, F.lit(overlap)) if overlap > 0 else F.lit("")
-        return F.struct(
-            F.when(fits, acc["done"]).otherwise(F.array_append(acc["done"], cur)).alias("done"),
-            F.when(fits, F.concat(cur, piece)).otherwise(F.concat(tail, piece)).alias("cur"),
-        )
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["cur"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["cur"]))
+def chunk_array(text: Column, size: int = 500, overlap: int = 50, separators: Sequence[str] = SEPARATORS) -> Column:
+    """The pieces of a text packed to chunks, row by row in batches: a column expression would build
+    an array of all pieces anew for every mark and every chunk."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def chunked(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: pack_pieces(split_pieces(t, size, separators), size, overlap), na_action="ignore")
 
-    return F.aggregate(split_pieces(text, size, separators), start, pack, finish)
+    return chunked(text)
 
 
 CJK = r"[\u3400-\u9fff]"

@@ -327,3 +327,13 @@ def test_postings_are_counted_where_the_chunk_is(spark):
     plan = postings._jdf.queryExecution().executedPlan().toString()
     assert re.findall(r"hashpartitioning\((\w+)#", plan) == ["id"]
     assert rows(postings, "term", "id", "tf", "dl") == [("x", "a", 4, 3), ("y", "a", 2, 3), ("y", "b", 1, 1), ("z", None, 1, 1)]
+
+
+def test_chunks_of_long_texts(spark):
+    """Packing keeps every character but blanks, whatever a text's length; null has no chunks."""
+    text = "　 ".join(f"w{i} {'y' * (i % 700)}\x85!" for i in range(400))
+    pieces = tx.split_pieces(text, 50)
+    assert max(map(len, pieces)) <= 50 and all(p == re.sub(r"^[\s\x1c-\x1f\x85]+|[\s\x1c-\x1f\x85]+$", "", p) != "" for p in pieces)
+    assert "".join(tx.pack_pieces(pieces, 50, 0)) == "".join(pieces) and "".join(pieces).count("y") == text.count("y")
+    df = spark.createDataFrame([(1, text), (2, None), (3, " ")], "i int, t string")
+    assert [r[0] for r in df.select(tx.chunk_array(F.col("t"), 50, 7)).collect()] == [tx.pack_pieces(pieces, 50, 7), None, []]
