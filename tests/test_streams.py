@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -208,6 +209,42 @@ def test_a_gap_is_given_up_after_a_while():
     assert machine.spot.get() == (7, 0)
 
 
+class Counted:
+    """A state whose calls are counted."""
+
+    def __init__(self, state, calls):
+        self.state, self.calls = state, calls
+
+    def __getattr__(self, name):
+        self.calls.append(name)
+        return getattr(self.state, name)
+
+
+@pytest.mark.parametrize("size", [1, 7, 64])
+def test_early_chunks_cross_blocks(monkeypatch, size):
+    monkeypatch.setattr(ordered, "BLOCK", size)
+    rng = random.Random(4)
+    chunks = [(p, 10 * p, f"<{p}>" if p % 5 else "", "stop" if p % 9 == 0 else None) for p in range(1, 201)]
+    want, _ = run([chunks])
+    assert len(want) == 18  # 22 marks, 4 of them without a message
+    for _ in range(20):
+        rng.shuffle(chunks)
+        out, machine = run([chunks[i : i + 30] for i in range(0, 200, 30)])
+        assert out == want and not machine.early and machine.spot.get() == (201, 0)
+
+
+def test_a_visit_makes_few_calls_to_the_state():
+    """Each is a message to the JVM: they are made by block, not by chunk."""
+    chunks = [(p, p, "x", "stop" if p % 10 == 0 else None) for p in range(1, 201)]
+    random.Random(5).shuffle(chunks)
+    machine, calls, out = ordered.Assemble(1, None, None), [], []
+    machine.init(Handle())
+    machine.spot, machine.opened, machine.early = (Counted(s, calls) for s in (machine.spot, machine.opened, machine.early))
+    for i in range(0, 200, 50):
+        out += machine._run(("t",), chunks[i : i + 50])
+    assert len(out) == 20 and len(calls) <= 4 * (4 * 3 + 5)
+
+
 def test_a_stream_waits_for_what_is_missing(spark, tmp_path, monkeypatch):
     """The finish marker first, then the rest; a thread that is never whole gives nothing."""
     late = [[("a", 3, "C", "stop", "r"), ("b", 2, "y", "stop", "r")], [("a", 1, "A", None, "r"), ("c", 1, "z", "stop", "r")], [("a", 2, "B", None, "r"), ("a", 1, "A", None, "r")]]
