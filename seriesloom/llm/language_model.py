@@ -27,7 +27,8 @@ Other columns, whatever their names, are left out. An empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -62,19 +63,19 @@ def signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.int64)
 
 
-def word_hashes(distinct: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+def word_hashes(found: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, found)), ">u8").astype(np.uint64)
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
     """Stored table ``h, c``: the count of every training token."""
 
     def run(batches):
-        held: dict[bytes, int] = {}
+        held: Counter[bytes] = Counter()
         ends = 0
 
         def flush(ends: int):
-            h = np.append(word_hashes(list(held)), np.uint64(END)) if ends else word_hashes(list(held))
+            h = np.append(word_hashes(held), np.uint64(END)) if ends else word_hashes(held)
             c = np.fromiter(held.values(), np.int64, len(held))
             out = pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.append(c, ends) if ends else c)], ["h", "c"])
             held.clear()
@@ -84,8 +85,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
             texts = text_of(batch.column("text"))
             ends += len(texts)
             for text in texts:
-                for w in words(text):
-                    held[w] = held.get(w, 0) + 1
+                held.update(words(text))
                 if len(held) > 2 * KEPT:
                     yield flush(0)
         if ends or held:
@@ -139,6 +139,9 @@ class Model:
     def __init__(self, h: np.ndarray, c: np.ndarray, total: int, distinct: int, buckets: np.ndarray | None = None):
         by = np.argsort(h)
         self.h, self.c, self.total, self.distinct = h[by], c[by], total, distinct
+        self.near = np.uint64(64 - max(1, len(h).bit_length()))  # words by the first bits of their hashes: about one each
+        self.first = np.searchsorted(self.h, np.arange(1 << (64 - int(self.near)), dtype=np.uint64) << self.near).astype(np.int32)
+        self.first = np.append(self.first, np.int32(len(h)))
         self.buckets = np.full(1, 0.5) if buckets is None else buckets  # counts and a half of their words, and a half
         self.shift = 65 - len(self.buckets).bit_length()
         self.start, self.cls, self.digit, self.bias = class_tree(np.concatenate([self.c + 0.5, self.buckets]))
@@ -147,79 +150,72 @@ class Model:
 
     def at(self, h: np.ndarray) -> np.ndarray:
         """Place of each word in the head, -1 for others."""
-        if not len(self.h):
-            return np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, at, -1)
+        out = np.full(len(h), -1, np.int64)
+        first = (h >> self.near).astype(np.int64)
+        at, end = self.first.take(first), self.first.take(first + 1)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            some = at[left]
+            same = self.h.take(some) == h[left]
+            out[left[same]] = some[same]
+            at[left] += 1
+            left = left[~same & (some + 1 < end[left])]
+        return out
 
     def bucket(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(self.shift)).astype(np.int64) if self.shift < 64 else np.zeros(len(h), np.int64)
 
 
-class Reader(dict):
-    """Word to a number in the tables of this task: hash, place in the head."""
+class Reader:
+    """Texts to tokens: their hashes, and the steps on their paths."""
 
     def __init__(self, model: Model):
-        super().__init__()
         self.model = model
-        self.reset()
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        self[word] = at = len(self.h) + len(self.new) - 1
-        return at
-
-    def reset(self) -> None:
-        self.clear()
-        self.new: list[bytes] = []  # numbered, not yet in the tables
-        self.h, self.place = np.array([END], np.uint64), self.model.at(np.array([END], np.uint64))
+        self.salt = np.arange(1, len(model.bias) + 1, dtype=np.uint64) * np.uint64(0x165667B19E3779F9)
 
     def read(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Per slice of texts: the tokens' numbers (0: the end) and each text's number of tokens."""
+        """Per slice of texts: the tokens' hashes and each text's number of tokens."""
         for a, b in slices(texts, SLICE):
             lists = [words(t) for t in texts[a:b]]
-            if len(self) > KEPT:
-                self.reset()
-            numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64)
-            if self.new:
-                h = word_hashes(self.new)
-                self.h, self.place = np.concatenate([self.h, h]), np.concatenate([self.place, self.model.at(h)])
-                self.new = []
             sizes = np.array([len(w) + 1 for w in lists])
-            ids = np.zeros(sizes.sum(), np.int64)
-            ends = np.cumsum(sizes) - 1
-            inside = np.ones(len(ids), bool)
-            inside[ends] = False
-            ids[inside] = numbers
-            yield ids, sizes
-
-    def contexts(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+            h = np.full(sizes.sum(), END, np.uint64)
+            inside = np.ones(len(h), bool)
+            inside[np.cumsum(sizes) - 1] = False
+            h[inside] = word_hashes(chain.from_iterable(lists))
+            yield h, sizes
+
+    def contexts(self, word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Hashed features of every token: (features, tokens). Before the text there is no word."""
-        word = self.h[ids]
-        start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        place = np.arange(len(ids))
+        starts = np.cumsum(sizes) - sizes
 
         def back(k: int) -> np.ndarray:
-            return np.where(place - k >= start, word[np.maximum(place - k, 0)], np.uint64(3))
+            out = np.full(len(word), 3, np.uint64)
+            out[k:] = word[:-k]
+            for j in range(k):
+                out[starts[sizes > j] + j] = 3
+            return out
 
         one, two = back(1), back(2)
         mixed = (one, one * np.uint64(0x9E3779B97F4A7C15) + two * np.uint64(5), two)
         return np.stack([(m + np.uint64(k + 1)) * np.uint64(0xBF58476D1CE4E5B9) for k, m in enumerate(mixed)])
 
-    def steps(self, ids: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def steps(self, h: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Blocks of the steps on the tokens' paths: token, class, child, and feature cells (features, steps)."""
-        m, found = self.model, self.contexts(ids, sizes)
-        for a in range(0, len(ids), BLOCK):
-            some = ids[a : a + BLOCK]
-            leaf = self.place[some]
-            leaf = np.where(leaf >= 0, leaf, len(m.h) + m.bucket(self.h[some]))
-            deep = m.start[leaf + 1] - m.start[leaf]
-            token = np.repeat(np.arange(len(some)), deep)
-            at = np.arange(len(token)) + np.repeat(m.start[leaf] - (np.cumsum(deep) - deep), deep)
-            cls = m.cls[at]
-            x = found[:, a + token] + (cls.astype(np.uint64) + np.uint64(1)) * np.uint64(0x165667B19E3779F9)
-            x = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - m.bits)
-            yield a + token, cls, m.digit[at], x.astype(np.int64)
+        m, found = self.model, self.contexts(h, sizes)
+        leaves = np.where(place >= 0, place, len(m.h) + m.bucket(h))
+        for a in range(0, len(h), BLOCK):
+            leaf = leaves[a : a + BLOCK]
+            start = m.start.take(leaf)
+            deep = m.start.take(leaf + 1) - start
+            token = np.repeat(np.arange(a, a + len(leaf)), deep)
+            at = np.arange(len(token)) + np.repeat(start - (np.cumsum(deep) - deep), deep)
+            cls = m.cls.take(at)
+            x = found.take(token, 1)
+            x += self.salt.take(cls)
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(0x94D049BB133111EB)
+            x >>= np.uint64(64 - m.bits)
+            yield token, cls, m.digit.take(at), x.view(np.int64)
 
 
 def logits(model: Model, cls: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -237,16 +233,18 @@ def rows_at(table: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def add_rows(table: np.ndarray, at: np.ndarray, order: np.ndarray, values: np.ndarray) -> None:
     """Adds the rows ``values[order]`` to those at ``at``, which is sorted. Places met once, most of a
-    block, are copied; runs of others are differences of running sums."""
-    last = np.flatnonzero(np.diff(at, append=-1))
+    block, are copied; runs of others are differences of running sums, which are quicker along the memory."""
+    last = np.append(np.flatnonzero(at[1:] != at[:-1]), len(at) - 1)
     times = np.diff(last, prepend=-1)
-    sums, many = rows_at(values, order[last]), np.flatnonzero(times > 1)
+    sums, many = rows_at(values, order.take(last)), np.flatnonzero(times > 1)
     if len(many):
-        running = rows_at(values, order[np.repeat(times > 1, times)]).cumsum(0, dtype=np.float64)
-        whole = np.diff(rows_at(running, np.cumsum(times[many]) - 1), axis=0, prepend=0)
-        whole_row(sums)[many] = whole_row(whole.astype(table.dtype))
-    sums += rows_at(table, at[last])
-    whole_row(table)[at[last]] = whole_row(sums)
+        running = np.ascontiguousarray(rows_at(values, order[np.repeat(times > 1, times)]).T, np.float64)
+        np.cumsum(running, 1, out=running)
+        whole = np.diff(running.take(np.cumsum(times[many]) - 1, 1), axis=1, prepend=0)
+        whole_row(sums)[many] = whole_row(np.ascontiguousarray(whole.T, table.dtype))
+    place = at.take(last)
+    sums += rows_at(table, place)
+    whole_row(table)[place] = whole_row(sums)
 
 
 def whole_row(table: np.ndarray) -> np.ndarray:
@@ -265,18 +263,17 @@ def step(docs: DataFrame, model: Model) -> np.ndarray:
         seen, expected = np.zeros(cells_ * WAYS, np.int32), np.zeros((cells_, WAYS), np.float32)
         any_ = False
         for batch in batches:
-            for ids, sizes in reader.read(text_of(batch.column("text"))):
+            for h, sizes in reader.read(text_of(batch.column("text"))):
                 any_ = True
-                for token, cls, digit, cells in reader.steps(ids, sizes):
-                    p = np.exp(logits(reader.model, cls, cells))
+                for token, cls, digit, cells in reader.steps(h, reader.model.at(h), sizes):
+                    p = logits(reader.model, cls, cells)
+                    np.exp(p, out=p)
                     p /= (p @ ONES)[:, None]
-                    shift = len(token).bit_length()
+                    shift, number = len(token).bit_length(), np.arange(len(token))
                     for f in cells:
-                        key = np.sort(((f * WAYS + digit) << shift) | np.arange(len(f)))
-                        child, order = key >> shift, key & ((1 << shift) - 1)
-                        first = np.flatnonzero(np.diff(child, prepend=-1))
-                        seen[child[first]] += np.diff(first, append=len(f)).astype(np.int32)
-                        add_rows(expected, child // WAYS, order, p)
+                        np.add.at(seen, f * WAYS + digit, np.int32(1))
+                        key = np.sort((f << shift) | number)
+                        add_rows(expected, key >> shift, key & ((1 << shift) - 1), p)
         if any_:
             for r in range(0, cells_, RANGE):
                 sums = seen[r * WAYS : (r + RANGE) * WAYS].tobytes() + expected[r : r + RANGE].tobytes()
@@ -293,7 +290,7 @@ def step(docs: DataFrame, model: Model) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([delta.astype(np.float32).tobytes()], pa.binary())], ["cell", "delta"])
 
     tasks = max(spark.sparkContext.defaultParallelism, model.total // TASK_TOKENS)
-    sums = map_text(docs.select("text").coalesce(tasks), run, "cell int, sums binary").repartition(cells_ // RANGE, "cell")
+    sums = map_text(docs.select("text").coalesce(tasks), run, "cell int, sums binary").repartition(min(cells_ // RANGE, 2 * tasks), "cell")
     out = np.zeros_like(model.weights)
     for row in sums.mapInArrow(total, "cell int, delta binary").collect():  # 2^MOST_BITS cells at most
         out[row["cell"] : row["cell"] + RANGE] = np.frombuffer(row["delta"], np.float32).reshape(-1, WAYS)
@@ -347,16 +344,16 @@ def scores(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         counted, whole = np.append(np.log(m.c + 0.5), 0), np.log(m.buckets)
         for batch in batches:
             at, doc_ids = 0, batch.column("doc_id")
-            for ids, sizes in reader.read(text_of(batch.column("text"))):
-                place, text = reader.place[ids], np.repeat(np.arange(len(sizes)), sizes)
+            for word, sizes in reader.read(text_of(batch.column("text"))):
+                place, text = m.at(word), np.repeat(np.arange(len(sizes)), sizes)
                 base = np.bincount(text, counted[place], len(sizes))
                 fitted, n_known = base * 0, np.bincount(text, place >= 0, len(sizes)).astype(np.int64)
-                for token, cls, digit, cells in reader.steps(ids, sizes):
+                for token, cls, digit, cells in reader.steps(word, place, sizes):
                     x = logits(m, cls, cells)
-                    logp = x[np.arange(len(token)), digit] - np.log(np.exp(x) @ ONES)
+                    logp = x.ravel().take(np.arange(0, x.size, WAYS) + digit) - np.log(np.exp(x, out=x) @ ONES)
                     fitted += np.bincount(text[token], logp, len(sizes))
                 tail = np.flatnonzero(place < 0)
-                h, text = reader.h[ids[tail]], text[tail]
+                h, text = word[tail], text[tail]
                 fitted -= np.bincount(text, whole[m.bucket(h)], len(sizes))
                 by = np.lexsort((h, text))
                 h, text = h[by], text[by]

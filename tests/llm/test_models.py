@@ -251,6 +251,38 @@ def test_cells_grow_with_the_tokens():
     assert sizes == [1 << language_model.LEAST_BITS, 1 << 17, 1 << language_model.MOST_BITS]
 
 
+def test_rows_are_added_as_one_by_one():
+    rng = np.random.default_rng(5)
+    for n, cells in ((1, 4), (300, 1), (300, 40), (300, 5000)):
+        table, values = rng.random((cells, language_model.WAYS), np.float32), rng.random((n, language_model.WAYS), np.float32)
+        at, want = rng.integers(0, cells, n), table.astype(float)
+        np.add.at(want, at, values)
+        order = np.argsort(at, kind="stable")
+        language_model.add_rows(table, at[order], order, values)
+        assert np.allclose(table, want, rtol=1e-6)
+
+
+def test_words_are_found_in_the_head_without_a_table_of_them():
+    h = language_model.word_hashes(f"w{i}".encode() for i in range(500))  # any iterable
+    assert h.tolist() == [language_model.xxhash.xxh3_64_intdigest(f"w{i}".encode()) for i in range(500)]
+    edges = np.array([0, 1, 2**63, 2**64 - 1], np.uint64)
+    for head in (h[:0], h[:1], h[:300], np.concatenate([h[:300], edges])):
+        model = language_model.Model(head, np.arange(len(head)) + 1, 10, len(head))
+        place = model.at(np.concatenate([h, edges]))
+        known = np.isin(np.concatenate([h, edges]), head)
+        assert ((place >= 0) == known).all() and (model.h[place[known]] == np.concatenate([h, edges])[known]).all()
+
+
+def test_sums_of_cells_meet_in_few_partitions(spark, monkeypatch):
+    """By the number of tasks, not one for every range of cells."""
+    asked, frame = [], type(spark.range(1))
+    before = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *by: (asked.append(n), before(self, n, *by))[1])
+    monkeypatch.setattr(language_model, "LEAST_BITS", 16)
+    model, _ = language_model.train(docs(spark, [(i, "some few words") for i in range(20)]), 1)
+    assert model.weights.any() and asked == [2 * spark.sparkContext.defaultParallelism]
+
+
 def test_nothing_to_learn_from(spark):
     held = [i for i in range(40) if part(i) == 1][:3]
     rows = [(i, "some words") for i in held]
