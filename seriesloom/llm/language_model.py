@@ -27,7 +27,6 @@ Other columns, whatever their names, are left out. An empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -51,8 +50,8 @@ TASK_TOKENS = 64_000_000
 RANGE = 1_024
 END = xxhash.xxh3_64_intdigest(b"\n")
 SLICE = 250_000
-BLOCK = 4_096
-KEPT = 200_000
+BLOCK, PART = 4_096, 4_096
+KEPT = 1 << 22
 
 
 def words(text: str) -> list[bytes]:
@@ -68,28 +67,35 @@ def word_hashes(found: Iterable[bytes]) -> np.ndarray:
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """Stored table ``h, c``: the count of every training token."""
+    """Stored table ``h, c``: the count of every training token. A task sorts ``KEPT`` hashes at a time."""
 
     def run(batches):
-        held: Counter[bytes] = Counter()
-        ends = 0
+        held: list[np.ndarray] = []
+        n = ends = 0
 
-        def flush(ends: int):
-            h = np.append(word_hashes(held), np.uint64(END)) if ends else word_hashes(held)
-            c = np.fromiter(held.values(), np.int64, len(held))
-            out = pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.append(c, ends) if ends else c)], ["h", "c"])
+        def rows(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(c)], ["h", "c"])
+
+        def flush() -> pa.RecordBatch:
+            h = np.concatenate(held)
             held.clear()
-            return out
+            h.sort()
+            last = np.append(np.flatnonzero(h[1:] != h[:-1]), len(h) - 1)
+            return rows(h[last], np.diff(last, prepend=-1))
 
         for batch in batches:
             texts = text_of(batch.column("text"))
             ends += len(texts)
             for text in texts:
-                held.update(words(text))
-                if len(held) > 2 * KEPT:
-                    yield flush(0)
-        if ends or held:
-            yield flush(ends)
+                held.append(word_hashes(words(text)))
+                n += len(held[-1])
+                if n >= KEPT:
+                    yield flush()
+                    n = 0
+        if n:
+            yield flush()
+        if ends:
+            yield rows(np.array([END], np.uint64), np.array([ends]))
 
     path = scratch_path(docs.sparkSession, "token-counts")
     map_text(docs.select("text"), run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).write.parquet(path)
@@ -132,6 +138,13 @@ def class_tree(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=n))]), cls[by], digit[by], bias
 
 
+def table_of(cells: int) -> np.ndarray:
+    """Rows of ``WAYS`` zeros, each in one line of the processor's cache."""
+    raw = np.zeros(cells * WAYS * 4 + 64, np.uint8)
+    at = -raw.ctypes.data % 64
+    return raw[at : at + cells * WAYS * 4].view(np.float32).reshape(cells, WAYS)
+
+
 class Model:
     """Head words by hash with their counts, sums of the buckets of all others, the tree, and the weights
     of the feature cells."""
@@ -146,7 +159,14 @@ class Model:
         self.shift = 65 - len(self.buckets).bit_length()
         self.start, self.cls, self.digit, self.bias = class_tree(np.concatenate([self.c + 0.5, self.buckets]))
         self.bits = max(LEAST_BITS, min(MOST_BITS, (max(1, total // TOKENS_A_CELL) - 1).bit_length()))
-        self.weights = np.zeros((1 << self.bits, WAYS), np.float32)
+        self.weights = table_of(1 << self.bits)
+
+    def __setstate__(self, state: dict) -> None:
+        """In a task: the weights move out of the message that brought them, as its memory is slow to look things up in."""
+        self.__dict__.update(state)
+        weights = state.pop("weights")
+        self.weights = table_of(len(weights))
+        self.weights[:] = weights
 
     def at(self, h: np.ndarray) -> np.ndarray:
         """Place of each word in the head, -1 for others."""
@@ -218,11 +238,14 @@ class Reader:
             yield token, cls, m.digit.take(at), x.view(np.int64)
 
 
-def logits(model: Model, cls: np.ndarray, cells: np.ndarray) -> np.ndarray:
+def logits(model: Model, cls: np.ndarray, cells: Iterable[np.ndarray]) -> np.ndarray:
     """Of the children: (steps, ways). Small enough for exponentials, as every round adds 2 * ``RATE`` at most."""
-    x = rows_at(model.bias, cls)
-    for f in cells:
-        x += rows_at(model.weights, f)
+    x = np.empty((len(cls), WAYS), np.float32)
+    for a in range(0, len(cls), PART):  # small enough for the processor's cache
+        part = x[a : a + PART]
+        model.bias.take(cls[a : a + PART], 0, out=part, mode="clip")
+        for f in cells:
+            part += rows_at(model.weights, f[a : a + PART])
     return x
 
 
@@ -231,20 +254,36 @@ def rows_at(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return table.take(at, 0, mode="clip")
 
 
-def add_rows(table: np.ndarray, at: np.ndarray, order: np.ndarray, values: np.ndarray) -> None:
-    """Adds the rows ``values[order]`` to those at ``at``, which is sorted. Places met once, most of a
-    block, are copied; runs of others are differences of running sums, which are quicker along the memory."""
-    last = np.append(np.flatnonzero(at[1:] != at[:-1]), len(at) - 1)
-    times = np.diff(last, prepend=-1)
-    sums, many = rows_at(values, order.take(last)), np.flatnonzero(times > 1)
-    if len(many):
-        running = np.ascontiguousarray(rows_at(values, order[np.repeat(times > 1, times)]).T, np.float64)
-        np.cumsum(running, 1, out=running)
-        whole = np.diff(running.take(np.cumsum(times[many]) - 1, 1), axis=1, prepend=0)
-        whole_row(sums)[many] = whole_row(np.ascontiguousarray(whole.T, table.dtype))
-    place = at.take(last)
-    sums += rows_at(table, place)
-    whole_row(table)[place] = whole_row(sums)
+def shares(model: Model, cls: np.ndarray, cells: Iterable[np.ndarray] = ()) -> np.ndarray:
+    """What is expected of the children: (steps, ways). Without cells, as the tree has it."""
+    p = logits(model, cls, cells)
+    np.exp(p, out=p)
+    p /= (p @ ONES)[:, None]
+    return p
+
+
+def add_rows(table: np.ndarray, at: np.ndarray, order: np.ndarray | slice, values: np.ndarray, mark: np.ndarray | None = None) -> None:
+    """Adds the rows ``values[order]`` to those at ``at``, in any order and repeated or not. Places met once, most of a
+    block, are copied; the others' rows are summed in double precision first. ``mark`` is room for a number a place."""
+    values, half = values[order], values.shape[1] // 2
+    number = np.arange(len(at), dtype=np.int32)
+    mark = np.empty(len(table), np.int32) if mark is None else mark
+    mark[at] = number
+    last = mark.take(at)
+    early = np.flatnonzero(last != number)
+    sums = rows_at(table, at)
+    sums += values
+    if len(early):
+        last = last.take(early)
+        slot = np.zeros(len(at), np.int64)
+        slot[last] = 1
+        many = np.flatnonzero(slot)
+        slot[many] = np.arange(len(many))
+        whole = rows_at(values, many).astype(np.float64)
+        pairs = rows_at(values, early).astype(np.float64).view(np.complex128).ravel()
+        np.add.at(whole.view(np.complex128).ravel(), ((slot.take(last) * half)[:, None] + np.arange(half)).ravel(), pairs)
+        whole_row(sums)[many] = whole_row(whole.astype(table.dtype) + rows_at(table, at.take(many)))
+    whole_row(table)[at] = whole_row(sums)  # of a place's rows the last stays
 
 
 def whole_row(table: np.ndarray) -> np.ndarray:
@@ -252,6 +291,28 @@ def whole_row(table: np.ndarray) -> np.ndarray:
     return table.view(f"V{table.itemsize * table.shape[1]}").ravel()
 
 
+def cell_sums(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """By ranges of cells, the children seen and those expected in all texts of a task. Before the first
+    update what a class expects is the same in every context."""
+    reader, cells_ = Reader(model), len(model.weights)
+    flat = None if model.weights.any() else shares(model, np.arange(len(model.bias)))
+    seen = np.zeros(cells_ * WAYS, np.int32)
+    expected, mark = table_of(cells_), np.zeros(cells_, np.int32)
+    any_ = False
+    for batch in batches:
+        for h, sizes in reader.read(text_of(batch.column("text"))):
+            any_ = True
+            for _, cls, digit, cells in reader.steps(h, model.at(h), sizes):
+                p = shares(model, cls, cells) if flat is None else rows_at(flat, cls)
+                for f in cells:
+                    np.add.at(seen, f * WAYS + digit, np.int32(1))
+                    add_rows(expected, f, slice(None), p, mark)
+    if any_:
+        for r in range(0, cells_, RANGE):
+            sums = seen[r * WAYS : (r + RANGE) * WAYS].tobytes() + expected[r : r + RANGE].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([sums], pa.binary())], ["cell", "sums"])
+
+
 def step(docs: DataFrame, model: Model) -> np.ndarray:
     """The update of the weights from the training documents given."""
     spark = docs.sparkSession
@@ -259,25 +320,7 @@ def step(docs: DataFrame, model: Model) -> np.ndarray:
     cells_ = len(model.weights)
 
     def run(batches):
-        reader = Reader(shared.value)
-        seen, expected = np.zeros(cells_ * WAYS, np.int32), np.zeros((cells_, WAYS), np.float32)
-        any_ = False
-        for batch in batches:
-            for h, sizes in reader.read(text_of(batch.column("text"))):
-                any_ = True
-                for token, cls, digit, cells in reader.steps(h, reader.model.at(h), sizes):
-                    p = logits(reader.model, cls, cells)
-                    np.exp(p, out=p)
-                    p /= (p @ ONES)[:, None]
-                    shift, number = len(token).bit_length(), np.arange(len(token))
-                    for f in cells:
-                        np.add.at(seen, f * WAYS + digit, np.int32(1))
-                        key = np.sort((f << shift) | number)
-                        add_rows(expected, key >> shift, key & ((1 << shift) - 1), p)
-        if any_:
-            for r in range(0, cells_, RANGE):
-                sums = seen[r * WAYS : (r + RANGE) * WAYS].tobytes() + expected[r : r + RANGE].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([sums], pa.binary())], ["cell", "sums"])
+        yield from cell_sums(batches, shared.value)
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}
@@ -331,6 +374,13 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     return model, counts
 
 
+def by_text(h: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Order of words by text, then hash: two sorts of whole numbers, which are quicker than one by two keys."""
+    by = np.argsort(h)
+    shift = len(h).bit_length()
+    return by[np.sort((text[by] << shift) | np.arange(len(h))) & ((1 << shift) - 1)]
+
+
 def scores(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """Per row: ``doc_id, n_tokens, n_known, base_score, score`` (log10)."""
     spark = docs.sparkSession
@@ -355,7 +405,7 @@ def scores(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 tail = np.flatnonzero(place < 0)
                 h, text = word[tail], text[tail]
                 fitted -= np.bincount(text, whole[m.bucket(h)], len(sizes))
-                by = np.lexsort((h, text))
+                by = by_text(h, text)
                 h, text = h[by], text[by]
                 new = np.ones(len(by), bool)
                 new[1:] = (np.diff(text) > 0) | (h[1:] != h[:-1])

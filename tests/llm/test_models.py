@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +263,59 @@ def test_rows_are_added_as_one_by_one():
         assert np.allclose(table, want, rtol=1e-6)
 
 
+def test_rows_are_added_in_any_order():
+    rng = np.random.default_rng(6)
+    for dtype, n, cells in ((np.float32, 300, 40), (np.float64, 300, 1), (np.float32, 0, 3)):
+        table, values = language_model.table_of(cells).astype(dtype), rng.random((n, language_model.WAYS)).astype(dtype)
+        at, want = rng.integers(0, cells, n), table.astype(float)
+        np.add.at(want, at, values)
+        language_model.add_rows(table, at, slice(None), values)
+        assert np.allclose(table, want, rtol=1e-6)
+    assert language_model.table_of(5).ctypes.data % 64 == 0
+
+
+@pytest.mark.parametrize("trained", [False, True])
+def test_sums_of_a_task_are_those_of_its_steps(monkeypatch, trained):
+    """Added up in blocks or at once, and before the first update without a look at the weights."""
+    monkeypatch.setattr(language_model, "BLOCK", 7)
+    monkeypatch.setattr(language_model, "PART", 5)
+    rng = random.Random(11)
+    texts = [prose(rng, rng.randint(0, 50)) for _ in range(30)] + [None, "", "stone " * 40]
+    count = collections.Counter(w for t in texts for w in language_model.words(t or ""))
+    head = [w for w, _ in count.most_common(60)]
+    model = language_model.Model(language_model.word_hashes(head), np.array([count[w] for w in head]), sum(count.values()), len(count), np.array([9.0, 4.5]))
+    if trained:
+        model.weights += np.random.default_rng(1).normal(0, 0.3, model.weights.shape).astype(np.float32)
+    else:
+        monkeypatch.setattr(language_model, "logits", lambda m, cls, cells, at_once=language_model.logits: at_once(m, cls, cells) if not len(cells) else pytest.fail("weights were read"))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.string())], ["text"]) for x in (texts[:20], texts[20:], [])]
+    got = list(language_model.cell_sums(batches, model))
+    seen, expected = np.zeros(model.weights.shape), np.zeros(model.weights.shape)
+    reader = language_model.Reader(model)
+    for h, sizes in reader.read([t or "" for t in texts]):
+        for _, cls, digit, cells in reader.steps(h, model.at(h), sizes):
+            x = model.bias[cls].astype(float) + sum(model.weights[f] for f in cells)
+            p = np.exp(x) / np.exp(x).sum(1, keepdims=True)
+            for f in cells:
+                np.add.at(seen, (f, digit), 1)
+                np.add.at(expected, f, p)
+    assert sum(len(b) for b in got) == len(model.weights) // language_model.RANGE
+    for b in got:
+        r, raw = b.column("cell")[0].as_py(), b.column("sums")[0].as_py()
+        found = np.frombuffer(raw, np.int32)[: len(raw) // 8], np.frombuffer(raw, np.float32)[len(raw) // 8 :]
+        assert (found[0].reshape(-1, language_model.WAYS) == seen[r : r + language_model.RANGE]).all()
+        assert np.allclose(found[1].reshape(-1, language_model.WAYS), expected[r : r + language_model.RANGE], rtol=1e-4, atol=1e-6)
+    assert list(language_model.cell_sums(batches[2:], model)) == []
+
+
+def test_words_are_ordered_by_text_and_hash():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 400):
+        h, text = rng.choice(np.array([0, 5, 2**63, 2**64 - 1], np.uint64), n), np.sort(rng.integers(0, 50, n))
+        by, want = language_model.by_text(h, text), np.lexsort((h, text))
+        assert sorted(by.tolist()) == list(range(n)) and (h[by] == h[want]).all() and (text[by] == text[want]).all()
+
+
 def test_words_are_found_in_the_head_without_a_table_of_them():
     h = language_model.word_hashes(f"w{i}".encode() for i in range(500))  # any iterable
     assert h.tolist() == [language_model.xxhash.xxh3_64_intdigest(f"w{i}".encode()) for i in range(500)]
