@@ -7,9 +7,10 @@ sketch of all shingles of all documents) and break ties by different hashes.
 
 1. Keys: one pass hashes every text to its set's size and key and counts shingles in the sketch, a
    table of ``SKETCH`` cells whatever the input. Documents with the same set become one class.
-2. First order: the classes' first shingles are shuffled by shingle; neighbours in each list, sorted
+2. Groups: sets are cut into parts by ranges of their hashes, and the first parts under an order with rare
+   shingles first are shuffled by their contents (``first_parts``); neighbours in each list, sorted
    by set size, are joined while their sizes allow a link. What hangs together is a candidate group:
-   no link leaves it.
+   no link leaves it. Groups too large for a block are parted again by other parts.
 3. Blocks: a group is cut into blocks by hash, bounded in rows and shingles. In a block the pairs
    that share first shingles under all orders and whose sizes fit are verified by their whole sets;
    the block gives a spanning tree of its links, never its pairs.
@@ -38,13 +39,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, scratch_path
-from .common import WORD, connected, documents, each_text, map_text, text_of
+from ..session import cut_lineage, scratch_path, shuffles_dropped
+from .common import WORD, connected, delete, documents, each_text, map_text, text_of
 
 WORDS, NUM, DEN = 4, 85, 100
 SKETCH, CELLS = 1 << 24, 1 << 18
 COUNTED = 1 << 18  # shingles that a task counts at a time
 ORDERS = 3
+MARKS = 1 << 26
 ROUNDS = 2
 BLOCK_ROWS, BLOCK_SHINGLES = 384, 2_000_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)  # one for each word of a shingle
@@ -92,6 +94,43 @@ def first(tokens: np.ndarray, levels: np.ndarray, order: int, percent: int = NUM
     return tokens[rank <= np.partition(rank, k - 1)[k - 1]] if k < len(tokens) else tokens
 
 
+def most_apart(n: int, percent: int = NUM) -> tuple[int, int]:
+    """The most shingles a set linked with one of ``n`` has, and the most that are in only one of the two."""
+    union = DEN * n // percent  # at most n are shared
+    return union, (DEN - percent) * union // DEN
+
+
+def first_parts(tokens: np.ndarray, levels: np.ndarray, percent: int = NUM, salt: int = 0) -> np.ndarray:
+    """Keys of a sorted set of which a linked pair shares one.
+
+    Ranges of hashes cut a set into parts, as many for all sets that can be linked. A shingle that is in one set
+    only spoils one part, so all but ``d`` parts are equal, and in any global order of parts one of the first
+    ``d + 1`` is. Parts with a rare shingle come first, then those of many shingles, empty ones last: what
+    sets share by chance are single shingles and common passages, hardly ever a whole part of several."""
+    union, d = most_apart(len(tokens), percent)
+    if not d:
+        return np.zeros(0, np.uint64)  # linked with equal sets only
+    values, rare, out = scrambled(tokens, 16 + salt), levels[cells(tokens)], []
+    spots = (tokens if not salt else values) >> np.uint64(32)
+    if salt:
+        by = np.argsort(spots, kind="stable")
+        spots, values, rare = spots[by], values[by], rare[by]
+    for label in range(len(tokens).bit_length(), union.bit_length() + 1):  # of the larger set's size, in powers of two
+        n = (5 * ((DEN - percent) << label)) // (4 * percent) + 3
+        place = (spots * np.uint64(n)) >> np.uint64(32)
+        at = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        key = scrambled(np.add.reduceat(values, at) + place[at] * FACTORS[1] + FACTORS[2:3] * np.uint64(label))
+        if d + 1 < len(at):
+            size = np.minimum(np.diff(at, append=len(tokens)), 255).astype(np.uint64)
+            rank = ((np.minimum.reduceat(rare, at) >> 2).astype(np.uint64) << np.uint64(56)) | ((np.uint64(255) - size) << np.uint64(48)) | (scrambled(key, 1) >> np.uint64(16))
+            key = key[rank <= np.partition(rank, d)[d]]
+        elif d + 1 > len(at):
+            empty = np.setdiff1d(np.arange(n, dtype=np.uint64), place[at])[: d + 1 - len(at)]
+            key = np.concatenate([key, scrambled(empty * FACTORS[1] + FACTORS[2:3] * np.uint64(label))])
+        out.append(key)
+    return np.concatenate(out)
+
+
 def keyed(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
     """``(doc_id, t, n, key)`` of every row (``t``: a hash of its text; key null without shingles), and the sketch's levels: eight
     times the logarithm of a cell's count. A task's cells are packed, so few shingles take little."""
@@ -148,8 +187,7 @@ def keyed(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
 
 
 def candidate_groups(docs: DataFrame, levels, words: int = WORDS, percent: int = NUM) -> DataFrame:
-    """``(node, root)``: classes that hang together by shared first shingles under the first order;
-    the group's root itself is left out."""
+    """``(node, root)``: classes that hang together by shared first parts; the group's root itself is left out."""
 
     def run(batches):
         table, seen = levels.value, set()
@@ -161,14 +199,18 @@ def candidate_groups(docs: DataFrame, levels, words: int = WORDS, percent: int =
                     continue
                 if len(seen) < 1_000_000:  # copies within a task are told apart later otherwise
                     seen.add(key)
-                some = first(tokens, table, 0, percent)
+                some = first_parts(tokens, table, percent)
                 hs.append(some.astype(np.int64))
                 keys += [key] * len(some)
                 ns += [len(tokens)] * len(some)
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(keys, pa.int64()), pa.array(ns, pa.int32())], ["h", "key", "n"])
 
-    lists = map_text(docs.select("text"), run, "h long, key long, n int")
+    return _chained(map_text(docs.select("text"), run, "h long, key long, n int"), percent)
+
+
+def _chained(lists: DataFrame, percent: int) -> DataFrame:
+    """``(node, root)``: classes that hang together by lists ``(h, key, n)``."""
     rows = lists.repartition("h").sortWithinPartitions("h", "n", "key")
 
     def neighbours(batches):
@@ -188,6 +230,34 @@ def candidate_groups(docs: DataFrame, levels, words: int = WORDS, percent: int =
     return connected(rows.mapInArrow(neighbours, "a long, b long"), "a", "b")
 
 
+def _blocks(m, s):
+    return F.greatest(F.ceil(m / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES)).cast("long")
+
+
+def _parted(large: DataFrame, levels, percent: int) -> DataFrame:
+    """Groups of several blocks ``(key, root, blocks, tokens)`` once more by other parts, which meet by chance in
+    other sets: what hangs together in both ways stays a group, single classes are left out."""
+
+    def run(batches):
+        for batch in batches:
+            hs, keys, ns = [], [], []
+            for key, root, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "root", "tokens"))):
+                tokens = np.frombuffer(raw, np.uint64)
+                some = first_parts(tokens, levels.value, percent, 1)
+                hs.append(scrambled(some ^ np.array([root], np.int64).view(np.uint64)).view(np.int64))
+                keys += [key] * len(some)
+                ns += [len(tokens)] * len(some)
+            if hs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(keys, pa.int64()), pa.array(ns, pa.int32())], ["h", "key", "n"])
+
+    near = _chained(large.select("key", "root", "tokens").mapInArrow(run, "h long, key long, n int"), percent)
+    held = large.select("key", (F.octet_length("tokens") / 8).alias("n")).join(near.withColumnsRenamed({"node": "key", "root": "own"}), "key", "left")
+    held = cut_lineage(held.withColumn("own", F.coalesce("own", "key")))
+    sizes = held.groupBy("own").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).filter("m > 1")
+    placed = held.join(sizes, "own").select("key", F.col("own").alias("root"), _blocks(F.col("m"), F.col("s")).alias("blocks"))
+    return large.select("key", "tokens").join(placed, "key").select("key", "root", "blocks", "tokens")
+
+
 def _shared(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     """Numbers of shared tokens of each row set with each column set, exact in float32 products over
     the tokens that occur on both sides."""
@@ -268,6 +338,25 @@ def _blocked(members: DataFrame, salt: int) -> DataFrame:
     return members.withColumn("block", F.pmod(F.xxhash64("key", F.lit(salt)), F.col("blocks")))
 
 
+def _among(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``doc_id`` is none of ``members``: told by a table of ``MARKS`` bits, whatever the
+    number of members, before the texts are shuffled. What it lets through besides falls out of the join that follows."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    words = members.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("word"))
+    found = words.toArrow()
+    table = np.zeros(MARKS // 64, np.uint64)
+    table[found.column("at").to_numpy()] = found.column("word").to_numpy().view(np.uint64)
+    marks = rows.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for batch in batches:
+            bit = batch.column("bit").to_numpy().view(np.uint64)
+            there = (marks.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)
+            yield batch.select(["doc_id", "text"]).filter(pa.array(there.astype(bool)))
+
+    return map_text(rows.select("doc_id", "text", bit.alias("bit")), run, "doc_id long, text string")
+
+
 def link_classes(docs: DataFrame, keys: DataFrame, levels, words: int = WORDS, percent: int = NUM, nameless: bool = False) -> DataFrame:
     """``(node, root)`` of the classes that links connect; the smallest class of a component is left out.
     ``nameless``: rows without an id connect as others do, found by their text's hash."""
@@ -279,8 +368,7 @@ def link_classes(docs: DataFrame, keys: DataFrame, levels, words: int = WORDS, p
     every = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("key"), "root")
     members = every.join(classes, "key")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("long")
-    members = members.join(sizes.select("root", blocks.alias("blocks")), "root").select("doc_id", "key", "root", "blocks")
+    members = cut_lineage(members.join(sizes.select("root", _blocks(F.col("m"), F.col("s")).alias("blocks")), "root").select("doc_id", "key", "root", "blocks"))
 
     def run(batches):
         for batch in batches:
@@ -290,11 +378,17 @@ def link_classes(docs: DataFrame, keys: DataFrame, levels, words: int = WORDS, p
             rest = [batch.column(c).take(at) for c in ("key", "root", "blocks")]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([t.tobytes() for _, t in found], pa.binary())], ["key", "root", "blocks", "tokens"])
 
-    texts = docs.select(own.alias("doc_id"), "text").join(members, "doc_id").select("key", "root", "blocks", "text")
+    texts = _among(docs.select(own.alias("doc_id"), "text").filter("doc_id is not null"), members).join(members, "doc_id").select("key", "root", "blocks", "text")
     path = scratch_path(docs.sparkSession, "shingle-sets")
     map_text(texts, run, "key long, root long, blocks long, tokens binary").write.parquet(path)
     sets = docs.sparkSession.read.parquet(path).dropDuplicates(["key"]) if _repeats(docs) else docs.sparkSession.read.parquet(path)
     large = sets.filter("blocks > 1")
+    paths = [path]
+    if not large.isEmpty():
+        paths.append(scratch_path(docs.sparkSession, "shingle-sets"))
+        _parted(large, levels, percent).write.parquet(paths[1])
+        parted = docs.sparkSession.read.parquet(paths[1])
+        sets, large = sets.filter("blocks = 1").unionByName(parted), parted.filter("blocks > 1")
 
     inside = _blocked(sets, 0).groupBy("root", "block").applyInPandas(_block_links(levels, False, percent), "a long, b long")
     for salt in range(1, ROUNDS + 1):
@@ -314,6 +408,8 @@ def link_classes(docs: DataFrame, keys: DataFrame, levels, words: int = WORDS, p
     whole = held.withColumns({"col": col, "row": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)), "side": F.lit(1)}).select(columns)
     across = outside.unionByName(whole).groupBy("root", "row", "col").applyInPandas(_block_links(levels, True, percent), "a long, b long")
     more = cut_lineage(across)
+    for done in paths:
+        delete(docs.sparkSession, done)
     return connected(links.unionByName(more), "a", "b")
 
 
@@ -323,6 +419,11 @@ def _repeats(docs: DataFrame) -> bool:
 
 def labels(docs: DataFrame, words: int, percent: int, nameless: bool = False) -> DataFrame:
     """Per row of ``docs``: ``doc_id, t, n, label``, the label common to a component."""
+    with shuffles_dropped(docs.sparkSession):
+        return _labels(docs, words, percent, nameless)
+
+
+def _labels(docs: DataFrame, words: int, percent: int, nameless: bool) -> DataFrame:
     keys, table = keyed(docs, words)
     levels = docs.sparkSession.sparkContext.broadcast(table)
     roots = link_classes(docs, keys, levels, words, percent, nameless)

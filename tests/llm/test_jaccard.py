@@ -1,6 +1,7 @@
 """The similarity join against all pairs."""
 
 import random
+import time
 
 import numpy as np
 
@@ -111,3 +112,53 @@ def test_connected(spark):
             up[a] = up[b] = min(up[a], up[b])
     got = {r["node"]: r["root"] for r in common.connected(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {n: r for n, r in up.items() if n != r}
+
+
+def test_linked_sets_share_a_first_part():
+    rng, levels = np.random.default_rng(3), np.random.default_rng(4).integers(8, 40, jaccard.SKETCH).astype(np.uint8)
+    linked = 0
+    for percent in (85, 80, 50):
+        for _ in range(400):
+            x = np.unique(rng.integers(0, 2**63, rng.integers(1, 300), dtype=np.uint64))
+            gone, new = rng.integers(0, jaccard.most_apart(len(x), percent)[1] + 1, 2)
+            y = np.unique(np.concatenate([rng.permutation(x)[gone:], rng.integers(0, 2**63, new, dtype=np.uint64)]))
+            shared = len(np.intersect1d(x, y))
+            if len(x) == len(y) == shared or 100 * shared < percent * (len(x) + len(y) - shared):
+                continue
+            linked += 1
+            for salt in (0, 1):
+                assert len(np.intersect1d(jaccard.first_parts(x, levels, percent, salt), jaccard.first_parts(y, levels, percent, salt)))
+    assert linked > 100
+
+
+def test_passages_shared_by_chance_make_no_groups(spark):
+    rng = random.Random(9)
+    own = [[f"w{rng.randrange(10**9)}" for _ in range(120)] for _ in range(60)]
+    rows = [(i, " ".join([*w, *own[(i + 1) % 60][:12]])) for i, w in enumerate(own)]  # each has the first words of the next
+    d = docs(spark, rows)
+    levels = spark.sparkContext.broadcast(np.zeros(jaccard.SKETCH, np.uint8))  # as where all cells count alike
+    assert jaccard.candidate_groups(d, levels).count() < 6
+    assert found(d) == brute(rows)
+
+
+def test_groups_of_several_blocks_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 4)
+    rows = corpus(12, originals=6, copies=30)
+    assert found(docs(spark, rows)) == brute(rows)
+
+
+def test_no_shuffle_files_stay(spark):
+    def files():
+        blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+        return {str(blocks.apply(i)) for i in range(blocks.size()) if "shuffle_" in str(blocks.apply(i))}
+
+    before = files()
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    kept = jaccard.labels(docs(spark, corpus(2)), 4, 85)
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+    assert kept.count() == len(corpus(2))
