@@ -1,6 +1,7 @@
-"""Boosted regression trees of many models at once, grown level by level.
+"""Boosted regression trees of many models at once.
 
-Every model (a target, or a target under one draw of parameters) takes part in the same Spark jobs: a level
+Targets whose rows fit a task (``ALONE``) are brought there by one shuffle and all their trees grown in it. Models of
+larger targets, of a search or with early stopping grow level by level, all at once: every model (a target, or a target under one draw of parameters) takes part in the same Spark jobs: a level
 of all trees is one aggregate by (model, node, feature, bin), whose partial sums run where the rows lie, and
 the rows meet the chosen splits by a join. The number of jobs follows the trees and their depth and never
 the number of models; a model of any size is spread over the tasks that hold its rows.
@@ -20,6 +21,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,11 +148,185 @@ def _errors(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("split") == "holdout").groupBy("model_id").agg(F.avg(off * off).alias("error"))
 
 
+ALONE = 1 << 17  # rows of a model that one task grows by itself
+
+
+def _sums(at: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
+    """Whole sums by place; products of floats are used only where they stay exact."""
+    if len(g) and float(np.abs(g).max()) * len(g) >= 2.0**53:
+        out = np.zeros(size, np.int64)
+        np.add.at(out, at, g)
+        return out
+    return np.bincount(at, g, size).astype(np.int64)
+
+
+def _places(features: np.ndarray, train: np.ndarray, bins: int) -> np.ndarray:
+    """Bin numbers as ``bin_edges`` and ``_binned`` give them."""
+    out = np.zeros(features.shape, np.int64)
+    for i in range(features.shape[1]):
+        x = features[:, i]
+        there = np.isfinite(x)
+        s = np.sort(x[there & train])
+        if len(s):
+            b = np.floor(bins * np.searchsorted(s, s) / len(s))
+            lows = s[np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))]
+            out[there, i] = np.maximum(1, np.searchsorted(lows, x[there], "right"))
+    return out
+
+
+def _scale(label: np.ndarray, train: np.ndarray, min_rows: int) -> tuple:
+    """``n, reason, unit, base`` of one target, as ``scales`` gives them."""
+    y = label[train]
+    n = len(y)
+    if n < min_rows:
+        return n, f"training rows: {n}", None, None
+    if not np.isfinite(y).all():
+        return n, "a label is missing or not finite", None, None
+    if not n:
+        return n, None, 1.0, None
+    low, high = float(y.min()), float(y.max())
+    unit = (high - low) / RANGE if high > low else 1.0
+    return n, None, unit, low + unit * (int(np.floor((y - low) / unit + 0.5).astype(np.int64).sum()) / n)
+
+
+def _grown(label: np.ndarray, train: np.ndarray, places: np.ndarray, unit: float, base: float, draws: list | None, p: dict, bins: int) -> tuple[np.ndarray, list[tuple]]:
+    """All trees of one model: predictions of its rows, and its nodes (``NODE`` without the model)."""
+    pred, nodes, (rows, width) = np.full(len(label), base), [], places.shape
+    codes, wide = places + np.arange(width) * (bins + 1), width * (bins + 1)
+    strength = lambda g, n: g.astype(float) * g.astype(float) / (n + p["reg_lambda"])
+    for tree in range(p["n_trees"]):
+        learns = np.flatnonzero(train if p["subsample"] >= 1 else train & draws[tree])
+        g = np.zeros(rows, np.int64)
+        g[learns] = np.floor((label[learns] - pred[learns]) / unit + 0.5).astype(np.int64)
+        node, open_ = np.ones(rows, np.int64), np.ones(rows, bool)
+        for level in range(p["max_depth"]):
+            held = learns[open_[learns]]
+            if not len(held) or not width:
+                break
+            names, place = np.unique(node[held], return_inverse=True)
+            at = (place[:, None] * wide + codes[held]).ravel()
+            shape = len(names), width, bins + 1
+            count = np.bincount(at, minlength=len(names) * wide).reshape(shape)
+            gl, nl = _sums(at, np.repeat(g[held], width), len(names) * wide).reshape(shape).cumsum(2), count.cumsum(2)
+            gt, nt = gl[:, :, -1:], nl[:, :, -1:]
+            with np.errstate(all="ignore"):
+                gain = strength(gl, nl) + strength(gt - gl, nt - nl) - strength(gt, nt)
+                fits = (count > 0) & (nl >= p["min_leaf"]) & (nt - nl >= p["min_leaf"]) & (gain >= 1)
+            gain = np.where(fits, gain, -np.inf).reshape(len(names), wide)
+            best = gain.argmax(1)  # the first feature and the lower bin of equal gains
+            top = gain[np.arange(len(names)), best]
+            f, b = best // (bins + 1), best % (bins + 1)
+            split = np.isfinite(top)
+            nodes += [(tree, int(names[k]), int(f[k]), int(b[k]), float(top[k]), int(nt[k, f[k], 0]), None) for k in np.flatnonzero(split)]
+            k = np.minimum(np.searchsorted(names, node), len(names) - 1)
+            open_ = (names[k] == node) & split[k]
+            node = np.where(open_, node * 2 + (places[np.arange(rows), f[k]] > b[k]), node)
+        if len(learns):
+            names, place = np.unique(node[learns], return_inverse=True)
+            n = np.bincount(place)
+            value = p["step_size"] * unit * _sums(place, g[learns], len(names)).astype(float) / (n + p["reg_lambda"])
+            nodes += [(tree, int(names[k]), None, None, None, int(n[k]), float(value[k])) for k in range(len(names))]
+            k = np.minimum(np.searchsorted(names, node), len(names) - 1)
+            pred = pred + np.where(names[k] == node, value[k], 0.0)
+    return pred, nodes
+
+
+def _grown_alone(samples: DataFrame, params: DataFrame, bins: int, min_rows: int, seed: int) -> DataFrame:
+    """Models whose rows fit a task: one shuffle brings a target's rows together, and the task that holds them finds
+    scale and bins and grows all trees. Rows of three kinds: predictions (``kind`` 0), nodes (1) and scales (2)."""
+    draws = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_trees") - 1, F.lit(0))), lambda k: F.pmod(F.xxhash64("target_id", "d", k, F.lit(seed)), F.lit(1_000_000)) < F.col("subsample") * 1_000_000)
+    rows = samples.select("target_id", "d", F.col("label").cast("double").alias("label"), "split", F.col("features").cast("array<double>").alias("features")).repartition("target_id")
+    rows = rows.join(params.select("target_id", "model_id", *TYPES), "target_id", "left").withColumn("draws", F.when(F.col("subsample") < 1, draws))
+    rows = rows.sortWithinPartitions("target_id", "model_id")
+    found = "kind int, model_id string, target_id {target_id}, d {d}, split string, y_true double, y_pred double, tree int, node long, feature int, bin int, gain double, n long, value double, reason string, unit double, base double"
+    schema = found.format(**{c: samples.schema[c].dataType.simpleString() for c in ("target_id", "d")})
+
+    def run(batches):
+        kinds = {"kind": pa.int32(), "model_id": pa.string(), "split": pa.string(), "y_true": pa.float64(), "y_pred": pa.float64(), "tree": pa.int32(), "node": pa.int64(), "feature": pa.int32(), "bin": pa.int32(), "gain": pa.float64(), "n": pa.int64(), "value": pa.float64(), "reason": pa.string(), "unit": pa.float64(), "base": pa.float64()}
+        order = [x.split()[0] for x in found.split(", ")]
+        last, held = None, []  # of the target at hand
+
+        def table(kind: int, rows: int, /, **columns) -> pa.RecordBatch:
+            columns["kind"] = pa.array([kind] * rows, pa.int32())
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, kinds[c]) for c in order], order)
+
+        def settled(part: pa.Table):
+            """Everything of one model."""
+            nonlocal last
+            one = {c: part.column(c)[0].as_py() for c in ("model_id", *TYPES)}
+            label = part.column("label").to_numpy()
+            train = part.column("split").to_numpy() == "train"
+            n, reason, unit, base = _scale(label, train, min_rows)
+            name = part.column("target_id").slice(0, 1).combine_chunks()
+            target = name[0].as_py()
+            if target != last:
+                yield table(2, 1, target_id=name, d=pa.nulls(1, kinds["d"]), n=pa.array([n], pa.int64()), reason=pa.array([reason], pa.string()), unit=pa.array([unit], pa.float64()), base=pa.array([base], pa.float64()))
+                last = target
+            if reason is not None or base is None or one["model_id"] is None:
+                return
+            features = pc.list_flatten(part.column("features")).to_numpy().reshape(len(label), -1)
+            drawn = None if one["subsample"] >= 1 else list(np.array(part.column("draws").to_pylist(), bool).T)
+            pred, nodes = _grown(label, train, _places(features, train, bins), unit, base, drawn, one, bins)
+            ids = pa.array([one["model_id"]], pa.string())
+            columns = {c: part.column(s).combine_chunks() for c, s in (("target_id", "target_id"), ("d", "d"), ("split", "split"), ("y_true", "label"))}
+            yield table(0, len(label), model_id=ids.take(pa.array(np.zeros(len(label), np.int64))), y_pred=pa.array(pred), **columns)
+            if nodes:
+                parts = dict(zip(("tree", "node", "feature", "bin", "gain", "n", "value"), zip(*nodes)))
+                empty = {c: pa.nulls(len(nodes), kinds[c]) for c in ("target_id", "d")}
+                yield table(1, len(nodes), model_id=ids.take(pa.array(np.zeros(len(nodes), np.int64))), **empty, **{c: pa.array(v, kinds[c]) for c, v in parts.items()})
+
+        def several(parts: list[pa.RecordBatch]):
+            """Few large batches instead of one per model."""
+            if parts:
+                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+        done, ready = [], 0
+        for batch in batches:
+            kinds |= {c: batch.schema.field(c).type for c in ("target_id", "d")}
+            if not batch.num_rows:
+                continue
+            full = pa.Table.from_batches([*held, batch])
+            ids, models = (full.column(c).combine_chunks().dictionary_encode() for c in ("target_id", "model_id"))
+            ids, models = ids.indices.to_numpy(), pc.fill_null(models.indices, -1).to_numpy()
+            cuts = np.flatnonzero((ids[1:] != ids[:-1]) | (models[1:] != models[:-1])) + 1
+            full, at = full.combine_chunks(), [0, *cuts.tolist()]
+            for a, b in zip(at[:-1], at[1:]):
+                for x in settled(full.slice(a, b - a)):
+                    done.append(x)
+                    ready += x.num_rows
+                if ready > 20_000:
+                    yield from several(done)
+                    done, ready = [], 0
+            held = full.slice(at[-1]).to_batches()
+        if held:
+            done += settled(pa.Table.from_batches(held))
+        yield from several(done)
+
+    return rows.mapInArrow(run, schema)
+
+
 def fit(samples: DataFrame, params: DataFrame, bins: int = BINS, min_rows: int = MIN_ROWS, patience: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Predictions of all rows, the trees' nodes, and the targets' ``scales``.
 
     With ``patience``, rows with split ``holdout`` are watched: a model without a better error there for so
-    many trees grows no more and its predictions are those of its best tree (``stopped_at``)."""
+    many trees grows no more and its predictions are those of its best tree (``stopped_at``). Without it, targets
+    whose rows fit a task are settled there, each in one go; the others grow level by level."""
+    if patience is None:
+        samples = samples.filter("target_id is not null")
+        size = F.coalesce(F.size("features"), F.lit(-1))
+        counts = samples.groupBy("target_id").agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("least"), F.max(size).alias("most"))
+        wide = _kept(counts.filter((F.col("n") > ALONE) | (F.col("least") < 0) | (F.col("least") < F.col("most"))).select("target_id"), "wide")
+        some = not wide.isEmpty()
+        alone = _kept(_grown_alone(samples.join(wide, "target_id", "left_anti") if some else samples, params, bins, min_rows, seed), "alone")
+        done = alone.filter("kind = 0").select("model_id", "target_id", "d", "split", "y_true", "y_pred", F.abs(F.col("y_true") - F.col("y_pred")).alias("abs_error"))
+        found = done, alone.filter("kind = 1").select(*NODE), alone.filter("kind = 2").select("target_id", "n", "reason", "unit", "base")
+        if some:
+            found = tuple(x.unionByName(y) for x, y in zip(found, _by_levels(samples.join(wide, "target_id", "left_semi"), params, bins, min_rows, None, seed)))
+        return found
+    return _by_levels(samples, params, bins, min_rows, patience, seed)
+
+
+def _by_levels(samples: DataFrame, params: DataFrame, bins: int, min_rows: int, patience: int | None, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows, scale = prepared(samples, params, bins, min_rows)
     most, depth = (x or 0 for x in params.agg(F.max("n_trees"), F.max("max_depth")).first())
     nodes = None

@@ -147,3 +147,31 @@ def test_jobs_do_not_follow_the_number_of_targets(spark):
         return len(tracker.getJobIdsForGroup(group))
 
     assert abs(jobs(2) - jobs(12)) <= 2
+
+
+def test_targets_grown_in_a_task_equal_those_grown_by_levels(spark, monkeypatch):
+    data = [*signal(1, 90), *signal(2, 120, "b"), *signal(3, 70, "c"), *signal(4, 30, "few")]
+    data += [("a", 500, None, "test", data[0][4]), ("b", 501, float("nan"), "other", data[1][4]), ("b", 502, 1.0, None, data[2][4])]
+    data += [(t, i, y, s, f[:2] if i % 7 == 0 else f) for t, i, y, s, f in signal(5, 80, "ragged")]
+    data += [(t, i, y, s, None if i == 3 else f) for t, i, y, s, f in signal(6, 80, "absent")]
+    data += [("same", i, 2.5, "train", [1.0, None, float("nan"), float(i)]) for i in range(60)]
+    data += [("bad", i, None if i == 9 else 1.0 * i, "train", [1.0, 2.0, 3.0, float(i)]) for i in range(60)]
+    samples = frame(spark, data)
+    models = forest.one_model_each(samples)
+    params = forest.parameters(spark, models, {"n_trees": 3}).unionByName(forest.parameters(spark, models.withColumn("model_id", F.concat("model_id", F.lit("2"))), {"n_trees": 2, "max_depth": 4, "subsample": 1.0, "min_leaf": 3}))
+
+    def found():
+        return [sorted(map(str, x.collect())) for x in forest.fit(samples, params)[:2]], sorted((r["target_id"], r["n"], r["reason"]) for r in forest.fit(samples, params)[2].collect())
+
+    mixed = found()
+    monkeypatch.setattr(forest, "ALONE", 0)
+    assert found() == mixed
+
+
+def test_small_targets_are_trained_without_rows_written_per_tree(spark, monkeypatch):
+    """Jobs and written tables do not follow the number of trees."""
+    names, kept = [], forest._kept
+    monkeypatch.setattr(forest, "_kept", lambda df, name: names.append(name) or kept(df, name))
+    samples = frame(spark, signal(1, 90))
+    forest.fit(samples, forest.parameters(spark, forest.one_model_each(samples), {"n_trees": 6}))[0].count()
+    assert len(names) <= 3
