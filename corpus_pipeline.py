@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seriesloom.llm import jaccard, mixing, pieces, toxicity
 from seriesloom.llm.common import documents
-from seriesloom.session import scratch_path
+from seriesloom.session import scratch_path, shuffles_dropped
 from seriesloom.sources.tables import table
 
 COPY_WORDS, COPY_PERCENT = 5, 80
@@ -48,6 +48,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         path = scratch_path(spark, f"corpus-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        kept = stage(spark, docs, sf_dir)
+        with shuffles_dropped(spark):
+            kept.write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
