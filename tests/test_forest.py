@@ -158,10 +158,11 @@ def test_targets_grown_in_a_task_equal_those_grown_by_levels(spark, monkeypatch)
     data += [("bad", i, None if i == 9 else 1.0 * i, "train", [1.0, 2.0, 3.0, float(i)]) for i in range(60)]
     samples = frame(spark, data)
     models = forest.one_model_each(samples)
-    params = forest.parameters(spark, models, {"n_trees": 3}).unionByName(forest.parameters(spark, models.withColumn("model_id", F.concat("model_id", F.lit("2"))), {"n_trees": 2, "max_depth": 4, "subsample": 1.0, "min_leaf": 3}))
+    params = forest.parameters(spark, models, {"n_trees": 2, "max_depth": 2}).unionByName(forest.parameters(spark, models.withColumn("model_id", F.concat("model_id", F.lit("2"))), {"n_trees": 1, "max_depth": 3, "subsample": 1.0, "min_leaf": 3}))
 
     def found():
-        return [sorted(map(str, x.collect())) for x in forest.fit(samples, params)[:2]], sorted((r["target_id"], r["n"], r["reason"]) for r in forest.fit(samples, params)[2].collect())
+        scored, nodes, scale = forest.fit(samples, params)
+        return [sorted(map(str, x.collect())) for x in (scored, nodes, scale.select("target_id", "n", "reason"))]
 
     mixed = found()
     monkeypatch.setattr(forest, "ALONE", 0)
